@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwright.llm import packing, toxicity
+from boxwright.llm import packing, quality_rules, toxicity
 from boxwright.session import ship_package
 
 
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").filter("quality = 1")
+    return quality_rules.judge(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return packing.pack(_table(spark, sf_dir, "documents"))
@@ -30,6 +35,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op6_packing": op6_packing,
         "op10_toxicity": op10_toxicity,
     }
