@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwright.llm import packing, quality_rules, toxicity
+from boxwright.llm import near_dedup, packing, quality_rules, toxicity
 from boxwright.session import ship_package
 
 
@@ -22,6 +22,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), trusted)
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=3, num=85, den=100)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return packing.pack(_table(spark, sf_dir, "documents"))
@@ -36,6 +41,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_minhash_dedup": op2_minhash_dedup,
         "op6_packing": op6_packing,
         "op10_toxicity": op10_toxicity,
     }
