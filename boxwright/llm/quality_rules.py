@@ -81,7 +81,6 @@ def judge(
     trusted: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    keep: tuple[str, ...] = (),
     buckets: int = 1 << 16,
     prior: float = 1.0,
     deviations: float = 3.0,
@@ -90,7 +89,7 @@ def judge(
 
     ``trusted`` has the ids (``id_col``) of trusted documents.  Returns doc_id,
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept, score, threshold, and the columns in ``keep``.  A row is kept if it
+    kept, score and threshold.  A row is kept if it
     passes the base rules and its score isn't under the threshold: the mean less
     ``deviations`` standard deviations of the scores of trusted documents that
     pass the base rules.
@@ -99,16 +98,15 @@ def judge(
     kept as null and never trusted.  Repeated rows are judged and counted as
     often as they stand; ids may repeat.  Without trusted documents nothing is
     known against a text, so the base rules alone decide.  An empty table gives
-    no rows.  Other columns, whatever their names, are ignored unless in ``keep``.
+    no rows.  Other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     checkpoint_dir(spark)
     ids = trusted.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct().withColumn("_trusted", F.lit(True))
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)  # its size was checked
-    carried = {f"_keep{k}": c for k, c in enumerate(keep)}
     base = (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(k) for k, c in carried.items()])
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         .join(ids, F.col("doc_id") == F.col("_id"), "left")
         .withColumns({"_trusted": F.coalesce("_trusted", F.lit(False)), "_fold": F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)), F.lit(0)).cast("int")})
         .drop("_id")
@@ -133,7 +131,7 @@ def judge(
 
     table = counted.select("bucket", ratio("t0", halves[0]).alias("l0"), ratio("t1", halves[1]).alias("l1"))
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    keys = ["_row", "doc_id", "_trusted", "_fold", *stats, *carried]
+    keys = ["_row", "doc_id", "_trusted", "_fold", *stats]
     scored = (
         _base(base)
         .select(F.monotonically_increasing_id().alias("_row"), *keys[1:], _buckets(F.col("_words"), buckets).alias("_buckets"))
@@ -148,6 +146,5 @@ def judge(
     known = scored.filter("_trusted and not base_failed").agg(F.avg("score"), F.stddev_pop("score"), F.count("*")).first()
     threshold = round(known[0] - deviations * known[1], 9) if known[2] else float("-inf")
     return scored.select(
-        "doc_id", *stats, "base_failed", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score", F.lit(threshold).alias("threshold"),
-        *[F.col(k).alias(c) for k, c in carried.items()],
-    )
+        "doc_id", *stats, "base_failed", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score", F.lit(threshold).alias("threshold")
+    )
