@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwright.llm import near_dedup, packing, quality_rules, toxicity
+from boxwright.llm import html_extract, near_dedup, packing, quality_classifier, quality_rules, toxicity
 from boxwright.session import ship_package
 
 
@@ -32,6 +32,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    pages = _table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     docs = _table(spark, sf_dir, "documents")
@@ -43,6 +54,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_minhash_dedup": op2_minhash_dedup,
         "op6_packing": op6_packing,
+        "op8_quality_classifier": op8_quality_classifier,
+        "op9_html_extraction": op9_html_extraction,
         "op10_toxicity": op10_toxicity,
     }
 
