@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwright.llm import html_extract, near_dedup, packing, quality_classifier, quality_rules, toxicity
+from boxwright.llm import html_extract, near_dedup, packing, quality_classifier, quality_rules, toxicity, url_filter
 from boxwright.session import ship_package
 
 
@@ -27,6 +27,40 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=3, num=85, den=100)
 
 
+# fixed values: the rules of the url query, and hosts blocked where no rule fits
+URL_ALLOW = ("com/", "www.example.com/en/")
+URL_BLOCK = ("example.com/en/", "net/es/", "net/fr/")
+URL_HOSTS = tuple(f"{name}.example.{top}" for name in ("casino-win", "cheap-pills", "ads-track", "spam-farm", "adult-x") for top in ("com", "net", "org"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_ALLOW, URL_BLOCK, URL_HOSTS)
+
+
+_HOSTS_SQL = " OR ".join(f"host = '{h}' OR suffix(host, '.{h}')" for h in URL_HOSTS)
+OP3_SQL = f"""
+WITH u AS (
+  SELECT page_id, coalesce(url, '') AS url, position('://' IN coalesce(url, '')) AS pos FROM pages),
+r AS (SELECT page_id, CASE WHEN pos > 0 THEN substr(url, pos + 3) ELSE '' END AS rest FROM u),
+p AS (
+  SELECT page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM r),
+rules(rule, h, pre, v) AS (VALUES
+  ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+  ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
+  ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+hit AS (
+  SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v
+  FROM p LEFT JOIN rules ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, pre)
+  GROUP BY page_id, host, path)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IS NOT NULL THEN v WHEN {_HOSTS_SQL} THEN 'block' ELSE 'allow' END AS verdict
+FROM hit
+"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return packing.pack(_table(spark, sf_dir, "documents"))
@@ -53,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_minhash_dedup": op2_minhash_dedup,
+        "op3_url_filter": op3_url_filter,
         "op6_packing": op6_packing,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_html_extraction": op9_html_extraction,
@@ -61,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": OP3_SQL}
