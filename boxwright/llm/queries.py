@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from boxwright.llm import html_extract, near_dedup, packing, quality_classifier, quality_rules, toxicity, url_filter
+from boxwright.llm import html_extract, near_dedup, packing, quality_classifier, quality_rules, topk, toxicity, url_filter
 from boxwright.session import ship_package
 
 
@@ -61,6 +62,25 @@ FROM hit
 """
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, p.vec_id, CAST(list_dot_product(q.v, p.v) AS BIGINT) AS score
+  FROM v q JOIN v p ON q.vec_id % 100 = 0 AND q.vec_id <> p.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10
+"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return packing.pack(_table(spark, sf_dir, "documents"))
@@ -88,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_minhash_dedup": op2_minhash_dedup,
         "op3_url_filter": op3_url_filter,
+        "op4_top_k": op4_top_k,
         "op6_packing": op6_packing,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_html_extraction": op9_html_extraction,
@@ -96,4 +117,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL}
+    return {"op3_url_filter": OP3_SQL, "op4_top_k": OP4_SQL}
