@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxwright.llm.sampling import least_hashed
+
 # fixed values: elements of the HTML standard by how they are read
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "option", "object")
@@ -283,9 +285,11 @@ def fit(pages: list[str], l2: float = 1e-3, steps: int = 300) -> TreeModel:
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = 400, most_chars: int = 50_000) -> TreeModel:
     """Fit on the ``sample_pages`` pages of least hashed id among those with an article or main element and at most ``most_chars`` characters."""
-    marked = pages.filter(F.col(html_col).rlike("(?i)<(article|main)[ >]") & (F.length(html_col) <= most_chars))
-    sample = marked.select(F.xxhash64(id_col).alias("h"), F.col(html_col).alias("html")).orderBy("h", "html").limit(sample_pages).collect()
-    return fit([r.html for r in sample])
+    marked = pages.filter(F.col(html_col).rlike("(?i)<(article|main)[ >]") & (F.length(html_col) <= most_chars) & F.col(id_col).isNotNull())
+    chosen = least_hashed(marked.select(F.col(id_col).alias("_id")), "_id", sample_pages)
+    # sample_pages ids at most are broadcast, and as many pages come to the driver
+    sample = marked.select(F.col(id_col).alias("_id"), F.col(html_col).alias("html")).join(F.broadcast(chosen), "_id", "left_semi").collect()
+    return fit([r.html for r in sorted(sample, key=lambda r: (r["_id"], r.html))[: 2 * sample_pages]])
 
 
 def extract(pages: DataFrame, model: TreeModel, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.llm import html_extract, near_dedup, packing, quality_classifier, quality_rules, topk, toxicity, url_filter
+from boxwright.llm import html_extract, license_scan, near_dedup, packing, quality_classifier, quality_rules, topk, toxicity, url_filter
 from boxwright.session import ship_package
 
 
@@ -86,6 +86,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -110,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filter": op3_url_filter,
         "op4_top_k": op4_top_k,
         "op6_packing": op6_packing,
+        "op7_license_scan": op7_license_scan,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_html_extraction": op9_html_extraction,
         "op10_toxicity": op10_toxicity,

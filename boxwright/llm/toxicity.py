@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxwright.llm.sampling import least_hashed
 from boxwright.llm.textvec import blocks, buffer_of, span_hashes
 
 PREFIXES = (4, 5, 6, 7, 8)
@@ -162,12 +163,8 @@ def train(
     that are far more common in positive documents) they hold.  Null labels and
     ids take no part; without any labelled document every grade is 0.
     """
-    chosen = (
-        labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-        .filter("_id is not null and _label is not null")
-        .orderBy(F.xxhash64("_id"), "_id", "_label")
-        .limit(sample_rows)
-    )
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id is not null and _label is not null")
+    chosen = least_hashed(known, "_id", sample_rows)
     sample = (
         docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
         .join(F.broadcast(chosen), "_id")  # sample_rows rows at most

@@ -110,7 +110,7 @@ def build_cascade(universe: DataFrame, listed: Iterable[str]) -> Cascade:
     names = sorted(set(listed))
     if not names:
         return Cascade()
-    inside = spark.createDataFrame([(x,) for x in names], "key string")
+    inside = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in names])).alias("key"))
     # a list of this size is a filter constant; the universe is never joined with it
     rest = universe.select("key").filter("key is not null").distinct()
     outside = _minus(rest, inside).checkpoint()
