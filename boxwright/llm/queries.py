@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.llm import html_extract, license_scan, near_dedup, packing, quality_classifier, quality_rules, topk, toxicity, url_filter
+from boxwright.llm import html_extract, license_scan, near_dedup, packing, pieces, quality_classifier, quality_rules, topk, toxicity, url_filter
 from boxwright.session import ship_package
 
 
@@ -81,6 +81,11 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10
 """
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return pieces.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return packing.pack(_table(spark, sf_dir, "documents"))
@@ -113,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_minhash_dedup": op2_minhash_dedup,
         "op3_url_filter": op3_url_filter,
         "op4_top_k": op4_top_k,
+        "op5_pieces": op5_pieces,
         "op6_packing": op6_packing,
         "op7_license_scan": op7_license_scan,
         "op8_quality_classifier": op8_quality_classifier,
