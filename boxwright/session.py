@@ -12,12 +12,15 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package's Python files to the executors, once for each application.
+    """Send this package's Python files to the executors, once for each application, and keep their batches small.
 
-    Needed only by stages that run Python on the executors, and only where the
-    package isn't installed there; sending it again does no harm.
+    Needed only by stages that run Python on the executors.  Texts are long, so
+    batches of Spark's default row count would take much of a worker's memory;
+    a session that sets its own count keeps it.
     """
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if context.applicationId in _shipped:
         return
     here = Path(__file__).resolve().parent
