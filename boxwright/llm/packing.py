@@ -60,8 +60,11 @@ def segment_encoder(path: str) -> SegmentCache:
         tokenizer = Tokenizer.from_file(path)
 
         def encode(segments: list[bytes]) -> list[list[int]]:
-            texts = [x.decode("utf-8", "replace") for x in segments]
-            return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            out: list[list[int]] = []
+            for k in range(0, len(segments), 5000):  # the library's results are large beside their ids
+                texts = [x.decode("utf-8", "replace") for x in segments[k : k + 5000]]
+                out.extend(x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+            return out
 
         _encoders[path] = SegmentCache(encode)
     return _encoders[path]

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one vectorised step looks at.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 #: Words are runs of anything but these bytes (space, and tab to carriage return).
 SPACE = np.zeros(256, dtype=bool)
@@ -159,7 +159,7 @@ class SegmentCache:
     segments it starts anew, which changes speed only.
     """
 
-    def __init__(self, encode, limit: int = 1_500_000, bits: int = 22):
+    def __init__(self, encode, limit: int = 800_000, bits: int = 21):
         self.encode, self.limit, self.bits = encode, limit, bits
         self.clear()
 
