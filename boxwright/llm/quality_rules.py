@@ -41,7 +41,7 @@ def _buckets(words: Column, buckets: int) -> Column:
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    """Adds the counts to (doc_id, text, ...).
+    """Adds the counts to (doc_id, text, _words, ...).
 
     Equal three-word windows are found by their 64-bit hashes, sorted with their
     places, so a text of n words takes n log n steps.
@@ -52,7 +52,7 @@ def _base(docs: DataFrame) -> DataFrame:
         n >= 3,
         F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.xxhash64(F.element_at("_words", i), F.element_at("_words", i + 1), F.element_at("_words", i + 2))),
     ).otherwise(F.array().cast("array<bigint>"))
-    out = docs.withColumn("_words", words_of(F.col("text"))).withColumns({"_lines": lines, "_windows": windows})
+    out = docs.withColumns({"_lines": lines, "_windows": windows})
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
     placed = F.when(repeats, F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     out = out.withColumns(
@@ -111,9 +111,12 @@ def judge(
         .withColumns({"_trusted": F.coalesce("_trusted", F.lit(False)), "_fold": F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)), F.lit(0)).cast("int")})
         .drop("_id")
     )
+    base = base.withColumn("_words", words_of(F.col("text")))
     # what the corpus and each half of the trusted documents have in each bucket
     counted = (
-        base.select("_trusted", "_fold", F.explode(_buckets(words_of(F.col("text")), buckets)).alias("bucket"))
+        # outer, then a filter: for an inner one Spark would compute the buckets a second time
+        base.select("_trusted", "_fold", F.explode_outer(_buckets(F.col("_words"), buckets)).alias("bucket"))
+        .filter("bucket is not null")
         .groupBy("bucket")
         .agg(
             F.count("*").alias("raw"),
