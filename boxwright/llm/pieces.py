@@ -60,8 +60,17 @@ class PieceModel:
         # what merging never makes can't be an edge
         usable = sorted(t for t in self.ids if len(t) == 1 or self.merge(t) == [t])
         self.pieces = [(t.encode(), self.ids[t]) for t in usable]
-        self.single = {t for t in self.ids if len(t) == 1}
-        self.pairs: dict[int, bool] = {}  # by left << 32 | right
+        self.is_single = np.array([len(t) == 1 and t in self.ids for t in self.texts])
+        self.longest = max(len(p) for p, _ in self.pieces)
+        # pieces by their length in groups of eight bytes, with the least and greatest value of each group of bytes
+        self.groups = []
+        for width in range(1, (self.longest + 7) // 8 + 1):
+            group = [(p, i) for p, i in self.pieces if (len(p) + 7) // 8 == width]
+            bound = lambda k, fill: np.array([int.from_bytes(p[8 * k : 8 * k + 8].ljust(8, fill), "big") for p, _ in group], dtype=np.uint64)  # noqa: B023, E731
+            if group:
+                self.groups.append(([(bound(k, b"\0"), bound(k, b"\xff")) for k in range(width)], np.array([len(p) for p, _ in group]), np.array([i for _, i in group])))
+        # pairs known so far, by left << 16 | right, in order, and whether they stay apart
+        self.pairs, self.apart = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def merge(self, text: str) -> list[str]:
         """Byte-pair merging of a short string: best score first, then leftmost."""
@@ -74,17 +83,23 @@ class PieceModel:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def may_follow(self, left: int, right: int) -> bool:
-        """Whether the two pieces stay as they are side by side. Negative ids are characters outside the vocabulary, which never merge."""
-        if left < 0 or right < 0:
-            return True
-        known = self.pairs.get(left << 32 | right)
-        if known is None:
-            if len(self.pairs) >= MOST_PAIRS:
-                self.pairs.clear()
-            known = self.merge(self.texts[left] + self.texts[right]) == [self.texts[left], self.texts[right]]
-            self.pairs[left << 32 | right] = known
-        return known
+    def may_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether the pieces stay as they are side by side. Negative ids are characters outside the vocabulary, which never merge."""
+        out = np.ones(len(left), dtype=bool)
+        asked = np.flatnonzero((left >= 0) & (right >= 0))
+        codes = left[asked] << 16 | right[asked]
+        at = np.searchsorted(self.pairs, codes)
+        new = np.unique(codes[self.pairs[np.minimum(at, len(self.pairs) - 1)] != codes]) if len(self.pairs) else np.unique(codes)
+        if len(new):
+            if len(self.pairs) > MOST_PAIRS:
+                self.pairs, self.apart, new = np.zeros(0, np.int64), np.zeros(0, bool), np.unique(codes)
+            text = self.texts
+            apart = [self.merge(text[c >> 16] + text[c & 0xFFFF]) == [text[c >> 16], text[c & 0xFFFF]] for c in new.tolist()]
+            place = np.searchsorted(self.pairs, new)
+            self.pairs, self.apart = np.insert(self.pairs, place, new), np.insert(self.apart, place, apart)
+            at = np.searchsorted(self.pairs, codes)
+        out[asked] = self.apart[at] if len(asked) else True
+        return out
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word (UTF-8, spaces as in the model)."""
@@ -94,16 +109,15 @@ class PieceModel:
         n = len(data)
         if not n:
             return [[] for _ in words]
-        longest = max(len(p) for p, _ in self.pieces)
+        longest = self.longest
         # suffixes by their first bytes, eight at a time; zeros beyond the word's end
         left = np.repeat(ends, ends - starts) - np.arange(n)
-        keys = []
-        padded = np.concatenate([data, np.zeros(longest + 8, np.uint8)]).astype(np.uint64)
-        for k in range(0, min(longest, int((ends - starts).max())), 8):
-            key = np.zeros(n, dtype=np.uint64)
-            for j in range(k, k + 8):
-                key = (key << np.uint64(8)) | np.where(left > j, padded[j : j + n], np.uint64(0))
-            keys.append(key)
+        padded = np.concatenate([data, np.zeros(longest + 16, np.uint8)])
+        eight = np.zeros(n + longest + 8, dtype=np.uint64)
+        for j in range(8):
+            eight = (eight << np.uint64(8)) | padded[j : j + len(eight)]
+        mask = np.array([(1 << 64) - (1 << (64 - 8 * k)) for k in range(9)], dtype=np.uint64)  # the first k bytes
+        keys = [eight[k : k + n] & mask[np.clip(left - k, 0, 8)] for k in range(0, min(longest, int((ends - starts).max())), 8)]
         order = np.argsort(keys[0], kind="stable")
         if len(keys) > 1:  # only long suffixes with equal first bytes need the others
             same = np.zeros(n + 1, dtype=bool)
@@ -114,74 +128,73 @@ class PieceModel:
         keys = [k[order] for k in keys]
         # every piece's range of suffixes, narrowed eight bytes at a time
         edges_at, edges_to, edges_id = [], [], []
-        for width in range(1, (longest + 7) // 8 + 1):
-            group = [(p, i) for p, i in self.pieces if (len(p) + 7) // 8 == width]
-            if not group or width > len(keys):
+        for bounds, size, ids in self.groups:
+            if len(bounds) > len(keys):
                 continue
-            lo, hi = np.zeros(len(group), np.int64), np.full(len(group), n)
-            for k in range(width):
-                low = np.array([int.from_bytes(p[8 * k : 8 * k + 8].ljust(8, b"\0"), "big") for p, _ in group], dtype=np.uint64)
-                high = np.array([int.from_bytes(p[8 * k : 8 * k + 8].ljust(8, b"\xff"), "big") for p, _ in group], dtype=np.uint64)
-                if k == 0:
-                    lo, hi = np.searchsorted(keys[0], low), np.searchsorted(keys[0], high, side="right")
-                else:
-                    for x in np.flatnonzero(hi > lo):
-                        part = keys[k][lo[x] : hi[x]]
-                        lo[x], hi[x] = lo[x] + np.searchsorted(part, low[x]), lo[x] + np.searchsorted(part, high[x], side="right")
-            size = np.array([len(p) for p, _ in group])
+            lo, hi = np.searchsorted(keys[0], bounds[0][0]), np.searchsorted(keys[0], bounds[0][1], side="right")
+            for key, (low, high) in zip(keys[1:], bounds[1:], strict=False):
+                for x in np.flatnonzero(hi > lo):
+                    part = key[lo[x] : hi[x]]
+                    lo[x], hi[x] = lo[x] + np.searchsorted(part, low[x]), lo[x] + np.searchsorted(part, high[x], side="right")
             many = hi - lo
             at = order[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
             to = at + np.repeat(size, many)
             inside = np.repeat(size, many) <= left[at]  # zeros in a text could look like the end
             edges_at.append(at[inside])
             edges_to.append(to[inside])
-            edges_id.append(np.repeat([i for _, i in group], many)[inside])
+            edges_id.append(np.repeat(ids, many)[inside])
         return self._relax(data, starts, ends, np.concatenate(edges_at), np.concatenate(edges_to), np.concatenate(edges_id))
 
     def _relax(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, to: np.ndarray, piece: np.ndarray) -> list[list[int]]:
+        """All words at once, one end offset after another; of the edges that end in one place the longest first."""
         # characters outside the vocabulary are edges of their own
         head = np.flatnonzero((data & 0xC0) != 0x80)
-        after = np.append(head[1:], len(data))
-        after = np.minimum(after, np.repeat(ends, ends - starts)[head])
+        word = np.repeat(np.arange(len(starts)), ends - starts)
+        after = np.minimum(np.append(head[1:], len(data)), ends[word[head]])
         singles = np.zeros(len(data), dtype=bool)
-        singles[at[np.isin(piece, [self.ids[t] for t in self.single])]] = True
+        singles[at[self.is_single[piece]]] = True
         odd = ~singles[head]
         at, to, piece = np.concatenate([at, head[odd]]), np.concatenate([to, after[odd]]), np.concatenate([piece, np.full(odd.sum(), -1)])
         order = np.lexsort((at, to))
-        at, to, piece = at[order].tolist(), to[order].tolist(), piece[order].tolist()
-        last = [-2] * (len(data) + 1)  # the last piece of the encoding up to each place; -2: no edge ends here
-        back = [0] * (len(data) + 1)
-        first = set(starts.tolist())
-        may, pairs = self.may_follow, self.pairs
-        done = -1
-        # a place where a word begins is also where the one before ends, so each word's first edges are told by their start
-        for a, b, p in zip(at, to, piece, strict=True):
-            if b == done:
+        at, to, piece = at[order], to[order], piece[order]
+        new = np.ones(len(to), dtype=bool)
+        new[1:] = to[1:] != to[:-1]
+        turn = np.arange(len(to)) - np.maximum.accumulate(np.where(new, np.arange(len(to)), 0))
+        offset = to - starts[word[at]]
+        order = np.lexsort((turn, offset))
+        at, to, piece, turn, offset = at[order], to[order], piece[order], turn[order], offset[order]
+        cuts = np.flatnonzero((offset[1:] != offset[:-1]) | (turn[1:] != turn[:-1])) + 1
+        begins = at == starts[word[at]]
+        # the last piece of the encoding up to each place (-2: none ends here), and where it begins; a word's first edges don't look at it
+        last, back = np.full(len(data) + 1, -2, dtype=np.int64), np.zeros(len(data) + 1, dtype=np.int64)
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
+            a, b, p, first = at[lo:hi], to[lo:hi], piece[lo:hi], begins[lo:hi]
+            open_ = (last[b] == -2) & (first | (last[a] != -2))
+            if not open_.any():
                 continue
-            if a in first:
-                ok = True
-            else:
-                q = last[a]
-                if q == -2:
-                    continue
-                ok = True if p < 0 or q < 0 else pairs.get(q << 32 | p)
-                if ok is None:
-                    ok = may(q, p)
-            if ok:
-                last[b], back[b] = p, a
-                done = b
-        raw, out = data.tobytes(), []
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            ids: list[int] = []
-            while e > s:
-                p, a = last[e], back[e]
-                if p < 0:
-                    ids.extend(int(self.byte_ids[c]) for c in reversed(raw[a:e]))
-                else:
-                    ids.append(p)
-                e = a
-            out.append(ids[::-1])
-        return out
+            a, b, p, first = a[open_], b[open_], p[open_], first[open_]
+            ok = first.copy()
+            ok[~first] = self.may_follow(last[a[~first]], p[~first])
+            last[b[ok]], back[b[ok]] = p[ok], a[ok]
+        # back from the words' ends
+        here, live, steps = ends.copy(), np.arange(len(starts)), []
+        while len(live):
+            steps.append((live, last[here[live]], back[here[live]], here[live]))
+            here[live] = back[here[live]]
+            live = live[here[live] > starts[live]]
+        words, ids, froms, tos = (np.concatenate(x) for x in zip(*steps, strict=True))
+        order = np.lexsort((froms, words))
+        words, ids, froms, tos = words[order], ids[order], froms[order], tos[order]
+        raw = np.where(ids < 0, tos - froms, 1)  # bytes stand for characters outside the vocabulary
+        upto = np.concatenate([[0], np.cumsum(raw)])
+        flat = np.repeat(ids, raw)
+        gaps = np.flatnonzero(flat < 0)
+        inner = gaps - np.repeat(upto[:-1], raw)[gaps] + np.repeat(froms, raw)[gaps]
+        flat[gaps] = self.byte_ids[data[inner]]
+        counts = np.bincount(words, raw, minlength=len(starts)).astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
+        out = flat.tolist()
+        return [out[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, bytes as UTF-8, the space put before the text taken away."""
