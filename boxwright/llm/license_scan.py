@@ -6,17 +6,20 @@
 2. The other texts are cut into windows of twice the longest template, each
    overlapping the next by half, so that a notice as long as its template lies
    whole in one window.
-3. A window's sketch is made of minhashes over those of its shingles that
-   templates have, in bands of one value: a window that holds a template in
-   whole has, for each hash, the template's minhash unless another template's
-   shingle is less; with ``hashes`` bands the chance to miss is bounded
-   (``miss_probability``).  Equal band values retrieve templates.
+3. Templates are put into classes by their number of shingles (each class up to
+   twice the one before).  A window has a sketch for each class: minhashes over
+   those of its shingles that the class' templates have, in bands of one value.
+   A window that holds a template has its minhash as its own unless the shingle
+   of another template of the class is less, so the number of bands follows from
+   how many of them may share a window (``hashes_for``).  Equal band values
+   retrieve templates.
 4. Each retrieved (window, template) pair is verified by exact containment: the
    share of the template's shingles that the window holds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from functools import reduce
 
@@ -61,13 +64,20 @@ def shingles_of(words: Column, size: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), run)).otherwise(F.array().cast("array<bigint>"))
 
 
-def miss_probability(containment: float, hashes: int, share: float = 0.5) -> float:
-    """The chance that no band retrieves a template of which a window holds this share.
+def hashes_for(sizes: list[int], containment: float, miss: float, crowd: int = 8) -> int:
+    """Bands with which a template of a class is missed with at most this probability.
 
-    ``share``: the least share that the common shingles have of all template
-    shingles in the window and template together.
+    ``sizes``: the class' numbers of shingles.  A window may hold up to ``crowd``
+    of its templates in whole.
     """
-    return (1 - containment * share) ** hashes
+    share = containment * min(sizes) / sum(sorted(sizes)[-crowd:])
+    return 1 if share >= 1 else math.ceil(math.log(miss) / math.log(1 - share))
+
+
+def _in(values: set[int]):
+    """A test for membership in a constant list."""
+    listed = sorted(values)
+    return lambda s: s.isin(listed)
 
 
 def scan(
@@ -77,7 +87,7 @@ def scan(
     text_col: str = "text",
     size: int = 5,
     containment: float = 0.8,
-    hashes: int = 24,
+    miss: float = 1e-6,
 ) -> DataFrame:
     """doc_id, license, containment, first_word and n_words (of the window) of every license found in a text.
 
@@ -105,7 +115,7 @@ def scan(
     parts = []
     for k in lengths:
         mine = sorted(x for x, n in sized.items() if min(n, size) == k)
-        parts.append(_scan(docs, named.filter(F.col("license").isin(mine)), max(sized[x] for x in mine), id_col, text_col, k, containment, hashes))
+        parts.append(_scan(docs, named.filter(F.col("license").isin(mine)), max(sized[x] for x in mine), id_col, text_col, k, containment, miss))
     best = F.max(F.struct("containment", (-F.col("first_word")).alias("at"), "n_words"))
     return (
         reduce(DataFrame.union, parts)
@@ -115,14 +125,22 @@ def scan(
     )
 
 
-def _scan(docs: DataFrame, named: DataFrame, longest: int, id_col: str, text_col: str, size: int, containment: float, hashes: int) -> DataFrame:
+def _scan(docs: DataFrame, named: DataFrame, longest: int, id_col: str, text_col: str, size: int, containment: float, miss: float) -> DataFrame:
     known = named.select("license", F.explode(F.array_distinct(shingles_of(F.col("w"), size))).alias("s"))
     rows = known.collect()  # the templates' shingles: a list as long as the templates
     universe = sorted({r.s for r in rows})
-    seeds = list(range(hashes))
-    # minhashes of the templates, one row for each template and hash
-    bands = known.groupBy("license").agg(*[F.min(F.xxhash64("s", F.lit(j))).alias(f"h{j}") for j in seeds], F.count("*").alias("n_template"))
-    bands = bands.select("license", "n_template", F.posexplode(F.array(*[f"h{j}" for j in seeds])).alias("j", "value"))
+    of: dict[str, set[int]] = {}
+    for r in rows:
+        of.setdefault(r.license, set()).add(r.s)
+    classes: dict[int, list[str]] = {}
+    for name in sorted(of):
+        classes.setdefault(len(of[name]).bit_length(), []).append(name)
+    bands_of = {c: hashes_for([len(of[x]) for x in names], containment, miss) for c, names in classes.items()}
+    cls = F.element_at(F.create_map(*[F.lit(v) for c, names in classes.items() for x in names for v in (x, c)]), F.col("license"))
+    many = F.element_at(F.create_map(*[F.lit(v) for pair in bands_of.items() for v in pair]), F.col("cls"))
+    # minhashes of the templates, one row for each template and band
+    banded = known.withColumn("cls", cls).withColumn("j", F.explode(F.sequence(F.lit(0), many - 1)))
+    bands = banded.groupBy("license", "cls", "j").agg(F.min(F.xxhash64("s", "j")).alias("value"), F.count("*").alias("n_template"))
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), words_of(F.col(text_col).cast("string")).alias("w"))
     hashed = texts.select("doc_id", F.size("w").alias("n"), shingles_of(F.col("w"), size).alias("s"))
@@ -136,8 +154,10 @@ def _scan(docs: DataFrame, named: DataFrame, longest: int, id_col: str, text_col
         .select("row", "doc_id", "n", F.col("x.s").alias("s"), F.explode(F.array_distinct(F.array(F.floor(F.col("x.at") / step), F.greatest(F.floor(F.col("x.at") / step) - 1, F.lit(0))))).alias("window"))
     )
     windows = hits.groupBy("row", "doc_id", "n", "window").agg(F.collect_set("s").alias("held"))
-    sketch = windows.withColumn("j", F.explode(F.array(*[F.lit(j) for j in seeds]))).withColumn("value", F.array_min(F.transform("held", lambda s: F.xxhash64(s, F.col("j")))))
-    found = sketch.join(F.broadcast(bands), ["j", "value"]).select("doc_id", "n", "window", "held", "license", "n_template").distinct()
+    parts = [F.struct(F.lit(c).alias("cls"), F.filter("held", _in(set().union(*(of[x] for x in names)))).alias("own")) for c, names in classes.items()]
+    split = windows.select("doc_id", "n", "window", "held", F.inline_outer(F.array(*parts))).filter("size(own) > 0")
+    sketch = split.withColumn("j", F.explode_outer(F.sequence(F.lit(0), many - 1))).withColumn("value", F.array_min(F.transform("own", lambda s: F.xxhash64(s, F.col("j")))))
+    found = sketch.join(F.broadcast(bands), ["cls", "j", "value"]).select("doc_id", "n", "window", "held", "license", "n_template").distinct()
     sets = known.groupBy("license").agg(F.collect_set("s").alias("set"))
     share = F.size(F.array_intersect("held", "set")) / F.col("n_template")
     return (

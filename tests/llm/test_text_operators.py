@@ -314,5 +314,6 @@ def test_licenses_equal_brute_force(spark, odd, empty):
             share = len(shingle(split(text)) & shingle(split(template))) / len(shingle(split(template)))
             if share >= 0.8:
                 want[i, name] = share
+    assert set(found) == set(want), (set(found) - set(want), set(want) - set(found))
     assert found == pytest.approx(want)
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(empty).count() == 0 and license_scan.scan(odd, {}).count() == 0
