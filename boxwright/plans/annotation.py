@@ -110,13 +110,13 @@ def f13(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "raw_boxes").filter(ok).select("image_id", "gt_idx", *[c.alias(n) for n, c in box.named().items()])
 
 
-CENTER = "SELECT image_id, gt_idx, round((x1 + x2) / 2 / 1280, 6) AS cx, round((y1 + y2) / 2 / 720, 6) AS cy, round((x2 - x1) / 1280, 6) AS w, round((y2 - y1) / 720, 6) AS h FROM gt_boxes"
+CENTER = "SELECT image_id, gt_idx, round((x1 + x2) / 2 / 1280, 10) AS cx, round((y1 + y2) / 2 / 720, 10) AS cy, round((x2 - x1) / 1280, 10) AS w, round((y2 - y1) / 720, 10) AS h FROM gt_boxes"
 
 
 @query("f14_to_center", sql(CENTER, "gt_boxes"))
 def f14(spark: SparkSession, d: str) -> DataFrame:
     out = G.to_center(G.Box.of(), F.lit(1280), F.lit(720))
-    return frame(spark, d, "gt_boxes").select("image_id", "gt_idx", *[F.round(c, 6).alias(n) for n, c in out.items()])
+    return frame(spark, d, "gt_boxes").select("image_id", "gt_idx", *[F.round(c, 10).alias(n) for n, c in out.items()])
 
 
 @query("f15_center_round_trip", sql("SELECT image_id, gt_idx, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2 FROM gt_boxes", "gt_boxes"))

@@ -15,7 +15,7 @@ def connect(sf_dir):
 
 
 def plain(value):
-    return round(value, 6) + 0.0 if isinstance(value, float) else value
+    return float(f"{value:.9g}") + 0.0 if isinstance(value, float) else value
 
 
 def check(frame, con, text):
