@@ -110,16 +110,14 @@ def coco(predictions: DataFrame, boxes: DataFrame, images: DataFrame | None = No
     )
     points = running(rows.select(F.col("class_key").alias("class_id"), "conf", "image_id", "pred_idx", "tp")).filter("tp = 1")
     steps = points.select("class_id.*", F.col("cum_tp"), (F.col("cum_tp") / F.col("cum_n")).alias("precision")).withColumn("k", F.floor(100 * F.col("cum_tp") / F.col("n_gt")).cast("int"))
-    best = steps.groupBy("grp", "class_id", "t", "k").agg(F.max("precision").alias("p"))
+    best = steps.groupBy("grp", "class_id", "t", "k").agg(F.max("precision").alias("p"), F.max("cum_tp").alias("tps"))
     # the best precision at recall k or beyond, for k = 0..100, from at most 101 values
-    grids = best.groupBy("grp", "class_id", "t").agg(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("o"), "p"))).alias("ks"))
+    grids = best.groupBy("grp", "class_id", "t").agg(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("o"), "p"))).alias("ks"), F.max("tps").alias("tps"))
     grid = F.transform(F.sequence(F.lit(0), F.lit(100)), lambda k: F.coalesce(F.array_max(F.transform(F.filter("ks", lambda x: -x["o"] >= k), lambda x: x["p"])), F.lit(0.0)))
-    ap = grids.select("grp", "class_id", "t", (F.aggregate(grid, F.lit(0.0), lambda a, x: a + x) / 101).alias("ap"))
-    found = points.select("class_id.*", "cum_tp").groupBy("grp", "class_id", "t").agg(F.max("cum_tp").alias("tps"))
+    ap = grids.select("grp", "class_id", "t", (F.aggregate(grid, F.lit(0.0), lambda a, x: a + x) / 101).alias("ap"), "tps")
     every = totals.withColumn("t", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])))
     return (
         every.join(ap, ["grp", "class_id", "t"], "left")
-        .join(found, ["grp", "class_id", "t"], "left")
         .select("grp", "class_id", F.col("t").alias("threshold"), F.coalesce("ap", F.lit(0.0)).alias("ap"), (F.coalesce("tps", F.lit(0)) / F.col("n_gt")).alias("ar"))
     )
 
