@@ -36,7 +36,7 @@ from boxwright.llm.textvec import blocks, buffer_of, lower_ascii, mix64, span_ha
 from boxwright.session import checkpoint_dir
 
 #: Shingles of one side of a block of comparisons.
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 100_000
 #: So many ids at most are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
