@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from boxwright.functions.vocab import CLASSES
 from boxwright.operators.matching import _fold, argmax, greedy, pairs
+from boxwright.session import checkpoint_dir
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
 
@@ -30,7 +31,11 @@ def precision_recall(predictions: DataFrame, boxes: DataFrame, conf: float = 0.2
 
 
 def flagged(predictions: DataFrame, boxes: DataFrame, least: float = 0.5) -> DataFrame:
-    """M4: every prediction of a class that has boxes, with tp 0/1 and the class' number of boxes."""
+    """M4: every prediction of a class that has boxes, with tp 0/1 and the class' number of boxes.
+
+    Checkpointed: curves read it several times, and it is far smaller than the matching.
+    """
+    checkpoint_dir(predictions.sparkSession)
     owned = argmax(predictions, boxes, least, by_class=True).select("image_id", "pred_idx", F.lit(1).alias("hit"))
     totals = boxes.groupBy("class_id").agg(F.count("*").alias("n_gt"))
     return (
@@ -39,6 +44,7 @@ def flagged(predictions: DataFrame, boxes: DataFrame, least: float = 0.5) -> Dat
         .join(owned, ["image_id", "pred_idx"], "left")
         .withColumn("tp", F.coalesce("hit", F.lit(0)))
         .drop("hit")
+        .checkpoint()
     )
 
 
@@ -87,6 +93,7 @@ def coco(predictions: DataFrame, boxes: DataFrame, images: DataFrame | None = No
     Each image's predictions of a class are matched at all ten thresholds from
     one list of candidate pairs.  101 recall points; recall as exact integers.
     """
+    checkpoint_dir(predictions.sparkSession)
     group = F.lit("all") if by is None else F.col(by)
     if by is not None:
         tags = images.select("image_id", F.col(by))
@@ -106,9 +113,10 @@ def coco(predictions: DataFrame, boxes: DataFrame, images: DataFrame | None = No
         .withColumn("t", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])))
         .join(hits, ["image_id", "pred_idx", "t"], "left")
         .withColumn("tp", F.coalesce("hit", F.lit(0)))
-        .withColumn("class_key", F.struct("grp", "class_id", "t", "n_gt"))
+        .select(F.struct("grp", "class_id", "t", "n_gt").alias("class_id"), "conf", "image_id", "pred_idx", "tp")
+        .checkpoint()
     )
-    points = running(rows.select(F.col("class_key").alias("class_id"), "conf", "image_id", "pred_idx", "tp")).filter("tp = 1")
+    points = running(rows).filter("tp = 1")
     steps = points.select("class_id.*", F.col("cum_tp"), (F.col("cum_tp") / F.col("cum_n")).alias("precision")).withColumn("k", F.floor(100 * F.col("cum_tp") / F.col("n_gt")).cast("int"))
     best = steps.groupBy("grp", "class_id", "t", "k").agg(F.max("precision").alias("p"), F.max("cum_tp").alias("tps"))
     # the best precision at recall k or beyond, for k = 0..100, from at most 101 values
