@@ -80,7 +80,8 @@ def average_precision(flags: DataFrame) -> DataFrame:
     to true positives, which is all that the class window has to sort.
     """
     points = curve(flags).filter("tp = 1").select("class_id", "cum_tp", "recall", "precision")
-    after = Window.partitionBy("class_id").orderBy("cum_tp").rowsBetween(0, Window.unboundedFollowing)
+    # from the end, as a running maximum: a frame that reaches to the end would be read anew for each row
+    after = Window.partitionBy("class_id").orderBy(F.desc("cum_tp")).rowsBetween(Window.unboundedPreceding, 0)
     rising = Window.partitionBy("class_id").orderBy("cum_tp")
     area = (F.col("recall") - F.coalesce(F.lag("recall").over(rising), F.lit(0.0))) * F.max("precision").over(after)
     found = points.withColumn("a", area).groupBy("class_id").agg(F.sum("a").alias("ap"))
