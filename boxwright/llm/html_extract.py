@@ -28,14 +28,19 @@ from boxwright.llm.sampling import least_hashed
 
 # fixed values: elements of the HTML standard by how they are read
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "option", "object")
+RAW = ("script", "style", "textarea", "title", "iframe")
+#: Elements whose content isn't shown as text; they are parsed, so that one without an end tag ends with its parent.
+HIDDEN = frozenset(("select", "template"))
 BLOCKS = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CLOSES_P = BLOCKS - frozenset("br body html head td th tr tbody thead tfoot dd dt li legend summary figcaption".split())
+CLOSES_P = BLOCKS - frozenset("br body html head td th tr tbody thead tfoot dd dt li legend optgroup option summary figcaption".split())
+#: Blocks that a list of choices holds; any other block ends an open one, and an open drawing or formula too.
+CHOICES = frozenset("hr legend optgroup option".split())
+FOREIGN_TEXT = frozenset("annotation-xml desc foreignobject mi mn mo ms mtext".split())
 #: An element that ends an open one of the same kind.
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"optgroup", "option"}}
 # fixed values: words that elements use for what isn't the article, and for what is
 AWAY = frozenset(
     "nav navbar navigation menu menubar footer header masthead sidebar aside ad ads advert adverts advertisement banner sponsor sponsored promo "
@@ -51,57 +56,75 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
-_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
 def parse(page: str) -> tuple[list[str], list[int], list[str], list[tuple[int, str, bool]]]:
     """Tags, parents and attribute words of the elements, and the texts in order.
 
     Node 0 is the page.  A text is (element, characters, first of its block).
-    Content of RAW elements, comments and declarations is dropped; a construct
-    that the page's end cuts off is dropped too.
+    Content of RAW and HIDDEN elements, comments and declarations is dropped; a
+    construct that the page's end cuts off is dropped too.  A RAW element without
+    an end tag reaches to the page's end, as in the HTML standard.
     """
     tags, parents, words = [""], [-1], [""]
     texts: list[tuple[int, str, bool]] = []
-    open_nodes, fresh, at, n = [0], True, 0, len(page)
+    # names and nodes of the open elements; HIDDEN ones and what they hold are no nodes (-1)
+    open_tags, open_nodes, fresh, at, n = [""], [0], True, 0, len(page)
+
+    def close(k: int) -> None:
+        del open_tags[k:], open_nodes[k:]
+
+    def write(text: str) -> None:
+        nonlocal fresh
+        if open_nodes[-1] >= 0:
+            texts.append((open_nodes[-1], text, fresh))
+            fresh = False
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
         if lt > at:
-            texts.append((open_nodes[-1], page[at:lt], fresh))
-            fresh = False
+            write(page[at:lt])
         if lt == n:
             break
         m = _TOKEN.match(page, lt)
         if m is None:  # a bare "<"
-            texts.append((open_nodes[-1], "<", fresh))
-            fresh, at = False, lt + 1
+            write("<")
+            at = lt + 1
             continue
         at = m.end()
         if m[1]:
             name = m[1].lower()
             for k in range(len(open_nodes) - 1, 0, -1):
-                if tags[open_nodes[k]] == name:
-                    del open_nodes[k:]
+                if open_tags[k] == name:
+                    close(k)
                     break
             fresh = fresh or name in BLOCKS
         elif m[2]:
             name = m[2].lower()
             fresh = fresh or name in BLOCKS
+            if name in BLOCKS and name not in CHOICES:
+                for k in range(len(open_nodes) - 1, 0, -1):
+                    if open_tags[k] in ("select", "svg", "math"):
+                        close(k)
+                        break
+                    if open_tags[k] in FOREIGN_TEXT:
+                        break
             if name in CLOSES_P:
                 for k in range(len(open_nodes) - 1, 0, -1):
-                    if tags[open_nodes[k]] == "p":
-                        del open_nodes[k:]
+                    if open_tags[k] == "p":
+                        close(k)
                         break
-                    if tags[open_nodes[k]] in ("button", "td", "th", "div", "section", "article"):
+                    if open_tags[k] in ("button", "td", "th", "div", "section", "article"):
                         break
             elif name in SIBLINGS:
                 for k in range(len(open_nodes) - 1, 0, -1):
-                    if tags[open_nodes[k]] in ("ul", "ol", "dl", "table", "menu"):
+                    if open_tags[k] in ("ul", "ol", "dl", "table", "menu", "select", "datalist"):
                         break
-                    if tags[open_nodes[k]] in SIBLINGS[name]:
-                        del open_nodes[k:]
+                    if open_tags[k] in SIBLINGS[name]:
+                        close(k)
                         break
             if name in VOID:
                 continue
@@ -110,11 +133,14 @@ def parse(page: str) -> tuple[list[str], list[int], list[str], list[tuple[int, s
                     end = _RAW_END[name].search(page, at)
                     at = end.end() if end else n
                 continue
-            tags.append(name)
-            parents.append(open_nodes[-1])
-            words.append(" ".join(a or b or c for a, b, c in _ATTR.findall(m[3])) if m[3] else "")
+            shown = open_nodes[-1] >= 0 and name not in HIDDEN
+            if shown:
+                tags.append(name)
+                parents.append(open_nodes[-1])
+                words.append(" ".join(a or b or c for a, b, c in _ATTR.findall(m[3])) if m[3] else "")
             if not m[3].endswith("/"):
-                open_nodes.append(len(tags) - 1)
+                open_tags.append(name)
+                open_nodes.append(len(tags) - 1 if shown else -1)
     return tags, parents, words, texts
 
 
@@ -124,8 +150,11 @@ TAG_GROUPS = (
     ("article", "main"), ("body", "html", "head", ""), ("figure", "figcaption", "details", "summary"),
 )
 _TAG_NUMBER = {t: k for k, group in enumerate(TAG_GROUPS) for t in group}
-#: Elements inside a line of text; they are read as the block that they stand in.
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
+#: Elements inside a line of text, formulas among them; they are read as the block that they stand in.
+INLINE = frozenset(
+    "a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var "
+    "annotation math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
 N_FEATURES = len(TAG_GROUPS) + 10
 
 

@@ -255,6 +255,26 @@ def test_html_model_and_odd_pages():
     assert isinstance(model.extract(deep), str)
 
 
+def test_extraction_loses_nothing_to_unclosed_elements():
+    plain = "<html><body>{}<nav><a href=/>Home</a></nav><article><h1>Title</h1><p>Some text, with words.{}</p><p>More text, here.</p></article><footer>Foot</footer></body></html>"
+    model = html_extract.fit([plain.format("", "").replace("words", f"words{k}") for k in range(5)])
+    want = "Title Some text, with words. More text, here."
+    assert model.extract(plain.format("", "")) == want
+    for ahead in (
+        "<form><datalist id=x><option value=a><option value=b></datalist></form>",
+        "<form><datalist id=x><option value=a><option value=b></form>",
+        "<div><noscript><img src=x></div>", "<div><object data=x><param name=y></div>", "<div><svg><path d=x></div>", "<div><math><mi></div>", "<svg><path d=x>", "<math><mrow>",
+        "<form><select><option>One<option>Two</form>", "<select><option>One<optgroup><option>Two", "<div><template><p>Hidden</div>", "<script>if (a < b) '<p>'</script x>", "<textarea><p></textarea/>",
+    ):
+        assert model.extract(plain.format(ahead, "")) == want, ahead
+    assert model.extract(plain.format("", " Then <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.")) == "Title Some text, with words. Then x=2 holds. More text, here."
+    for inside in ("noscript", "object"):
+        assert "A fallback, with words." in model.extract(plain.format("", "").replace("<p>More", f"<{inside}><p>A fallback, with words.</p></{inside}><p>More"))
+    assert model.extract(plain.format("", "<select><option>One</select><template><b>Two</b></template>")) == want
+    options = html_extract.parse("<datalist><option>One<option>Two</datalist>")
+    assert [options[0][node] for node, _, _ in options[3]] == ["option", "option"] and options[1] == [-1, 0, 1, 1]
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(5)
     parents = np.array([-1, 0, 0, 1, 1, 2])
