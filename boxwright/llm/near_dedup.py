@@ -5,8 +5,8 @@ A text is the set of its word shingles.  For one in ``m`` small collections of
 *pair* of bands.  So m(m-1)/2 tables of 2 x width minhashes each come from only
 m x width minhashes, and two texts share a table if they share two bands.
 
-1. Equal sets are one class (128-bit fingerprints of the sets); its smallest id
-   stands for it from here on.
+1. Equal sets are one class (128-bit fingerprints of the sets), with a number
+   of its own that stands for it from here on; ids may repeat.
 2. Bands that only one class has are dropped, and tables are made from the
    rest; tables with the same members are one.
 3. In each table every class is compared with the table's leader; the links
@@ -77,8 +77,7 @@ def signatures(docs: DataFrame, size: int, m: int, width: int) -> DataFrame:
                     for k in full.tolist():
                         own = np.unique(hashes[begin[k] : begin[k + 1]])
                         n[k] = len(own)
-                        f[0, k] = mix64(own).sum()
-                        f[1, k] = mix64(own ^ np.uint64(0x5851F42D4C957F2D)).sum()
+                        f[:, k] = _fingerprint(own)
                     if len(full):
                         at = begin[full]
                         for i in range(m):
@@ -96,21 +95,39 @@ def signatures(docs: DataFrame, size: int, m: int, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>")
 
 
+def _fingerprint(own: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits of a set of distinct hashes."""
+    with np.errstate(over="ignore"):
+        return mix64(own).sum(), mix64(own ^ np.uint64(0x5851F42D4C957F2D)).sum()
+
+
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """rep and shingles (sorted distinct hashes) from (doc_id, text)."""
+    """doc_id, the set's fingerprint (f1, f2) and shingles (sorted distinct hashes) from (doc_id, text).
+
+    A task gives equal (doc_id, f1, f2) once; several tasks may give them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int, int]] = set()
         for batch in batches:
             data, offsets = buffer_of(batch.column(1))
             for lo, hi in blocks(offsets):
                 part = offsets[lo : hi + 1]
                 hashes, begin = _shingles(data[part[0] : part[-1]], part - part[0], size)
-                own = [np.unique(hashes[begin[k] : begin[k + 1]]) for k in range(hi - lo)]
+                keys, own = [], []
+                for k, i in enumerate(batch.column(0)[lo:hi].to_pylist()):
+                    found = np.unique(hashes[begin[k] : begin[k + 1]])
+                    key = (i, *(int(f.view(np.int64)) for f in _fingerprint(found)))
+                    if key not in seen:
+                        seen.add(key)
+                        keys.append(key)
+                        own.append(found)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in own])])
                 flat = np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(flat))], names=["rep", "shingles"])
+                ids = [pa.array([key[j] for key in keys], type=pa.int64()) for j in range(3)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(flat))], names=["doc_id", "f1", "f2", "shingles"])
 
-    return docs.mapInArrow(run, "rep bigint, shingles array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, f1 bigint, f2 bigint, shingles array<bigint>")
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -195,6 +212,11 @@ def _compare(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.join(sets, "rep").select("block", "unit", "comp", "guest", "shingles").groupBy("block").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """The rows with a hint to broadcast them, if they were counted to be few."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else rows
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -224,10 +246,10 @@ def near_duplicates(
     signed = signatures(texts, size, m, width).checkpoint()
     full = signed.filter("doc_id is not null and n_shingles > 0")
 
-    # classes of equal sets
-    classes = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many")).checkpoint()
-    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"])
-    bands = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    # classes of equal sets, numbered; the number is fixed once the table is written
+    classes = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.count("*").alias("many"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = classes.withColumn("rep", F.monotonically_increasing_id()).checkpoint()
+    bands = classes.select("rep", "n", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").count().filter("count > 1").select("band")
     kept = bands.join(shared, "band").groupBy("rep", "n").agg(F.sort_array(F.collect_set("band")).alias("bands")).filter(F.size("bands") > 1)
     pairs = F.flatten(F.transform("bands", lambda x, i: F.transform(F.slice(F.col("bands"), i + 2, F.lit(m)), lambda y: F.xxhash64(x, y))))
@@ -237,10 +259,17 @@ def near_duplicates(
     once = sizes.groupBy("many", "leader", "x", "y").agg(F.min("key").alias("key")).select("key", "leader")
     held = tables.join(once, "key").select("key", "rep", "n", "leader").checkpoint()
 
-    involved = held.select(F.col("rep").alias("doc_id")).distinct()
-    if involved.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        involved = F.broadcast(involved)  # its size was checked
-    sets = shingle_sets(texts.join(involved, "doc_id", "left_semi"), size).checkpoint()
+    # one set for each class: that of a row with its least id, of which there may be several if the id repeats
+    repeated = full.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("least"), F.lit(True).alias("again"))
+    involved = held.select("rep").distinct().join(classes.select("rep", "least", "f1", "f2"), "rep").join(repeated, "least", "left").checkpoint()
+    ids = _small(involved.select(F.col("least").alias("doc_id")).distinct())
+    found = shingle_sets(texts.join(ids, "doc_id", "left_semi"), size).join(_small(involved.withColumnRenamed("least", "doc_id")), ["doc_id", "f1", "f2"])
+    sets = found.select("rep", "again", "shingles").checkpoint()
+    if involved.filter("again").isEmpty():
+        sets = sets.select("rep", "shingles")
+    else:
+        more = sets.filter("again").select("rep", "shingles").dropDuplicates(["rep"]).checkpoint()
+        sets = sets.filter("again is null").select("rep", "shingles").unionByName(more)
 
     # each class against the leaders of most of its tables
     order = Window.partitionBy("rep").orderBy(F.desc("tables"), "leader")
@@ -269,12 +298,11 @@ def near_duplicates(
         .select(F.col("node").alias("rep"), F.coalesce("over", "component").alias("to"))
         .unionByName(second.join(first.select(F.col("node")), "node", "left_anti").select(F.col("node").alias("rep"), F.col("component").alias("to")))
     )
-    many = classes.filter("many > 1").select("f1", "f2", "rep")
-    named = signed.select("doc_id", "n_shingles", "f1", "f2").join(many, ["f1", "f2"], "left")
-    named = named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
-    return named.join(final, "rep", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("to", "rep")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("to", "rep"), F.lit(True)).alias("kept"),
-    )
+    # back to ids: the least one of each component, for the classes of several rows or with links
+    linked = final.join(classes.select("rep", "least"), "rep").checkpoint()
+    least = _small(linked.groupBy("to").agg(F.min("least").alias("component")))
+    linked = linked.join(least, "to").select("rep", "component")
+    many = classes.join(linked, "rep", "left").filter("many > 1 or component is not null").select("f1", "f2", F.coalesce("component", "least").alias("component"))
+    named = signed.join(many, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

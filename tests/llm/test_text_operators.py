@@ -152,6 +152,19 @@ def test_near_duplicates_on_odd_rows(spark, odd, empty):
     assert len(null) == 4 and all(r.kept and r.component_id is None for r in null)
 
 
+def test_near_duplicates_with_repeated_ids(spark, monkeypatch):
+    """Rows are judged by their own texts, and each class has one set, whatever ids repeat."""
+    text = lambda a, n=60: " ".join(f"{a}{k}" for k in range(n))
+    rows = [(5, text("a"))] * 30 + [(6, text("a") + " tail")] + [(7, text(c)) for c in "bcdef"] + [(8, text("b") + " tail"), (9, text("g")), (4, text("c") + " tail")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    sizes = []
+    compare = near_dedup._compare
+    monkeypatch.setattr(near_dedup, "_compare", lambda rows, sets, *a: sizes.append((sets.count(), sets.select("rep").distinct().count())) or compare(rows, sets, *a))
+    found = near_dedup.near_duplicates(table).collect()
+    assert all(a == b == 6 for a, b in sizes) and len(sizes) == 2
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in found) == {(5, 5, True): 30, (6, 5, False): 1, (7, 7, True): 4, (7, 4, False): 1, (8, 7, False): 1, (9, 9, True): 1, (4, 4, True): 1}
+
+
 def test_collections_bound_the_misses():
     for s in (0.8, 0.85):
         m = near_dedup.collections_for(s, 3)
