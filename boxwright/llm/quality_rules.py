@@ -84,6 +84,7 @@ def judge(
     buckets: int = 1 << 16,
     prior: float = 1.0,
     deviations: float = 3.0,
+    row_col: str | None = None,
 ) -> DataFrame:
     """Counts, score and verdict of every row of ``docs``.
 
@@ -98,7 +99,9 @@ def judge(
     kept as null and never trusted.  Repeated rows are judged and counted as
     often as they stand; ids may repeat.  Without trusted documents nothing is
     known against a text, so the base rules alone decide.  An empty table gives
-    no rows.  Other columns, whatever their names, are ignored.
+    no rows.  Other columns, whatever their names, are ignored.  ``row_col``
+    names a column with a number for each row, the same at each read; if given,
+    it stands first in the result.
     """
     spark = docs.sparkSession
     checkpoint_dir(spark)
@@ -106,7 +109,7 @@ def judge(
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)  # its size was checked
     base = (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.col(row_col).alias("_row")] if row_col else []))
         .join(ids, F.col("doc_id") == F.col("_id"), "left")
         .withColumns({"_trusted": F.coalesce("_trusted", F.lit(False)), "_fold": F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)), F.lit(0)).cast("int")})
         .drop("_id")
@@ -137,7 +140,7 @@ def judge(
     keys = ["_row", "doc_id", "_trusted", "_fold", *stats]
     scored = (
         _base(base)
-        .select(F.monotonically_increasing_id().alias("_row"), *keys[1:], _buckets(F.col("_words"), buckets).alias("_buckets"))
+        .select(F.col("_row") if row_col else F.monotonically_increasing_id().alias("_row"), *keys[1:], _buckets(F.col("_words"), buckets).alias("_buckets"))
         .select(*keys, F.explode_outer("_buckets").alias("bucket"))
         .join(F.broadcast(table), "bucket", "left")  # ``buckets`` rows at most
         .groupBy(*keys)
@@ -148,6 +151,7 @@ def judge(
     )
     known = scored.filter("_trusted and not base_failed").agg(F.avg("score"), F.stddev_pop("score"), F.count("*")).first()
     threshold = round(known[0] - deviations * known[1], 9) if known[2] else float("-inf")
+    row = [F.col("_row").alias(row_col)] if row_col else []
     return scored.select(
-        "doc_id", *stats, "base_failed", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score", F.lit(threshold).alias("threshold")
+        *row, "doc_id", *stats, "base_failed", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score", F.lit(threshold).alias("threshold")
     )

@@ -16,17 +16,25 @@ from boxwright.llm import near_dedup, packing, quality_rules, toxicity
 from boxwright.session import checkpoint_dir, ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+ROW = "row_number"
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents but those of the given ids; only so many ids as were counted are broadcast."""
-    if ids.limit(near_dedup.BROADCAST_IDS + 1).count() <= near_dedup.BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.select(*COLUMNS).join(ids, "doc_id", "left_anti")
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row; written, so that it's the same at each read."""
+    path = f"{checkpoint_dir(spark)}/rows-{uuid.uuid4().hex}"
+    docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents but those rows; only so many numbers as were counted are broadcast."""
+    if rows.limit(near_dedup.BROADCAST_IDS + 1).count() <= near_dedup.BROADCAST_IDS:
+        rows = F.broadcast(rows)
+    return docs.join(rows, ROW, "left_anti").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +44,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the likelihood ratio."""
+    """Rows that pass the base rules and the likelihood ratio, each by its own verdict."""
     trusted = _labels(spark, sf_dir).filter("quality = 1")
-    return _without(docs, quality_rules.judge(docs, trusted).filter("not kept").select("doc_id"))
+    docs = _numbered(spark, docs)
+    return _without(docs, quality_rules.judge(docs, trusted, row_col=ROW).filter("not kept").select(ROW))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8): that of the smallest id."""
+    """One row of each group of near-duplicates (five words, similarity 0.8): the first one with the smallest id, or if none has an id, the first."""
     ship_package(spark)
-    return _without(docs, near_dedup.near_duplicates(docs).filter("not kept").select("doc_id").checkpoint())
+    docs = _numbered(spark, docs)
+    groups = near_dedup.near_duplicates(docs, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id").checkpoint()
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW))
+    first = groups.join(docs.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return _without(docs, groups.select(ROW).join(first, ROW, "left_anti").checkpoint())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

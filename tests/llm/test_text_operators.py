@@ -165,6 +165,21 @@ def test_near_duplicates_with_repeated_ids(spark, monkeypatch):
     assert Counter((r.doc_id, r.component_id, r.kept) for r in found) == {(5, 5, True): 30, (6, 5, False): 1, (7, 7, True): 4, (7, 4, False): 1, (8, 7, False): 1, (9, 9, True): 1, (4, 4, True): 1}
 
 
+def test_pipeline_judges_rows(spark, tmp_path):
+    """Null and repeated ids: every row by its own verdict, and one row of each group."""
+    import corpus_pipeline
+
+    text = lambda a, n=60: " ".join(f"{a}{k}" for k in range(n))
+    rows = [(None, "too short"), (1, text("a")), (1, "too short"), (2, text("b")), (2, text("b")), (3, text("b") + " tail"), (None, text("c")), (None, text("c")), (4, text("c") + " tail"), (None, text("d")), (None, text("d"))]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars int")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    good = corpus_pipeline.keep_quality(spark, docs, str(tmp_path))
+    assert Counter((r.doc_id, r.text) for r in good.collect()) == Counter(r for r in rows if r[1] != "too short")
+    kept = corpus_pipeline.drop_near_duplicates(spark, good, str(tmp_path))
+    assert kept.columns == list(corpus_pipeline.COLUMNS)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == {(1, text("a")): 1, (2, text("b")): 1, (4, text("c") + " tail"): 1, (None, text("d")): 1}
+
+
 def test_collections_bound_the_misses():
     for s in (0.8, 0.85):
         m = near_dedup.collections_for(s, 3)
