@@ -108,7 +108,8 @@ def s4(spark: SparkSession, d: str) -> DataFrame:
     notes = segments.groupBy("image_id").agg(F.collect_list(info).alias("segments_info"))
     categories = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(f"c{k}").alias("name")) for k in range(5)])
     note = F.struct(F.concat(F.col("image_id").cast("string"), F.lit("_gt_panoptic.png")).alias("file_name"), "segments_info")
-    notes.groupBy((F.col("image_id") % 7).alias("part")).agg(F.collect_list(note).alias("annotations")).select("part", categories.alias("categories"), "annotations").write.partitionBy("part").json(folder)
+    parts = max(7, -(-segments.select("image_id").distinct().count() // 1000))  # about 1000 images at most in a file
+    notes.groupBy(F.pmod(F.xxhash64("image_id"), F.lit(parts)).alias("part")).agg(F.collect_list(note).alias("annotations")).select("part", categories.alias("categories"), "annotations").write.partitionBy("part").json(folder)
     return readers.read_panoptic(spark, f"{folder}/*").groupBy("category_name").agg(F.count("*").alias("n"))
 
 

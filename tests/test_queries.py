@@ -48,3 +48,33 @@ names = set(e.queries())
 assert "m1_greedy_match" in names and not any(n.startswith("op") or n == "pipeline" for n in names)
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_panoptic_files_are_bounded(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    from boxwright.plans import io
+    from boxwright.plans.queries import QUERIES
+
+    monkeypatch.setattr(io, "_folder", lambda spark: f"{tmp_path}/panoptic")
+    total = QUERIES["s4_read_panoptic"](spark, "/root/testdata/sf0.01").agg(F.sum("n")).first()[0]
+    sizes = [r.n for r in spark.read.json(f"{tmp_path}/panoptic").select(F.size("annotations").alias("n")).collect()]
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    segment = F.expr("CASE WHEN l_suppkey % 4 = 0 THEN 24 + l_partkey % 10 ELSE (24 + l_partkey % 10) * 1000 + l_suppkey % 3 END")
+    assert total == lines.select("l_orderkey", segment).distinct().count()
+    assert sum(sizes) == lines.select("l_orderkey").distinct().count() and max(sizes) < 1500
+
+
+def test_labels_of_one_split_are_written_by_several_tasks(spark, tmp_path):
+    from boxwright.sources import sinks
+
+    images = spark.range(40).selectExpr("'train' AS split", "id AS image_id", "100 AS width", "50 AS height")
+    boxes = spark.range(20).selectExpr("id AS image_id", "1 AS gt_idx", "2 AS class_id", "10D AS x1", "10D AS y1", "20D AS x2", "30D AS y2")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sinks.write_labels(images, boxes, f"{tmp_path}/labels")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    files = list((tmp_path / "labels").glob("split=train/image_id=*/part-*"))
+    assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 1
