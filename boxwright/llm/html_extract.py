@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.sampling import least_hashed
+from boxwright.llm.sampling import least_hashed, one_row_each
 
 # fixed values: elements of the HTML standard by how they are read
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -51,10 +51,13 @@ HOME = frozenset("article main content entry post story body text paragraph".spl
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</\s*([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    # a quote opens a value only after "="; elsewhere it is a character like any other
+    r"|<([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>][^\s>]*)?)*)(?:>|\Z)",
     re.S,
 )
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: An unquoted value at a tag's end, whose last "/" belongs to it.
+_BARE_END = re.compile(r"=\s*[^\s\"'>][^\s>]*\Z")
 _WORD = re.compile(r"[a-z]+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 
@@ -128,8 +131,9 @@ def parse(page: str) -> tuple[list[str], list[int], list[str], list[tuple[int, s
                         break
             if name in VOID:
                 continue
+            closed = m[3].endswith("/") and not _BARE_END.search(m[3])
             if name in RAW:
-                if not m[3].endswith("/"):
+                if not closed:
                     end = _RAW_END[name].search(page, at)
                     at = end.end() if end else n
                 continue
@@ -138,7 +142,7 @@ def parse(page: str) -> tuple[list[str], list[int], list[str], list[tuple[int, s
                 tags.append(name)
                 parents.append(open_nodes[-1])
                 words.append(" ".join(a or b or c for a, b, c in _ATTR.findall(m[3])) if m[3] else "")
-            if not m[3].endswith("/"):
+            if not closed:
                 open_tags.append(name)
                 open_nodes.append(len(tags) - 1 if shown else -1)
     return tags, parents, words, texts
@@ -313,12 +317,15 @@ def fit(pages: list[str], l2: float = 1e-3, steps: int = 300) -> TreeModel:
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = 400, most_chars: int = 50_000) -> TreeModel:
-    """Fit on the ``sample_pages`` pages of least hashed id among those with an article or main element and at most ``most_chars`` characters."""
+    """Fit on the ``sample_pages`` pages of least hashed id among those with an article or main element and at most ``most_chars`` characters.
+
+    Null ids take no part; of rows that share an id the least page counts.
+    """
     marked = pages.filter(F.col(html_col).rlike("(?i)<(article|main)[ >]") & (F.length(html_col) <= most_chars) & F.col(id_col).isNotNull())
-    chosen = least_hashed(marked.select(F.col(id_col).alias("_id")), "_id", sample_pages)
-    # sample_pages ids at most are broadcast, and as many pages come to the driver
-    sample = marked.select(F.col(id_col).alias("_id"), F.col(html_col).alias("html")).join(F.broadcast(chosen), "_id", "left_semi").collect()
-    return fit([r.html for r in sorted(sample, key=lambda r: (r["_id"], r.html))[: 2 * sample_pages]])
+    pairs = marked.select(F.col(id_col).alias("_id"), F.col(html_col).alias("html"))
+    chosen = least_hashed(pairs, "_id", sample_pages)
+    sample = one_row_each(pairs, chosen, "_id").collect()  # sample_pages pages at most
+    return fit([r.html for r in sorted(sample, key=lambda r: r["_id"])])
 
 
 def extract(pages: DataFrame, model: TreeModel, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

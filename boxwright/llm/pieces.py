@@ -69,7 +69,7 @@ class PieceModel:
             bound = lambda k, fill: np.array([int.from_bytes(p[8 * k : 8 * k + 8].ljust(8, fill), "big") for p, _ in group], dtype=np.uint64)  # noqa: B023, E731
             if group:
                 self.groups.append(([(bound(k, b"\0"), bound(k, b"\xff")) for k in range(width)], np.array([len(p) for p, _ in group]), np.array([i for _, i in group])))
-        # pairs known so far, by left << 16 | right, in order, and whether they stay apart
+        # pairs known so far, by left << 32 | right, in order, and whether they stay apart
         self.pairs, self.apart = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def merge(self, text: str) -> list[str]:
@@ -87,14 +87,14 @@ class PieceModel:
         """Whether the pieces stay as they are side by side. Negative ids are characters outside the vocabulary, which never merge."""
         out = np.ones(len(left), dtype=bool)
         asked = np.flatnonzero((left >= 0) & (right >= 0))
-        codes = left[asked] << 16 | right[asked]
+        codes = left[asked].astype(np.int64) << 32 | right[asked]
         at = np.searchsorted(self.pairs, codes)
         new = np.unique(codes[self.pairs[np.minimum(at, len(self.pairs) - 1)] != codes]) if len(self.pairs) else np.unique(codes)
         if len(new):
             if len(self.pairs) > MOST_PAIRS:
                 self.pairs, self.apart, new = np.zeros(0, np.int64), np.zeros(0, bool), np.unique(codes)
             text = self.texts
-            apart = [self.merge(text[c >> 16] + text[c & 0xFFFF]) == [text[c >> 16], text[c & 0xFFFF]] for c in new.tolist()]
+            apart = [self.merge(text[c >> 32] + text[c & 0xFFFFFFFF]) == [text[c >> 32], text[c & 0xFFFFFFFF]] for c in new.tolist()]
             place = np.searchsorted(self.pairs, new)
             self.pairs, self.apart = np.insert(self.pairs, place, new), np.insert(self.apart, place, apart)
             at = np.searchsorted(self.pairs, codes)

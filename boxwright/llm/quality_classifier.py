@@ -119,20 +119,25 @@ def vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def fit(labelled: DataFrame, pooled: float = 0.15, ridge: float = 0.02, temperature: float = 2.0) -> Discriminant:
     """A model of (label 0/1, x) rows, from sums over all of them.
 
-    Only one row of sums for each class comes to the driver.  With a class
-    missing, both have the other's (or, without rows, unit) moments, so only the
-    classes' frequencies count.
+    Two passes: means, then products around the common mean, which keep their
+    digits.  Only one row of sums for each class comes to the driver.  With a
+    class missing, both have the other's (or, without rows, unit) moments, so
+    only the classes' frequencies count.
     """
     d = len(FEATURES)
     pairs = [(i, j) for i in range(d) for j in range(i + 1)]
-    sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(d)] + [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}_{j}") for i, j in pairs]
-    rows = {r["label"]: r for r in labelled.filter("label in (0, 1)").groupBy("label").agg(F.count("*").alias("n"), *sums).collect()}
+    labelled = labelled.filter("label in (0, 1)")
+    centre = [v or 0.0 for v in labelled.agg(*[F.avg(F.col("x")[i]) for i in range(d)]).first()]
+    off = [F.col("x")[i] - F.lit(centre[i]) for i in range(d)]
+    sums = [F.sum(off[i]).alias(f"s{i}") for i in range(d)] + [F.sum(off[i] * off[j]).alias(f"p{i}_{j}") for i, j in pairs]
+    rows = {r["label"]: r for r in labelled.groupBy("label").agg(F.count("*").alias("n"), *sums).collect()}
     count, mean, cov = np.zeros(2), np.zeros((2, d)), np.stack([np.eye(d)] * 2)
     for k, r in rows.items():
         count[k] = r["n"]
         mean[k] = [r[f"s{i}"] / r["n"] for i in range(d)]
         for i, j in pairs:
             cov[k, i, j] = cov[k, j, i] = r[f"p{i}_{j}"] / r["n"] - mean[k, i] * mean[k, j]
+        mean[k] += centre
     for k in (0, 1):
         if not count[k] and count[1 - k]:
             mean[k], cov[k] = mean[1 - k], cov[1 - k]

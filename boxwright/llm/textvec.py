@@ -8,6 +8,7 @@ text, if that is longer).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,16 @@ BLOCK = 1_000_000
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: The first k bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Spans of more bytes are hashed one by one.
+_LONG = 64
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -37,22 +43,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
-_powers = np.ones(1, dtype=np.uint64)
-_inverse_powers = np.ones(1, dtype=np.uint64)
-
-
-def _grow_powers(n: int) -> None:
-    global _powers, _inverse_powers
-    if len(_powers) < n:
-        with np.errstate(over="ignore"):
-            steps = np.full(max(n, BLOCK + 1), _BASE, dtype=np.uint64)
-            steps[0] = 1
-            _powers = np.cumprod(steps, dtype=np.uint64)
-            steps[1:] = _INVERSE
-            _inverse_powers = np.cumprod(steps, dtype=np.uint64)
-
-
 def buffer_of(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts (null: empty) and where each text starts and ends."""
     if isinstance(texts, pa.ChunkedArray):
@@ -97,18 +87,33 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each span's bytes, the same wherever the span stands.
 
-    A polynomial over the bytes, taken from one running sum over the buffer;
-    the length goes in too, and the result is mixed.
+    Eight bytes at a time are mixed into the value by a step that isn't linear
+    in them (sums of powers of a base would be: they give equal values for
+    different texts, whatever the base).  Long spans go through BLAKE2.
+    Different seeds give independent hashes.
     """
-    _grow_powers(len(data) + 1)
+    size = ends - starts
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUE[data] * _powers[: len(data)], out=sums[1:])
-        value = (sums[ends] - sums[starts]) * _inverse_powers[starts]
-        return mix64(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        value = mix64((size.astype(np.uint64) + np.uint64(1)) * _STEP + np.uint64(seed) * _BASE)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        lanes = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))  # eight bytes from each place on
+        todo, at, left = np.arange(len(starts)), starts, size
+        for _ in range(_LONG // 8):
+            on = (left > 0) & (size[todo] <= _LONG)
+            if not on.all():
+                todo, at, left = todo[on], at[on], left[on]
+            if not len(todo):
+                break
+            lane = lanes[at] & _FIRST[np.minimum(left, 8)]
+            value[todo] = mix64((value[todo] ^ lane) * _STEP + _BASE)
+            at, left = at + 8, left - 8
+    for k in np.flatnonzero(size > _LONG).tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        value[k] = int.from_bytes(digest, "little")
+    return value
 
 
 def windows(hashes: np.ndarray, before: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +161,9 @@ class SegmentCache:
 
     ``encode`` takes a list of byte strings and returns one id list for each.
     The memory is an open-addressing table of segment hashes; beyond ``limit``
-    segments it starts anew, which changes speed only.
+    segments it starts anew, which changes speed only.  A hit counts only if a
+    second, independent hash of the segment is the remembered one too; a segment
+    that only shares the first is encoded by itself.
     """
 
     def __init__(self, encode, limit: int = 800_000, bits: int = 21):
@@ -168,6 +175,7 @@ class SegmentCache:
         self.slots = np.zeros(1 << self.bits, dtype=np.int32)
         self.starts = np.zeros(1024, dtype=np.int64)
         self.lengths = np.zeros(1024, dtype=np.int32)
+        self.checks = np.zeros(1024, dtype=np.uint64)
         self.ids = np.zeros(4096, dtype=np.int32)
         self.n, self.used = 0, 0
 
@@ -184,7 +192,7 @@ class SegmentCache:
             todo, place = todo[on], (place[on] + np.uint64(1)) & mask
         return slot
 
-    def _add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+    def _add(self, hashes: np.ndarray, checks: np.ndarray, ids: list[list[int]]) -> None:
         """Distinct hashes that are not there yet."""
         lengths = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
         flat = np.fromiter((x for one in ids for x in one), dtype=np.int32, count=int(lengths.sum()))
@@ -192,10 +200,12 @@ class SegmentCache:
         while len(self.starts) < n:
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+            self.checks = np.concatenate([self.checks, np.zeros_like(self.checks)])
         while len(self.ids) < used:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : used] = flat
         self.lengths[self.n : n] = lengths
+        self.checks[self.n : n] = checks
         self.starts[self.n : n] = self.used + np.cumsum(lengths) - lengths
         mask = np.uint64((1 << self.bits) - 1)
         place, todo = hashes & mask, np.arange(len(hashes))
@@ -216,8 +226,15 @@ class SegmentCache:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(data))
-        hashes = span_hashes(data, starts, ends)
+        hashes, checks = span_hashes(data, starts, ends), span_hashes(data, starts, ends, seed=1)
         hashes[hashes == 0] = 1
+        raw: bytes | None = None
+
+        def encoded(which: np.ndarray) -> list[list[int]]:
+            nonlocal raw
+            raw = data.tobytes() if raw is None else raw
+            return self.encode([raw[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)])
+
         slot = self._find(hashes)
         new = np.flatnonzero(slot < 0)
         if len(new):
@@ -229,10 +246,16 @@ class SegmentCache:
                 self.clear()
                 new = np.arange(len(hashes))
                 values, once = np.unique(hashes, return_index=True)
-            raw, which = data.tobytes(), new[once]
-            self._add(values, self.encode([raw[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]))
+            which = new[once]
+            self._add(values, checks[which], encoded(which))
             slot = self._find(hashes)
-        lengths = self.lengths[slot].astype(np.int64)
+        known, begins, lengths = self.ids, self.starts[slot], self.lengths[slot].astype(np.int64)
+        other = np.flatnonzero(self.checks[slot] != checks)
+        if len(other):  # another segment has the same first hash
+            extra = encoded(other)
+            lengths[other] = [len(x) for x in extra]
+            begins[other] = self.used + np.cumsum(lengths[other]) - lengths[other]
+            known = np.concatenate([known[: self.used], np.fromiter((x for one in extra for x in one), dtype=np.int32)])
         upto = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.arange(upto[-1]) + np.repeat(self.starts[slot] - upto[:-1], lengths)
-        return self.ids[at], upto[before]
+        at = np.arange(upto[-1]) + np.repeat(begins - upto[:-1], lengths)
+        return known[at], upto[before]

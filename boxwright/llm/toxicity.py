@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.sampling import least_hashed
+from boxwright.llm.sampling import least_hashed, one_row_each
 from boxwright.llm.textvec import blocks, buffer_of, span_hashes
 
 PREFIXES = (4, 5, 6, 7, 8)
@@ -156,21 +156,26 @@ def train(
 ) -> OrdinalModel:
     """Fit a model on a bounded sample of labelled rows.
 
-    The sample is the ``sample_rows`` labelled documents of least hashed id, the
-    same ones whatever the partitioning; nothing else is bounded.  Labels of
-    more than two values are grades.  For 0/1 labels the grades above 0 are made
-    here: positive documents in equal parts by how much of the evidence (words
-    that are far more common in positive documents) they hold.  Null labels and
-    ids take no part; without any labelled document every grade is 0.
+    Bounds, all of them on fitting only (scoring reads every text whole):
+    ``sample_rows``: the labelled documents of least hashed id, the same ones
+    whatever the partitioning, one row for each id (the least label and text,
+    where an id repeats); ``max_features``: the model's size, the features of
+    the sample with the most evidence times the root of their documents, among
+    those that at least ``min_docs`` positive documents hold and that are more
+    than e times as common in these as in the others.
+
+    Labels of more than two values are grades.  For 0/1 labels the grades above
+    0 are made here, from the texts: positive documents in equal parts by how
+    much of the evidence (words that are far more common in positive documents)
+    they hold.  They order documents by amount, not by a judge's severity.  Null
+    labels and ids take no part; without any labelled document every grade is 0.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id is not null and _label is not null")
-    chosen = least_hashed(known, "_id", sample_rows)
-    sample = (
-        docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-        .join(F.broadcast(chosen), "_id")  # sample_rows rows at most
-        .select("_label", "_text")
-        .persist()
-    )
+    # labels that documents have; then as many ids as are wanted, and one label and text for each
+    there = known.join(docs.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct(), "_id", "left_semi")
+    chosen = least_hashed(there, "_id", sample_rows).persist()
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    sample = one_row_each(texts, chosen, "_id").join(one_row_each(known, chosen, "_id"), "_id").select("_label", "_text").persist()
     try:
         positive, negative = F.sum((F.col("label") > 0).cast("int")), F.sum((F.col("label") <= 0).cast("int"))
         total = sample.agg(F.sum((F.col("_label") > 0).cast("int")), F.sum((F.col("_label") <= 0).cast("int"))).first()
@@ -206,6 +211,7 @@ def train(
         found = sample.mapInArrow(known, "label int, features array<int>, vals array<double>").collect()
     finally:
         sample.unpersist()
+        chosen.unpersist()
     if not len(keys) or not found:
         return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.full(max(grades - 1, 1), 30.0))
     found.sort(key=lambda r: (r.label, r.features, r.vals))
@@ -224,7 +230,7 @@ def train(
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """doc_id, severity (expected grade), p_toxic (P(grade >= 1)) and toxic (p_toxic above ``threshold``) of every row.
+    """doc_id, severity (expected grade; for 0/1 labels the grades are ``train``'s own), p_toxic (P(grade >= 1)) and toxic (p_toxic above ``threshold``) of every row.
 
     The whole text counts.  A null text is empty and gets the score of no
     features; a null id stays null; repeated rows are scored as often as they

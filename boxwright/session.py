@@ -30,9 +30,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's, or where it names none (tests) one of our own."""
+    """The shared folder for checkpoints: the cluster's; on a local master that names none, one of our own.
+
+    A cluster without ``spark.checkpoint.dir`` is an error, since a folder of
+    this machine isn't seen by its executors.
+    """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="boxwright-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
