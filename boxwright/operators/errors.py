@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.functions.geometry import Box, area, iou, size_bucket, to_text
+from boxwright.functions.geometry import area, size_bucket, to_text
 from boxwright.functions.vocab import RARE_CLASSES, class_name
-from boxwright.operators.matching import best_box, greedy, pairs
+from boxwright.operators.matching import PREDICTION, box_of, choices, grouped, once, owners
 
 ERROR_TYPES = ("true_positive", "loose_box", "poor_localization", "wrong_class", "false_positive", "missed_object")
 
@@ -18,43 +18,51 @@ def error_table(predictions: DataFrame, boxes: DataFrame, least: float = 0.5, ti
     image_id, pred_idx, gt_idx, class_id, class_name, error_type, gt_box,
     pred_box, iou, conf, box_area, size_bucket, note.  Areas are the box's for
     matches and missed objects, else the prediction's.
+
+    An image's predictions and boxes meet in one group: what is matched, what
+    the others overlap best (in any class) and what is missed come from one fold.
     """
-    p = predictions.select("image_id", "pred_idx", F.col("class_id").alias("pred_class"), "conf", *[F.col(c).alias(f"p_{c}") for c in Box._fields])
-    g = boxes.select("image_id", "gt_idx", F.col("class_id").alias("gt_class"), *[F.col(c).alias(f"g_{c}") for c in Box._fields])
-    matched = greedy(predictions, boxes, least)
-    value = iou(Box.of("p_"), Box.of("g_"))
-
-    def rows(df: DataFrame, cls: Column, kind: Column, of: Box, value: Column, note: Column, gt: bool = True, pred: bool = True) -> DataFrame:
-        none = F.lit(None)
-        return df.select(
-            "image_id",
-            (F.col("pred_idx") if pred else none).cast("bigint").alias("pred_idx"),
-            (F.col("gt_idx") if gt else none).cast("bigint").alias("gt_idx"),
-            cls.cast("int").alias("class_id"),
-            class_name(cls).alias("class_name"),
-            kind.alias("error_type"),
-            (to_text(Box.of("g_")) if gt else F.lit("")).alias("gt_box"),
-            (to_text(Box.of("p_")) if pred else F.lit("")).alias("pred_box"),
-            value.cast("double").alias("iou"),
-            (F.col("conf") if pred else none).cast("double").alias("conf"),
-            F.floor(area(of)).cast("bigint").alias("box_area"),
-            size_bucket(area(of)).alias("size_bucket"),
-            note.alias("note"),
-        )
-
-    pair = matched.join(p, ["image_id", "pred_idx"]).join(g, ["image_id", "gt_idx"])
-    hits = rows(pair, F.col("gt_class"), F.when(value >= tight, "true_positive").otherwise("loose_box"), Box.of("g_"), value, F.lit(""))
-    # the others, by their best box of any class
-    rest = p.join(matched, ["image_id", "pred_idx"], "left_anti")
-    best = best_box(pairs(predictions, boxes)).select("image_id", "pred_idx", "gt_idx", "gt_class", "iou", *[f"g_{c}" for c in Box._fields])
-    placed = rest.join(best, ["image_id", "pred_idx"], "left")
-    wrong = (F.col("iou") >= least) & (F.col("gt_class") != F.col("pred_class"))
-    poor = (F.col("iou") >= low) & (F.col("iou") < least) & (F.col("gt_class") == F.col("pred_class"))
-    kind = F.when(wrong, "wrong_class").when(poor, "poor_localization").otherwise("false_positive")
-    note = F.when(wrong, F.concat(F.lit("gt_class="), class_name(F.col("gt_class")))).otherwise("")
-    bad = rows(placed, F.col("pred_class"), kind, Box.of("p_"), F.coalesce(F.col("iou"), F.lit(0.0)), note)
-    lost = rows(g.join(matched, ["image_id", "gt_idx"], "left_anti"), F.col("gt_class"), F.lit("missed_object"), Box.of("g_"), F.lit(None), F.lit(""), pred=False)
-    return hits.unionByName(bad).unionByName(lost)
+    row = lambda p, g, value, matched: F.struct(p.alias("p"), g.alias("g"), value.alias("iou"), matched.alias("matched"))
+
+    def rows(found: Column) -> Column:
+        mine = lambda p, cs: F.transform(F.filter(cs, lambda c: (c["g"]["cls"] == p["cls"]) & (-c["o"] >= least)), lambda c: c["gt_idx"])
+
+        def placed(own: Column) -> Column:
+            def of(p: Column, i: Column) -> Column:
+                taken = F.get(own, i)
+                best = F.get(F.filter(F.get(found, i), lambda c: taken.isNull() | (c["gt_idx"] == taken)), F.lit(0))
+                return once(best, lambda c: row(p, c["g"], -c["o"], taken.isNotNull()))
+
+            missed = F.filter("gs", lambda g: ~F.coalesce(F.array_contains(own, g["gt_idx"]), F.lit(False)))
+            lost = F.transform(missed, lambda g: row(F.lit(None).cast(PREDICTION), g, F.lit(None).cast("double"), F.lit(False)))
+            return F.concat(F.transform("ps", of), lost)
+
+        return once(owners(F.zip_with("ps", found, mine)), placed)
+
+    all_rows = grouped(predictions, boxes, how="full").select("image_id", F.explode(once(choices(), rows)).alias("r")).select("image_id", "r.*")
+    p, g, value = F.col("p"), F.col("g"), F.col("iou")
+    is_lost, wrong, poor = p.isNull(), (value >= least) & (g["cls"] != p["cls"]), (value >= low) & (value < least) & (g["cls"] == p["cls"])
+    kind = (
+        F.when(is_lost, "missed_object").when(F.col("matched") & (value >= tight), "true_positive").when(F.col("matched"), "loose_box")
+        .when(wrong, "wrong_class").when(poor, "poor_localization").otherwise("false_positive")
+    )
+    by_box = is_lost | F.col("matched")
+    cls, of = F.when(by_box, g["cls"]).otherwise(p["cls"]), F.when(by_box, area(box_of(g))).otherwise(area(box_of(p)))
+    return all_rows.select(
+        "image_id",
+        p["pred_idx"].alias("pred_idx"),
+        g["gt_idx"].alias("gt_idx"),
+        cls.alias("class_id"),
+        class_name(cls).alias("class_name"),
+        kind.alias("error_type"),
+        to_text(box_of(g)).alias("gt_box"),
+        F.when(is_lost, "").otherwise(to_text(box_of(p))).alias("pred_box"),
+        F.when(is_lost, value).otherwise(F.coalesce(value, F.lit(0.0))).alias("iou"),
+        (-p["o"]).alias("conf"),
+        F.floor(of).cast("bigint").alias("box_area"),
+        size_bucket(of).alias("size_bucket"),
+        F.when(~by_box & wrong, F.concat(F.lit("gt_class="), class_name(g["cls"]))).otherwise("").alias("note"),
+    )
 
 
 def by_class(errors: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
 """Matching predictions to ground truth. Four matchers with different rules.
 
 Tables: ``boxes(image_id, gt_idx, class_id, x1, y1, x2, y2)`` and
-``predictions(image_id, pred_idx, class_id, conf, x1, y1, x2, y2)``.  Pairs are
-made by an equi-join on the image (and class); what has to be done in order of
-confidence is a fold over one image's arrays, so its state is bounded by an image.
+``predictions(image_id, pred_idx, class_id, conf, x1, y1, x2, y2)``.  Both
+are grouped by image (and class) and joined; matching is a fold over one image's
+arrays, so each side is shuffled once and the state is bounded by an image.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +17,9 @@ from pyspark.sql.window import Window
 from boxwright.functions.geometry import Box, iou
 
 BACKGROUND = -1
+CORNERS = ",".join(f"{c}:double" for c in Box._fields)
+PREDICTION = f"struct<o:double,pred_idx:bigint,cls:int,{CORNERS}>"
+BOX = f"struct<gt_idx:bigint,cls:int,{CORNERS}>"
 
 
 def _sides(predictions: DataFrame, boxes: DataFrame, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -31,29 +36,62 @@ def pairs(predictions: DataFrame, boxes: DataFrame, same_class: bool = False, le
     return joined.filter((F.col("iou") > 0) & (F.col("iou") >= least))
 
 
-def _fold(ranked: Column) -> Column:
-    """One image's predictions in order, each taking its first free box; null where none is free."""
-    start = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<struct<pred_idx:bigint,gt_idx:bigint>>").alias("out"))
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once however often ``use`` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def box_of(s: Column) -> Box:
+    return Box(*[s[c] for c in Box._fields])
+
+
+def grouped(predictions: DataFrame, boxes: DataFrame, keys: tuple[str, ...] = ("image_id",), how: str = "inner", extra: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each image (and class): ``ps``, its predictions by falling confidence, then ``pred_idx``, and ``gs``, its boxes.
+
+    Each side is shuffled once, by the keys; a group holds one image's rows.
+    """
+    corners = [F.col(c).cast("double").alias(c) for c in Box._fields]
+    p = F.struct((-F.col("conf")).cast("double").alias("o"), F.col("pred_idx").cast("bigint").alias("pred_idx"), F.col("class_id").cast("int").alias("cls"), *corners)
+    g = F.struct(F.col("gt_idx").cast("bigint").alias("gt_idx"), F.col("class_id").cast("int").alias("cls"), *corners)
+    ps = predictions.groupBy(*keys, *extra).agg(F.sort_array(F.collect_list(p)).alias("ps"))
+    gs = boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(g)).alias("gs"))
+    out = ps.join(gs, list(keys), how)
+    return out.withColumns({"ps": F.coalesce("ps", F.array().cast(f"array<{PREDICTION}>")), "gs": F.coalesce("gs", F.array().cast(f"array<{BOX}>"))})
+
+
+def choices(least: float = 0.0, same_class: bool = False) -> Column:
+    """For each of ``ps``, its boxes of ``gs`` with an IoU over 0 and at least ``least``: o (-IoU) and box, best first, then by ``gt_idx``."""
+
+    def of(p: Column) -> Column:
+        rivals = F.filter("gs", lambda g: g["cls"] == p["cls"]) if same_class else F.col("gs")
+        scored = F.transform(rivals, lambda g: F.struct((-iou(box_of(g), box_of(p))).alias("o"), g["gt_idx"].alias("gt_idx"), g.alias("g")))
+        return F.sort_array(F.filter(scored, lambda c: (c["o"] < 0) & (-c["o"] >= least)))
 
-    def step(acc: Column, p: Column) -> Column:
-        free = F.get(F.filter(p["gts"], lambda g: ~F.array_contains(acc["used"], g)), F.lit(0))
-        taken = F.struct(p["pred_idx"].cast("bigint").alias("pred_idx"), free.alias("gt_idx"))
-        return F.when(free.isNull(), acc).otherwise(F.struct(F.concat(acc["used"], F.array(free)).alias("used"), F.concat(acc["out"], F.array(taken)).alias("out")))
+    return F.transform("ps", of)
 
-    return F.aggregate(ranked, start, step, lambda acc: acc["out"])
+
+def owners(wanted: Column) -> Column:
+    """The box that each prediction gets, in order: the first of those it wants that is free, null where none is."""
+
+    def step(taken: Column, gts: Column) -> Column:
+        return F.concat(taken, F.array(F.get(F.filter(gts, lambda g: ~F.coalesce(F.array_contains(taken, g), F.lit(False))), F.lit(0))))
+
+    return F.aggregate(wanted, F.array().cast("array<bigint>"), step)
+
+
+def _ids(chosen: Column) -> Column:
+    return F.transform(chosen, lambda cs: F.transform(cs, lambda c: c["gt_idx"]))
 
 
 def greedy(predictions: DataFrame, boxes: DataFrame, least: float = 0.5) -> DataFrame:
     """M1: (image_id, pred_idx, gt_idx). By falling confidence, each takes the free box of its class with the highest IoU.
 
-    Ties: input order of predictions (``pred_idx``), lowest ``gt_idx``.
+    Ties: input order of predictions (``pred_idx``), lowest ``gt_idx``.  Classes
+    don't compete, so the groups are those of (image, class).
     """
-    candidates = pairs(predictions, boxes, same_class=True, least=least)
-    choices = candidates.groupBy("image_id", "pred_idx", "conf").agg(F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("o"), F.col("gt_idx").cast("bigint").alias("g")))).alias("c"))
-    ranked = choices.groupBy("image_id").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("conf")).alias("o"), F.col("pred_idx").cast("bigint").alias("pred_idx"), F.transform("c", lambda x: x["g"]).alias("gts")))).alias("ranked")
-    )
-    return ranked.select("image_id", F.explode(_fold(F.col("ranked"))).alias("m")).select("image_id", "m.pred_idx", "m.gt_idx")
+    matched = once(owners(_ids(choices(least))), lambda own: F.transform("ps", lambda p, i: F.struct(p["pred_idx"].alias("pred_idx"), F.get(own, i).alias("gt_idx"))))
+    rows = grouped(predictions, boxes, ("image_id", "class_id")).select("image_id", F.explode(matched).alias("m"))
+    return rows.select("image_id", "m.pred_idx", "m.gt_idx").filter("gt_idx is not null")
 
 
 def best_box(candidates: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
@@ -62,25 +100,36 @@ def best_box(candidates: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> Da
     return candidates.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
 
 
+def best_owners(least: float) -> Column:
+    """Like ``owners``, but a prediction wants its best box only, and that if its IoU is at least ``least``."""
+    first = F.transform(choices(), lambda cs: F.transform(F.filter(F.slice(cs, 1, 1), lambda c: -c["o"] >= least), lambda c: c["gt_idx"]))
+    return owners(first)
+
+
 def argmax(predictions: DataFrame, boxes: DataFrame, least: float = 0.5, by_class: bool = False) -> DataFrame:
-    """M3 (class-blind) and M4 (``by_class``): pairs in which a prediction owns its best box.
+    """M3 (class-blind) and M4 (``by_class``): image_id, pred_idx, gt_idx of pairs in which a prediction owns its best box.
 
     A prediction looks only at its best box, over all classes or its own; of
     those with the same box the most confident one owns it.  No second choice.
     """
-    chosen = best_box(pairs(predictions, boxes, same_class=by_class)).filter(F.col("iou") >= least)
-    w = Window.partitionBy("image_id", "gt_idx").orderBy(F.desc("conf"), "pred_idx")
-    return chosen.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+    keys = ("image_id", "class_id") if by_class else ("image_id",)
+    matched = once(best_owners(least), lambda own: F.transform("ps", lambda p, i: F.struct(p["pred_idx"].alias("pred_idx"), F.get(own, i).alias("gt_idx"))))
+    rows = grouped(predictions, boxes, keys).select("image_id", F.explode(matched).alias("m"))
+    return rows.select("image_id", "m.pred_idx", "m.gt_idx").filter("gt_idx is not null")
 
 
 def confusion(predictions: DataFrame, boxes: DataFrame, conf: float = 0.25, least: float = 0.5) -> DataFrame:
     """A16 over M3: true_class, pred_class, n. ``BACKGROUND`` stands for none."""
-    kept = predictions.filter(F.col("conf") >= conf)
-    owned = argmax(kept, boxes, least).select("image_id", "pred_idx", "gt_idx", "gt_class", "pred_class")
-    free = kept.join(owned, ["image_id", "pred_idx"], "left_anti").select(F.lit(BACKGROUND).alias("true_class"), F.col("class_id").cast("int").alias("pred_class"))
-    missed = boxes.join(owned, ["image_id", "gt_idx"], "left_anti").select(F.col("class_id").cast("int").alias("true_class"), F.lit(BACKGROUND).alias("pred_class"))
-    hits = owned.select(F.col("gt_class").cast("int").alias("true_class"), F.col("pred_class").cast("int").alias("pred_class"))
-    return hits.unionByName(free).unionByName(missed).groupBy("true_class", "pred_class").agg(F.count("*").alias("n"))
+    cell = lambda true, pred: F.struct(true.alias("true_class"), pred.alias("pred_class"))
+    none = F.lit(BACKGROUND)
+
+    def cells(own: Column) -> Column:
+        true = lambda i: F.coalesce(F.get(F.filter("gs", lambda g: g["gt_idx"] == F.get(own, i)), F.lit(0))["cls"], none)
+        missed = F.filter("gs", lambda g: ~F.coalesce(F.array_contains(own, g["gt_idx"]), F.lit(False)))
+        return F.concat(F.transform("ps", lambda p, i: cell(true(i), p["cls"])), F.transform(missed, lambda g: cell(g["cls"], none)))
+
+    images = grouped(predictions.filter(F.col("conf") >= conf), boxes, how="full")
+    return images.select(F.explode(once(best_owners(least), cells)).alias("c")).select("c.*").groupBy("true_class", "pred_class").agg(F.count("*").alias("n"))
 
 
 def suppress(predictions: DataFrame, most: float = 0.7) -> DataFrame:
@@ -90,10 +139,9 @@ def suppress(predictions: DataFrame, most: float = 0.7) -> DataFrame:
     """
     box = F.struct((-F.col("conf")).alias("o"), "pred_idx", *Box._fields)
     ranked = predictions.groupBy("image_id", "class_id").agg(F.sort_array(F.collect_list(box)).alias("ps"))
-    of = lambda s: Box(s["x1"], s["y1"], s["x2"], s["y2"])
     kept = F.aggregate(
         "ps",
         F.slice("ps", 1, 0),
-        lambda acc, p: F.when(F.exists(acc, lambda k: iou(of(k), of(p)) > most), acc).otherwise(F.concat(acc, F.array(p))),
+        lambda acc, p: F.when(F.exists(acc, lambda k: iou(box_of(k), box_of(p)) > most), acc).otherwise(F.concat(acc, F.array(p))),
     )
     return ranked.select("image_id", "class_id", F.inline(kept)).select("image_id", "class_id", "pred_idx", (-F.col("o")).alias("conf"), *Box._fields)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boxwright.functions.vocab import CLASSES
-from boxwright.operators.matching import _fold, argmax, greedy, pairs
+from boxwright.operators.matching import best_owners, choices, greedy, grouped, once, owners
 from boxwright.session import checkpoint_dir
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
@@ -36,34 +36,32 @@ def flagged(predictions: DataFrame, boxes: DataFrame, least: float = 0.5) -> Dat
     Checkpointed: curves read it several times, and it is far smaller than the matching.
     """
     checkpoint_dir(predictions.sparkSession)
-    owned = argmax(predictions, boxes, least, by_class=True).select("image_id", "pred_idx", F.lit(1).alias("hit"))
     totals = boxes.groupBy("class_id").agg(F.count("*").alias("n_gt"))
-    return (
-        predictions.select("image_id", "pred_idx", "class_id", "conf")
-        .join(F.broadcast(totals), "class_id")  # a row for each class
-        .join(owned, ["image_id", "pred_idx"], "left")
-        .withColumn("tp", F.coalesce("hit", F.lit(0)))
-        .drop("hit")
-        .checkpoint()
-    )
+    row = lambda own: F.transform("ps", lambda p, i: F.struct(p["pred_idx"].alias("pred_idx"), (-p["o"]).alias("conf"), F.get(own, i).isNotNull().cast("int").alias("tp")))
+    rows = grouped(predictions, boxes, ("image_id", "class_id"), "left").select("image_id", "class_id", F.explode(once(best_owners(least), row)).alias("r"))
+    # a row for each class
+    return rows.select("image_id", "r.pred_idx", "class_id", "r.conf", "r.tp").join(F.broadcast(totals), "class_id").select("image_id", "pred_idx", "class_id", "conf", "n_gt", "tp").checkpoint()
 
 
-def running(flags: DataFrame, tiers: int = 64) -> DataFrame:
-    """Running counts of true positives and predictions of a class, by (conf desc, image, prediction).
+def running(flags: DataFrame, tiers: int = 64, by: tuple[str, ...] = ("class_id",), hits: tuple[str, ...] = ("tp",)) -> DataFrame:
+    """Running counts of predictions (``cum_n``) and of each kind of hit (``cum_...``) of a class, by (conf desc, image, prediction).
 
     Two levels, so that a class with most of the rows isn't one task's: within
-    bands of confidence, and over the bands' totals.
+    ``band``, one of some ``tiers`` ranges of confidence with about as many rows
+    each, and over the bands' totals.  Equal confidences share a band.
     """
-    band = F.least(F.floor((1 - F.col("conf")) * tiers), F.lit(tiers)).cast("int")
-    banded = flags.withColumn("_band", band)
-    totals = banded.groupBy("class_id", "_band").agg(F.sum("tp").alias("_t"), F.count("*").alias("_n"))
-    over = Window.partitionBy("class_id").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("class_id", "_band", F.coalesce(F.sum("_t").over(over), F.lit(0)).alias("_t0"), F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_n0"))
-    w = Window.partitionBy("class_id", "_band").orderBy(F.desc("conf"), "image_id", "pred_idx").rowsBetween(Window.unboundedPreceding, 0)
+    shares = [k / tiers for k in range(1, tiers)]
+    cuts = flags.groupBy(*by).agg(F.percentile_approx("conf", shares, 1000).alias("_cuts"))
+    banded = flags.join(F.broadcast(cuts), list(by)).withColumn("band", F.size(F.filter("_cuts", lambda c: c > F.col("conf")))).drop("_cuts")  # a row for each class
+    sums = {h: F.sum(h).alias(f"_0{h}") for h in hits}
+    totals = banded.groupBy(*by, "band").agg(*sums.values(), F.count("*").alias("_0n"))
+    over = Window.partitionBy(*by).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*by, "band", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(c) for c in (*[f"_0{h}" for h in hits], "_0n")])
+    w = Window.partitionBy(*by, "band").orderBy(F.desc("conf"), "image_id", "pred_idx").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        banded.join(F.broadcast(before), ["class_id", "_band"])  # classes x bands rows
-        .withColumns({"cum_tp": F.col("_t0") + F.sum("tp").over(w), "cum_n": F.col("_n0") + F.count("*").over(w)})
-        .drop("_t0", "_n0", "_band")
+        banded.join(F.broadcast(before), [*by, "band"])  # classes x bands rows
+        .withColumns({**{f"cum_{h}": F.col(f"_0{h}") + F.sum(h).over(w) for h in hits}, "cum_n": F.col("_0n") + F.count("*").over(w)})
+        .drop(*[f"_0{h}" for h in hits], "_0n")
     )
 
 
@@ -75,50 +73,56 @@ def curve(flags: DataFrame) -> DataFrame:
 def average_precision(flags: DataFrame) -> DataFrame:
     """M5: all-point interpolation, per class.
 
-    Recall only moves at true positives, and the envelope there is the best
-    precision at this or a later true positive; so the points are first reduced
-    to true positives, which is all that the class window has to sort.
+    Recall only moves at true positives, by the same step at each, and the
+    envelope there is the best precision at this or a later one: the best so far
+    from the band's end, or of a later band.  So no class is sorted as a whole.
     """
-    points = curve(flags).filter("tp = 1").select("class_id", "cum_tp", "recall", "precision")
+    checkpoint_dir(flags.sparkSession)
+    points = curve(flags).filter("tp = 1").select("class_id", "band", "cum_tp", "n_gt", "precision").checkpoint()
     # from the end, as a running maximum: a frame that reaches to the end would be read anew for each row
-    after = Window.partitionBy("class_id").orderBy(F.desc("cum_tp")).rowsBetween(Window.unboundedPreceding, 0)
-    rising = Window.partitionBy("class_id").orderBy("cum_tp")
-    area = (F.col("recall") - F.coalesce(F.lag("recall").over(rising), F.lit(0.0))) * F.max("precision").over(after)
-    found = points.withColumn("a", area).groupBy("class_id").agg(F.sum("a").alias("ap"))
+    here = Window.partitionBy("class_id", "band").orderBy(F.desc("cum_tp")).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("class_id").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+    best = points.groupBy("class_id", "band").agg(F.max("precision").alias("p")).select("class_id", "band", F.max("p").over(later).alias("later"))
+    envelope = F.greatest(F.max("precision").over(here), F.col("later"))  # null where no band is later: not compared
+    areas = points.join(F.broadcast(best), ["class_id", "band"]).withColumn("a", envelope / (F.col("n_gt") + 1e-9))  # classes x bands rows
+    found = areas.groupBy("class_id").agg(F.sum("a").alias("ap"))
     return flags.select("class_id").distinct().join(found, "class_id", "left").select("class_id", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
 def coco(predictions: DataFrame, boxes: DataFrame, images: DataFrame | None = None, by: str | None = None, most: int = 100) -> DataFrame:
     """M7: group, class_id, threshold, ap, ar by the public COCO protocol; M9 with ``by``, a column of ``images``.
 
-    Each image's predictions of a class are matched at all ten thresholds from
-    one list of candidate pairs.  101 recall points; recall as exact integers.
+    Each image's predictions of a class are matched at all ten thresholds in one
+    group, from one list of IoUs; a prediction stays one row, with a hit for
+    each threshold, and its running counts are taken in one sort.  101 recall
+    points; recall as exact integers.
     """
     checkpoint_dir(predictions.sparkSession)
     group = F.lit("all") if by is None else F.col(by)
     if by is not None:
         tags = images.select("image_id", F.col(by))
         predictions, boxes = predictions.join(tags, "image_id"), boxes.join(tags, "image_id")
-    w = Window.partitionBy("image_id", "class_id").orderBy(F.desc("conf"), "pred_idx")
-    top = predictions.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= most).drop("_k").withColumn("grp", group)
-    totals = boxes.withColumn("grp", group).groupBy("grp", "class_id").agg(F.count("*").alias("n_gt"))
-    candidates = pairs(top, boxes, same_class=True, least=THRESHOLDS[0]).withColumn("t", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS]))).filter("iou >= t")
-    choices = candidates.groupBy("image_id", "pred_class", "t", "pred_idx", "conf").agg(F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("o"), F.col("gt_idx").cast("bigint").alias("g")))).alias("c"))
-    ranked = choices.groupBy("image_id", "pred_class", "t").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("conf")).alias("o"), F.col("pred_idx").cast("bigint").alias("pred_idx"), F.transform("c", lambda x: x["g"]).alias("gts")))).alias("ranked")
-    )
-    hits = ranked.select("image_id", "t", F.inline(_fold(F.col("ranked")))).select("image_id", "t", "pred_idx", F.lit(1).alias("hit"))
-    rows = (
-        top.select("grp", "image_id", "pred_idx", "class_id", "conf")
-        .join(F.broadcast(totals), ["grp", "class_id"])
-        .withColumn("t", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])))
-        .join(hits, ["image_id", "pred_idx", "t"], "left")
-        .withColumn("tp", F.coalesce("hit", F.lit(0)))
-        .select(F.struct("grp", "class_id", "t", "n_gt").alias("class_id"), "conf", "image_id", "pred_idx", "tp")
+    predictions, boxes = predictions.withColumn("grp", group), boxes.withColumn("grp", group)
+    totals = boxes.groupBy("grp", "class_id").agg(F.count("*").alias("n_gt"))
+    hits = [f"h{k}" for k in range(len(THRESHOLDS))]
+    per_image = grouped(predictions, boxes, ("image_id", "class_id"), "left", ("grp",)).withColumn("ps", F.slice("ps", 1, most))
+
+    def rows(found: Column) -> Column:
+        at = lambda t: owners(F.transform(found, lambda cs: F.transform(F.filter(cs, lambda c: -c["o"] >= t), lambda c: c["gt_idx"])))
+        row = lambda own: F.transform(
+            "ps", lambda p, i: F.struct(p["pred_idx"].alias("pred_idx"), (-p["o"]).alias("conf"), *[F.get(own[k], i).isNotNull().cast("int").alias(h) for k, h in enumerate(hits)])
+        )
+        return once(F.array(*[at(t) for t in THRESHOLDS]), row)
+
+    flags = (
+        per_image.select("grp", "class_id", "image_id", F.explode(once(choices(THRESHOLDS[0]), rows)).alias("r"))
+        .select("grp", "class_id", "image_id", "r.*")
+        .join(F.broadcast(totals), ["grp", "class_id"])  # a row for each group and class
         .checkpoint()
     )
-    points = running(rows).filter("tp = 1")
-    steps = points.select("class_id.*", F.col("cum_tp"), (F.col("cum_tp") / F.col("cum_n")).alias("precision")).withColumn("k", F.floor(100 * F.col("cum_tp") / F.col("n_gt")).cast("int"))
+    marks = F.array(*[F.struct(F.lit(t).alias("t"), F.col(h).alias("tp"), F.col(f"cum_{h}").alias("cum_tp")) for t, h in zip(THRESHOLDS, hits, strict=True)])
+    points = running(flags, by=("grp", "class_id"), hits=tuple(hits)).select("grp", "class_id", "n_gt", "cum_n", F.explode(F.filter(marks, lambda m: m["tp"] == 1)).alias("m"))
+    steps = points.select("grp", "class_id", "m.t", "m.cum_tp", (F.col("m.cum_tp") / F.col("cum_n")).alias("precision"), F.floor(100 * F.col("m.cum_tp") / F.col("n_gt")).cast("int").alias("k"))
     best = steps.groupBy("grp", "class_id", "t", "k").agg(F.max("precision").alias("p"), F.max("cum_tp").alias("tps"))
     # the best precision at recall k or beyond, for k = 0..100, from at most 101 values
     grids = best.groupBy("grp", "class_id", "t").agg(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("o"), "p"))).alias("ks"), F.max("tps").alias("tps"))
