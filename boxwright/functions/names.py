@@ -35,4 +35,4 @@ def copy_name(name: Column, kind: str, number: Column) -> Column:
 
 
 def composite_name(name: Column, number: Column) -> Column:
-    return F.concat(F.lit("cp_"), F.lpad(number.cast("string"), 5, "0"), F.lit("_"), name)
+    return F.format_string("cp_%05d_%s", number, name)

@@ -76,9 +76,9 @@ def segment_class(segment_id: Column) -> Column:
 
 
 def normalize_weather(raw: Column, aliases: Mapping[str, str] = WEATHER_ALIASES) -> Column:
-    """Trimmed, lower case, with spaces for ``_`` and ``-``; its alias or itself; ``unknown`` for null or blank."""
+    """Trimmed, lower case, with spaces for ``_`` and ``-``; its alias or itself; ``unknown`` for null or empty (spaces only give an empty text)."""
     plain = F.translate(F.lower(F.trim(raw)), "_-", "  ")
-    return F.when(plain.isNull() | (plain == ""), "unknown").otherwise(F.coalesce(lookup(plain, aliases), plain))
+    return F.when(raw.isNull() | (raw == ""), "unknown").otherwise(F.coalesce(lookup(plain, aliases), plain))
 
 
 def weather_from_path(path: Column, keywords: tuple[tuple[str, str], ...] = PATH_WEATHER) -> Column:
@@ -96,11 +96,12 @@ def weather_from_name(stem: Column, aliases: Mapping[str, str] = NAME_WEATHER_AL
 
 
 def capture_condition(weather: Column, timeofday: Column) -> Column:
-    """Foggy before snowy before rainy before dawn or dusk before night; else other."""
+    """Foggy before snowy before rainy before dawn or dusk before night; else other. Trimmed, in any case."""
+    w, t = F.lower(F.trim(weather)), F.lower(F.trim(timeofday))
     return (
-        F.when(weather.isin("foggy", "snowy", "rainy"), weather)
-        .when(timeofday == "dawn/dusk", "dawn_dusk")
-        .when(timeofday == "night", "night")
+        F.when(w.isin("foggy", "snowy", "rainy"), w)
+        .when(t == "dawn/dusk", "dawn_dusk")
+        .when(t == "night", "night")
         .otherwise("other")
     )
 

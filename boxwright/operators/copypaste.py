@@ -112,21 +112,28 @@ def composites(placed: DataFrame, boxes: DataFrame, n: int) -> DataFrame:
     return base.unionByName(added)
 
 
-def paste_statistics(bank: DataFrame, placed: DataFrame) -> DataFrame:
-    """Counts of the bank, of rejects by reason, and of pastes by class and size, as (kind, name, n)."""
-    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+def paste_statistics(bank: DataFrame, placed: DataFrame, boxes: DataFrame, images: DataFrame) -> DataFrame:
+    """(kind, name, n): the bank, rejects by reason, pastes by class, source of the crop and size, boxes before and after by class and size.
+
+    Sizes before pasting are those of images that hold a box of a pasteable class only.
+    """
+    size = size_bucket((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
     count = lambda df, kind, name: df.groupBy(F.lit(kind).alias("kind"), name.alias("name")).agg(F.count("*").alias("n"))
     good = placed.filter("reason is null")
+    sources = good.withColumn("image_id", F.split("crop_id", "\\|")[0].cast("bigint")).join(images.select("image_id", "source"), "image_id")
+    based = boxes.join(bank.select("image_id").distinct(), "image_id", "left_semi")
+    name = F.col("class_name")
     parts = [
-        count(bank.filter("reason is null"), "bank", F.col("class_name")),
+        count(bank.filter("reason is null"), "bank", name),
         count(bank.filter("reason is not null"), "skipped", F.col("reason")),
         count(placed.filter("reason is not null"), "skipped", F.col("reason")),
-        count(good, "pasted_class", F.col("class_name")),
-        count(good, "pasted_size", size_bucket(area)),
+        count(good, "pasted_class", name),
+        count(sources, "pasted_source", F.col("source")),
+        count(good, "pasted_size", size),
+        *[count(df, kind, name) for df, kind in ((boxes, "before_class"), (boxes, "after_class"), (good, "after_class"))],
+        *[count(df, kind, size) for df, kind in ((based, "before_size"), (based, "after_size"), (good, "after_size"))],
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy("kind", "name").agg(F.sum("n").alias("n"))
-
-

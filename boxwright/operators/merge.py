@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxwright.functions.geometry import Box, area, size_bucket
 from boxwright.functions.names import copy_name
-from boxwright.operators.prepare import class_counts
+from boxwright.functions.vocab import class_name
 
 # fixed values: how often an image with such a class stands in the training set
 MULTIPLIERS = {"bicycle": 2, "motorcycle": 3, "bus": 3}
@@ -49,9 +50,12 @@ def oversample(images: DataFrame, boxes: DataFrame, table: dict[str, int] | None
 
 
 def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Boxes of every class before and after."""
-    a, b = class_counts(before).withColumnRenamed("n", "n_before"), class_counts(after).withColumnRenamed("n", "n_after")
-    return a.join(b, ["class_id", "class_name"], "full").fillna(0, ["n_before", "n_after"])
+    """Boxes of every class and of every size before and after, as (kind, name, n_before, n_after)."""
+    named = lambda rows: rows.select(F.inline(F.array(
+        F.struct(F.lit("class").alias("kind"), class_name(F.col("class_id")).alias("name")), F.struct(F.lit("size").alias("kind"), size_bucket(area(Box.of())).alias("name"))
+    )))
+    both = named(before).withColumn("_after", F.lit(0)).unionByName(named(after).withColumn("_after", F.lit(1)))
+    return both.groupBy("kind", "name").agg(F.sum(1 - F.col("_after")).alias("n_before"), F.sum("_after").alias("n_after"))
 
 
 def dominance(replay: DataFrame, adverse: DataFrame) -> DataFrame:

@@ -34,6 +34,14 @@ def keep_weathers(images: DataFrame, wanted: tuple[str, ...] | str) -> DataFrame
     return images if wanted == "all" else images.filter(F.col("weather").isin(*wanted))
 
 
+def keep_listed(images: DataFrame, **wanted: tuple[str, ...] | None) -> DataFrame:
+    """Images whose condition, split or other named column is one of a list; None takes all."""
+    for column, values in wanted.items():
+        if values is not None:
+            images = images.filter(F.col(column).isin(*values))
+    return images
+
+
 def with_boxes(images: DataFrame, boxes: DataFrame, keep_negatives: bool) -> DataFrame:
     """Images and how many boxes they have; those without any are dropped or kept as negatives."""
     counts = boxes.groupBy("image_id").agg(F.count("*").alias("num_objects"))

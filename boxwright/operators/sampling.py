@@ -1,8 +1,8 @@
 """Seeded splits, quotas and samples.
 
 The order is that of md5(seed|id): the same in any engine, whatever the
-partitioning.  Windows run over strata; where there is none (a split or sample
-of everything), ranks come from hash bands, so that no task holds all rows.
+partitioning.  Ranks come from hash bands and their counts, in each stratum, so
+that no task holds a whole stratum.
 """
 
 from __future__ import annotations
@@ -26,10 +26,15 @@ def _cut(n: Column, share: float) -> Column:
 def ranked(rows: DataFrame, id_col: str, by: str | None = None, seed: int = 42) -> DataFrame:
     """Adds ``rank`` (from 1, by the shuffle key, in each stratum) and ``total`` (of it)."""
     keyed = rows.withColumn("_key", shuffle_key(id_col, seed))
-    if by is not None:
-        w = Window.partitionBy(by)
-        return keyed.withColumns({"rank": F.row_number().over(w.orderBy("_key", id_col)).cast("bigint"), "total": F.count("*").over(w)}).drop("_key")
     banded = keyed.withColumn("_band", F.conv(F.substring("_key", 1, 2), 16, 10).cast("int"))
+    if by is not None:
+        banded = banded.withColumn("_of", F.struct(by))  # a struct, so that rows without a stratum meet each other
+        counts = banded.groupBy("_of", "_band").agg(F.count("*").alias("_n"))
+        before = Window.partitionBy("_of").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select("_of", "_band", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(Window.partitionBy("_of")).alias("total"))
+        local = F.row_number().over(Window.partitionBy("_of", "_band").orderBy("_key", id_col))
+        # no hint: there may be many strata
+        return banded.join(offsets, ["_of", "_band"]).withColumn("rank", (F.col("_off") + local).cast("bigint")).drop("_key", "_band", "_off", "_of")
     counts = banded.groupBy("_band").agg(F.count("*").alias("_n"))  # BANDS rows at most
     before = Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_band", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(Window.partitionBy()).alias("total"))

@@ -43,7 +43,7 @@ def f5(spark: SparkSession, d: str) -> DataFrame:
 PLAIN = "replace(replace(lower(trim(weather_raw)), '_', ' '), '-', ' ')"
 
 
-@query("f6_normalize_weather", sql(f"SELECT image_id, CASE WHEN coalesce({PLAIN}, '') = '' THEN 'unknown' ELSE coalesce({sql_map(V.WEATHER_ALIASES, PLAIN)}, {PLAIN}) END AS weather FROM images", "images"))
+@query("f6_normalize_weather", sql(f"SELECT image_id, CASE WHEN coalesce(weather_raw, '') = '' THEN 'unknown' ELSE coalesce({sql_map(V.WEATHER_ALIASES, PLAIN)}, {PLAIN}) END AS weather FROM images", "images"))
 def f6(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "images").select("image_id", V.normalize_weather(F.col("weather_raw")).alias("weather"))
 
@@ -73,12 +73,18 @@ def f9(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "images").select("image_id", V.weather_from_name(stem).alias("weather"))
 
 
+SPLIT = "CASE WHEN image_id % 10 = 0 THEN 'val' WHEN image_id % 10 = 1 THEN 'test' ELSE 'train' END"
 CONDITION = """CASE WHEN weather_raw IN ('foggy', 'snowy', 'rainy') THEN weather_raw WHEN timeofday = 'dawn/dusk' THEN 'dawn_dusk' WHEN timeofday = 'night' THEN 'night' ELSE 'other' END"""
 
 
-@query("f10_capture_condition", sql(f"SELECT image_id, {CONDITION} AS condition FROM images", "images"))
+#: Attributes as they come: padded, in any case.
+UNEVEN = "SELECT image_id, CASE image_id % 3 WHEN 0 THEN '  ' || upper(weather_raw) WHEN 1 THEN weather_raw || ' ' ELSE weather_raw END AS weather_raw, CASE image_id % 2 WHEN 0 THEN upper(timeofday) || ' ' ELSE timeofday END AS timeofday FROM images"
+
+
+@query("f10_capture_condition", sql(f"SELECT image_id, {CONDITION} AS condition FROM (SELECT image_id, lower(trim(weather_raw)) AS weather_raw, lower(trim(timeofday)) AS timeofday FROM ({UNEVEN}))", "images"))
 def f10(spark: SparkSession, d: str) -> DataFrame:
-    return frame(spark, d, "images").select("image_id", V.capture_condition(F.col("weather_raw"), F.col("timeofday")).alias("condition"))
+    images = spark.sql(UNEVEN.replace("FROM images", "FROM {images}"), images=frame(spark, d, "images"))
+    return images.select("image_id", V.capture_condition(F.col("weather_raw"), F.col("timeofday")).alias("condition"))
 
 
 CLAMPED = """c AS (SELECT image_id, gt_idx, category, x1 AS rx1, y1 AS ry1, x2 AS rx2, y2 AS ry2, greatest(0, least(x1, 1279)) AS x1, greatest(0, least(y1, 719)) AS y1, greatest(0, least(x2, 1280)) AS x2, greatest(0, least(y2, 720)) AS y2 FROM raw_boxes)"""
@@ -224,6 +230,17 @@ def p2(spark: SparkSession, d: str) -> DataFrame:
     return _clean(spark, d).select("image_id", "gt_idx", "class_id", "x1", "y1", "x2", "y2")
 
 
+@query("p6_keep_conditions", sql(f"SELECT image_id, condition, split FROM (SELECT image_id, {CONDITION} AS condition, {SPLIT} AS split FROM images) WHERE condition IN ('foggy', 'night') AND split IN ('train', 'val')", "images"))
+def p6(spark: SparkSession, d: str) -> DataFrame:
+    images = frame(spark, d, "images").withColumns({"condition": V.capture_condition(F.col("weather_raw"), F.col("timeofday")), "split": F.expr(SPLIT)})
+    return P.keep_listed(images, condition=("foggy", "night"), split=("train", "val")).select("image_id", "condition", "split")
+
+
+@query("p9_split_of_manifest", sql(f"SELECT image_id, image_path FROM (SELECT *, {SPLIT} AS split FROM images) WHERE split = 'val'", "images"))
+def p9(spark: SparkSession, d: str) -> DataFrame:
+    return P.keep_listed(frame(spark, d, "images").withColumn("split", F.expr(SPLIT)), split=("val",)).select("image_id", "image_path")
+
+
 @query("p3_keep_weathers", sql("SELECT image_id, weather_raw AS weather FROM images WHERE weather_raw IN ('foggy', 'snowy')", "images"))
 def p3(spark: SparkSession, d: str) -> DataFrame:
     return P.keep_weathers(frame(spark, d, "images").select("image_id", F.col("weather_raw").alias("weather")), ("foggy", "snowy"))

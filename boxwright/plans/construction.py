@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from boxwright.functions.vocab import CLASSES, capture_condition, class_name
 from boxwright.operators import copypaste as C
 from boxwright.operators import merge as M
@@ -13,6 +14,8 @@ from boxwright.operators import sampling as S
 from boxwright.plans.annotation import CONDITION, NAMES
 from boxwright.plans.registry import query
 from boxwright.plans.views import frame, sql
+from boxwright.session import checkpoint_dir
+from boxwright.sources import sinks
 
 KEY = "md5('42|' || image_id)"
 CNAME = "['person','bicycle','car','motorcycle','bus','truck'][class_id + 1]"
@@ -75,6 +78,11 @@ def w7(spark: SparkSession, d: str) -> DataFrame:
     return S.sample(frame(spark, d, "images"), "image_id", 500).select("image_id")
 
 
+@query("w8_full_set", sql("SELECT image_id, source FROM images", "images"))
+def w8(spark: SparkSession, d: str) -> DataFrame:
+    return S.sample_share(frame(spark, d, "images"), "image_id", 1.0).select("image_id", "source")
+
+
 @query("w9_replay_sample", sql(f"WITH {_ranked('')} SELECT image_id FROM r WHERE rank <= round_even(total * 0.3::DOUBLE, 0)", "images"))
 def w9(spark: SparkSession, d: str) -> DataFrame:
     return S.sample_share(frame(spark, d, "images"), "image_id", 0.3).select("image_id")
@@ -108,7 +116,7 @@ def w12(spark: SparkSession, d: str) -> DataFrame:
     return M.oversample(_with_split(spark, d), _boxes(spark, d)).select("image_id", "split", "copy", "new_image")
 
 
-@query("w13_before_after", sql(f"WITH {OVER} SELECT g.class_id, {CNAME.replace('class_id', 'g.class_id')} AS class_name, count(*) FILTER (copy = 0) AS n_before, count(*) AS n_after FROM o JOIN gt_boxes g USING (image_id) GROUP BY 1, 2", "images", "gt_boxes"))
+@query("w13_before_after", sql(f"WITH {OVER}, g AS (SELECT image_id, {CNAME} AS cls, CASE WHEN (x2-x1)*(y2-y1) < 1024 THEN 'small' WHEN (x2-x1)*(y2-y1) < 9216 THEN 'medium' ELSE 'large' END AS size FROM gt_boxes), n AS (SELECT * FROM o JOIN g USING (image_id)) SELECT 'class' AS kind, cls AS name, count(*) FILTER (copy = 0) AS n_before, count(*) AS n_after FROM n GROUP BY 2 UNION ALL SELECT 'size', size, count(*) FILTER (copy = 0), count(*) FROM n GROUP BY 2", "images", "gt_boxes"))
 def w13(spark: SparkSession, d: str) -> DataFrame:
     boxes = frame(spark, d, "gt_boxes")
     images = _with_split(spark, d)
@@ -152,10 +160,12 @@ def w22(spark: SparkSession, d: str) -> DataFrame:
     return there.select("class_id", class_name(F.col("class_id")).alias("class_name"), (class_name(F.col("class_id")) == expected).alias("ok"))
 
 
-@query("w23_image_lists", sql("SELECT weather_raw, count(*) AS n, md5(string_agg(CAST(image_id AS VARCHAR), ',' ORDER BY image_id)) AS list_md5 FROM images GROUP BY 1", "images"))
+@query("w23_image_lists", sql("SELECT weather_raw, image_path FROM images", "images"))
 def w23(spark: SparkSession, d: str) -> DataFrame:
-    lists = frame(spark, d, "images").groupBy("weather_raw").agg(F.sort_array(F.collect_list("image_id")).alias("ids"))
-    return lists.select("weather_raw", F.size("ids").cast("bigint").alias("n"), F.md5(F.array_join("ids", ",").cast("binary")).alias("list_md5"))
+    """Lists as text files below a folder for each weather; each list may be several tasks' work."""
+    folder = f"{checkpoint_dir(spark)}/lists-{uuid.uuid4().hex}"
+    sinks.write_image_lists(frame(spark, d, "images"), "weather_raw", folder)
+    return spark.read.schema("image_path STRING, weather_raw STRING").text(folder).select("weather_raw", "image_path")
 
 
 def _bank(spark: SparkSession, d: str) -> DataFrame:
@@ -185,24 +195,96 @@ def _pastes(spark: SparkSession, d: str) -> DataFrame:
     return C.draw_pastes(images, _bank(spark, d), max(30, images.count() // 10))
 
 
-@query("c2_draw_pastes")
+def _draw(*parts: str) -> str:
+    """SQL of a seeded number in [0, 1)."""
+    return "(('0x' || substr(md5('42|' || " + " || '|' || ".join(parts) + "), 1, 8))::BIGINT / 4294967296::DOUBLE)"
+
+
+PASTES = f"""{BANK},
+pool AS (SELECT image_id, width, height, row_number() OVER (ORDER BY {KEY}, image_id) AS rank, count(*) OVER () AS total FROM images),
+crops AS (SELECT image_id || '|' || gt_idx AS crop_id, class_name, w AS crop_w, h AS crop_h,
+  row_number() OVER (PARTITION BY class_name ORDER BY md5('42|' || image_id || '|' || gt_idx), image_id || '|' || gt_idx) AS rank FROM bank WHERE reason IS NULL),
+weights AS (SELECT v.*, n FROM (VALUES (1, 'bicycle', 3), (2, 'motorcycle', 3), (3, 'bus', 3), (4, 'person', 1)) v(place, class_name, weight) JOIN (SELECT class_name, count(*) AS n FROM crops GROUP BY 1) USING (class_name)),
+upto AS (SELECT *, sum(weight) OVER (ORDER BY place) AS high, sum(weight) OVER (ORDER BY place) - weight AS low, sum(weight) OVER () AS whole FROM weights),
+numbers AS (SELECT no FROM range(greatest(30, (SELECT count(*) // 10 FROM images))) t(no)),
+drawn AS (SELECT no, pool.image_id, width, height, unnest(range(1, floor({_draw("no", "'count'")} * 3)::BIGINT + 2)) AS paste FROM numbers JOIN pool ON pool.rank = floor({_draw("no", "'bg'")} * pool.total)::BIGINT + 1),
+classed AS (SELECT d.*, u.class_name, floor({_draw("no", "paste", "'crop'")} * u.n)::BIGINT + 1 AS rank, 0.8::DOUBLE + {_draw("no", "paste", "'scale'")} * 0.4::DOUBLE AS scale
+  FROM drawn d JOIN upto u ON {_draw("no", "paste", "'class'")} * u.whole >= u.low AND {_draw("no", "paste", "'class'")} * u.whole < u.high),
+pastes AS (SELECT no, paste::INT AS paste, image_id, class_name, crop_id, greatest(floor(crop_w * scale), 12)::DOUBLE AS w, greatest(floor(crop_h * scale), 12)::DOUBLE AS h, width, height
+  FROM classed JOIN crops USING (class_name, rank))"""
+
+
+def _spot(axis: str, side: str, size: str) -> str:
+    return f"2 + floor({_draw('no', 'paste', 't', repr(axis))} * (greatest({side} - {size} - 4, 0) + 1))"
+
+
+_COMMON = "greatest(0, least(o.x2, b.x2) - greatest(o.x1, b.x1)) * greatest(0, least(o.y2, b.y2) - greatest(o.y1, b.y1))"
+PLACED = f"""{PASTES},
+corners AS (SELECT no, paste, w, h, t, {_spot("x", "width", "w")} AS x, {_spot("y", "height", "h")} AS y FROM pastes, range(1, 11) q(t) WHERE w + 4 <= width AND h + 4 <= height),
+spots AS (SELECT no, paste, list({{'x1': x::DOUBLE, 'y1': y::DOUBLE, 'x2': (x + w)::DOUBLE, 'y2': (y + h)::DOUBLE}} ORDER BY t) AS spots FROM corners GROUP BY 1, 2),
+there AS (SELECT image_id, list({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}) AS taken FROM gt_boxes GROUP BY 1),
+folds AS (SELECT no, 0 AS paste, coalesce(taken, []::STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[]) AS taken, NULL::STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE) AS spot
+    FROM (SELECT DISTINCT no, image_id FROM pastes) LEFT JOIN there USING (image_id)
+  UNION ALL
+  SELECT f.no, p.paste, CASE WHEN z.spot IS NULL THEN f.taken ELSE list_append(f.taken, z.spot) END, z.spot
+  FROM folds f JOIN pastes p ON p.no = f.no AND p.paste = f.paste + 1 LEFT JOIN spots s ON s.no = p.no AND s.paste = p.paste,
+    LATERAL (SELECT list_filter(s.spots, lambda b: len(list_filter(f.taken, lambda o: {_COMMON}
+      >= 0.2 * greatest((o.x2 - o.x1) * (o.y2 - o.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {_COMMON}, 1e-9))) = 0)[1] AS spot) z),
+placed AS (SELECT p.no, p.image_id, p.paste, p.class_name, p.crop_id, f.spot.x1 AS x1, f.spot.y1 AS y1, f.spot.x2 AS x2, f.spot.y2 AS y2,
+  CASE WHEN f.spot IS NOT NULL THEN NULL WHEN s.no IS NULL THEN 'crop_invalid' ELSE 'overlap' END AS reason
+  FROM pastes p JOIN folds f ON f.no = p.no AND f.paste = p.paste LEFT JOIN spots s ON s.no = p.no AND s.paste = p.paste)"""
+PASTED = ("images", "gt_boxes")
+
+
+@query("c2_draw_pastes", sql(f"WITH {PASTES} SELECT no, paste, image_id, class_name, crop_id, w, h FROM pastes", *PASTED))
 def c2(spark: SparkSession, d: str) -> DataFrame:
     return _pastes(spark, d).select("no", "paste", "image_id", "class_name", "crop_id", "w", "h")
 
 
-@query("c3_place_pastes")
+@query("c3_place_pastes", sql(f"WITH RECURSIVE {PLACED} SELECT * FROM placed", *PASTED))
 def c3(spark: SparkSession, d: str) -> DataFrame:
     return C.place(_pastes(spark, d), frame(spark, d, "gt_boxes"))
 
 
-@query("c4_composites")
+@query(
+    "c4_composites",
+    sql(
+        f"""WITH RECURSIVE {PLACED},
+chosen AS (SELECT DISTINCT no, image_id FROM placed WHERE reason IS NULL ORDER BY no LIMIT greatest(10, (SELECT count(*) // 30 FROM images)))
+SELECT c.no, printf('cp_%05d_%s', c.no, c.image_id::VARCHAR) AS new_image, {CNAME} AS class_name, x1, y1, x2, y2, false AS pasted FROM chosen c JOIN gt_boxes USING (image_id)
+UNION ALL SELECT c.no, printf('cp_%05d_%s', c.no, c.image_id::VARCHAR), class_name, x1, y1, x2, y2, true FROM chosen c JOIN placed p ON p.no = c.no WHERE reason IS NULL""",
+        *PASTED,
+    ),
+)
 def c4(spark: SparkSession, d: str) -> DataFrame:
     images = frame(spark, d, "images")
     return C.composites(c3(spark, d), _boxes(spark, d), max(10, images.count() // 30))
 
 
-@query("c5_paste_statistics")
-def c5(spark: SparkSession, d: str) -> DataFrame:
-    return C.paste_statistics(_bank(spark, d), c3(spark, d))
+def _sizes(area: str) -> str:
+    return f"CASE WHEN {area} < 1024 THEN 'small' WHEN {area} < 9216 THEN 'medium' ELSE 'large' END"
+
 
+AREA = "(x2 - x1) * (y2 - y1)"
 
+
+@query(
+    "c5_paste_statistics",
+    sql(
+        f"""WITH RECURSIVE {PLACED}, base AS (SELECT *, {CNAME} AS class_name FROM gt_boxes),
+c AS (SELECT 'bank' AS kind, class_name AS name FROM bank WHERE reason IS NULL
+UNION ALL SELECT 'skipped', reason FROM bank WHERE reason IS NOT NULL
+UNION ALL SELECT 'skipped', reason FROM placed WHERE reason IS NOT NULL
+UNION ALL SELECT 'pasted_class', class_name FROM placed WHERE reason IS NULL
+UNION ALL SELECT 'pasted_source', i.source FROM placed p JOIN images i ON i.image_id = split_part(p.crop_id, '|', 1)::BIGINT WHERE reason IS NULL
+UNION ALL SELECT 'pasted_size', {_sizes(AREA)} FROM placed WHERE reason IS NULL
+UNION ALL SELECT 'before_class', class_name FROM base
+UNION ALL SELECT 'after_class', class_name FROM base UNION ALL SELECT 'after_class', class_name FROM placed WHERE reason IS NULL
+UNION ALL SELECT 'before_size', {_sizes(AREA)} FROM base WHERE image_id IN (SELECT image_id FROM bank)
+UNION ALL SELECT 'after_size', {_sizes(AREA)} FROM base WHERE image_id IN (SELECT image_id FROM bank) UNION ALL SELECT 'after_size', {_sizes(AREA)} FROM placed WHERE reason IS NULL)
+SELECT kind, name, count(*) AS n FROM c GROUP BY 1, 2""",
+        *PASTED,
+    ),
+)
+def c5(spark: SparkSession, d: str) -> DataFrame:
+    return C.paste_statistics(_bank(spark, d), c3(spark, d).checkpoint(), _boxes(spark, d), frame(spark, d, "images"))

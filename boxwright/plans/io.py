@@ -20,13 +20,14 @@ def _folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/io-{uuid.uuid4().hex}"
 
 
-@query("k1_label_text", sql("SELECT i.image_id, count(g.gt_idx) AS n_lines, coalesce(sum(g.class_id), 0)::BIGINT AS sum_class FROM images i LEFT JOIN gt_boxes g USING (image_id) GROUP BY 1", "images", "gt_boxes"))
+@query("k1_label_text", sql("SELECT i.image_id, g.class_id::INT AS class_id, (x1 + x2)::BIGINT AS x_sum, (y1 + y2)::BIGINT AS y_sum, (x2 - x1)::BIGINT AS w, (y2 - y1)::BIGINT AS h FROM images i LEFT JOIN gt_boxes g USING (image_id)", "images", "gt_boxes"))
 def k1(spark: SparkSession, d: str) -> DataFrame:
     images = frame(spark, d, "images").withColumn("split", F.lit("train"))
     text = sinks.label_text(images, frame(spark, d, "gt_boxes"))
     lines = text.select("image_id", F.explode(F.split("value", "\n")).alias("value"))
     parsed = lines.select("image_id", *[c.alias(n) for n, c in readers.parse_label_line(F.col("value")).items()])
-    return parsed.groupBy("image_id").agg(F.count("h").alias("n_lines"), F.coalesce(F.sum("class_id"), F.lit(0)).alias("sum_class"))
+    # six decimals give the pixels back exactly
+    return parsed.select("image_id", "class_id", *[F.round(F.col(c) * k).cast("bigint").alias(n) for n, c, k in (("x_sum", "cx", 2560), ("y_sum", "cy", 1440), ("w", "w", 1280), ("h", "h", 720))])
 
 
 @query("s3_read_labels", sql("SELECT CAST(class_id AS INT) AS class_id, count(*) AS n FROM gt_boxes GROUP BY 1", "gt_boxes"))
@@ -50,10 +51,11 @@ def s2(spark: SparkSession, d: str) -> DataFrame:
 def s1(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark)
     labels = frame(spark, d, "raw_boxes").groupBy("image_id").agg(F.collect_list(F.struct("category", F.struct("x1", "y1", "x2", "y2").alias("box2d"))).alias("labels"))
+    parts = max(7, -(-labels.count() // 1000))  # about 1000 frames at most in an array
     images = frame(spark, d, "images").select("image_id", F.struct(F.col("weather_raw").alias("weather"), "timeofday").alias("attributes"))
-    images.join(labels, "image_id").select(F.col("image_id").cast("string").alias("name"), "attributes", "labels").write.json(folder)
-    frames = spark.read.schema(readers.FRAMES).json(folder)
-    return prepare.explode_labels(frames).groupBy("weather").agg(F.count("*").alias("n"))
+    rows = images.join(labels, "image_id").select(F.pmod(F.xxhash64("image_id"), F.lit(parts)).alias("part"), F.struct(F.col("image_id").cast("string").alias("name"), "attributes", "labels").alias("frame"))
+    rows.groupBy("part").agg(F.to_json(F.collect_list("frame"), {"pretty": "true"}).alias("value")).write.partitionBy("part").text(folder)
+    return readers.read_frame_labels(spark, folder).groupBy("weather").agg(F.count("*").alias("n"))
 
 
 @query("s7_read_manifest", sql("SELECT source, weather_raw AS weather, count(*) AS n FROM images GROUP BY 1, 2", "images"))
@@ -80,8 +82,12 @@ def k3(spark: SparkSession, d: str) -> DataFrame:
 @query("s8_read_metrics", sql("SELECT run, map50, map50_95 FROM run_metrics", "run_metrics"))
 def s8(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark)
-    sinks.write_json(frame(spark, d, "run_metrics").select("run", "map50", "map50_95"), folder)
-    return spark.read.schema(readers.METRICS).json(folder).select("run", "map50", "map50_95")
+    frame(spark, d, "run_metrics").select("config_id", "run", "map50", "map50_95").write.partitionBy("config_id").json(folder)
+    paths = {f"config {k}": f"{folder}/config_id={k}" for k in range(26)}  # a folder for each nation, and one that isn't there
+    found, missing = readers.read_metrics(spark, paths)
+    if "config 25" not in missing:
+        raise ValueError("a run without metrics was found")
+    return found.select("run", "map50", "map50_95")
 
 
 @query("s9_read_history", sql("SELECT CAST(run_id AS VARCHAR) AS run_id, epoch, map50_95 FROM history", "history"))
@@ -89,8 +95,41 @@ def s9(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark)
     rows = frame(spark, d, "history").groupBy("run_id").agg(F.collect_list(F.struct("epoch", "map50_95")).alias("history"))
     rows.write.partitionBy("run_id").json(folder)
-    files = spark.read.schema(f"{readers.HISTORY}, run_id STRING").json(folder)
-    return files.select("run_id", F.inline("history")).select("run_id", "epoch", "map50_95")
+    return readers.read_history(spark, folder).select("run_id", "epoch", "map50_95")
+
+
+@query("s10_read_image_list", sql("SELECT image_path FROM images WHERE source IN ('bdd', 'acdc')", "images"))
+def s10(spark: SparkSession, d: str) -> DataFrame:
+    folder = _folder(spark)
+    images = frame(spark, d, "images")
+    for source in ("bdd", "acdc"):
+        images.filter(F.col("source") == source).select("image_path").write.text(f"{folder}/{source}.txt")
+    return readers.read_image_list(spark, [f"{folder}/bdd.txt", f"{folder}/acdc.txt"])
+
+
+@query("k4_replaced_output", sql("SELECT image_id FROM images WHERE source = 'bdd'", "images"))
+def k4(spark: SparkSession, d: str) -> DataFrame:
+    """A second write is refused, and a clean one leaves nothing of the first."""
+    from pyspark.errors import AnalysisException
+
+    folder = _folder(spark)
+    images = frame(spark, d, "images").select("image_id", "source")
+    sinks.write_json(images.filter("source <> 'bdd'"), folder)
+    try:
+        sinks.write_json(images.filter("source = 'bdd'"), folder)
+    except AnalysisException:
+        sinks.write_json(images.filter("source = 'bdd'"), folder, clean=True)
+    return spark.read.schema("image_id BIGINT").json(folder)
+
+
+@query("k8_split_layout", sql("SELECT i.split, i.image_id, count(g.gt_idx) AS n_lines, coalesce(sum(g.class_id), 0)::BIGINT AS sum_class FROM (SELECT image_id, CASE WHEN image_id % 10 = 0 THEN 'val' ELSE 'train' END AS split FROM images) i LEFT JOIN gt_boxes g USING (image_id) GROUP BY 1, 2", "images", "gt_boxes"))
+def k8(spark: SparkSession, d: str) -> DataFrame:
+    folder = _folder(spark)
+    images = frame(spark, d, "images").withColumn("split", F.expr("CASE WHEN image_id % 10 = 0 THEN 'val' ELSE 'train' END"))
+    sinks.write_label_tables(images, frame(spark, d, "gt_boxes"), folder)
+    tables = spark.read.option("sep", "\t").schema("image_id BIGINT, line STRING, split STRING").csv(folder)
+    parsed = tables.select("split", "image_id", readers.parse_label_line(F.col("line"))["class_id"].alias("class_id"))
+    return parsed.groupBy("split", "image_id").agg(F.count("class_id").alias("n_lines"), F.coalesce(F.sum("class_id"), F.lit(0)).alias("sum_class"))
 
 
 @query("s11_read_predictions", sql("SELECT class_id, count(*) AS n, round(sum(conf), 3) AS sum_conf FROM predictions GROUP BY 1", "predictions"))

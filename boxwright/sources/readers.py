@@ -123,8 +123,10 @@ def read_metrics(spark: SparkSession, runs: Mapping[str, str]) -> tuple[DataFram
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """One row per run file and epoch."""
-    files = spark.read.schema(HISTORY).option("multiLine", True).json(path).select(N.stem(F.col("_metadata.file_path")).alias("run_id"), "history")
+    """One row per run and epoch. A run is its file's stem, or its folder's ``run_id=...`` where there are such folders."""
+    files = spark.read.schema(HISTORY).option("multiLine", True).json(path)
+    run = F.col("run_id").cast("string") if "run_id" in files.columns else N.stem(F.col("_metadata.file_path"))
+    files = files.select(run.alias("run_id"), "history")
     return files.select("run_id", F.inline("history"))
 
 

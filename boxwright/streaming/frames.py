@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,19 +29,38 @@ def window_counts(detections: DataFrame, length: str, late: str = "1 hour") -> D
     return counted.select("video_id", "class_name", F.unix_timestamp("window.start").alias("window_start"), "n")
 
 
-def video_statistics(detections: DataFrame) -> DataFrame:
-    """Totals and confidences of each video so far. An exact median can't be kept as a stream's state: see the batch form."""
-    return detections.groupBy("video_id").agg(F.count("*").alias("total"), F.avg("conf").alias("mean_conf"), F.min("conf").alias("min_conf"), F.max("conf").alias("max_conf"))
+def numbered_frames(detections: DataFrame, videos: DataFrame) -> DataFrame:
+    """T5: adds ``frame_no`` of its video, from the time since it ``began`` (microseconds) and its ``fps``."""
+    timed = detections.join(videos.select("video_id", "began", "fps"), "video_id")
+    number = F.expr("(unix_micros(event_time) - began) * fps div 1000000")
+    return timed.withColumn("frame_no", number).drop("began", "fps")
 
 
-def run_once(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there now and return what it wrote; the result lies in the shared folder."""
+def frame_statistics(detections: DataFrame) -> DataFrame:
+    """Count and confidences of each frame so far, the state that a video's statistics are made from."""
+    return detections.groupBy("video_id", "frame_idx").agg(F.count("*").alias("n"), F.sum("conf").alias("conf_sum"), F.min("conf").alias("min_conf"), F.max("conf").alias("max_conf"))
+
+
+def video_statistics(frames: DataFrame) -> DataFrame:
+    """Total, peak of a frame and confidences of each video so far, from its frames' statistics.
+
+    For ``run_once(..., finish=...)``: a stream can't aggregate twice, a batch of
+    its output can.  An exact median can't be kept as a stream's state: see the batch form.
+    """
+    return frames.groupBy("video_id").agg(
+        F.sum("n").alias("total"), F.max("n").alias("peak"), (F.sum("conf_sum") / F.sum("n")).alias("mean_conf"), F.min("min_conf").alias("min_conf"), F.max("max_conf").alias("max_conf")
+    )
+
+
+def run_once(stream: DataFrame, mode: str, finish: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
+    """Run a stream over what is there now and return what it wrote, each batch through ``finish``; the result lies in the shared folder."""
     spark = stream.sparkSession
     folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/{'all' if mode == 'complete' else number}")
+        finish(batch).write.mode("overwrite").parquet(f"{folder}/out/{'all' if mode == 'complete' else number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out/*")
+    schema = finish(spark.createDataFrame([], stream.schema)).schema
+    return spark.read.schema(schema).parquet(f"{folder}/out/*")
