@@ -1,26 +1,28 @@
 """License notices in texts: MinHash bands over word windows, then exact containment. DataFrame operations only.
 
-1. A text's five-word shingles are hashed.  Only windows that hold a shingle of
-   some template can contain a template, so texts without one stop here; this
-   needs no shuffle and no join, as the templates' shingles are a constant list.
-2. The other texts are cut into windows of twice the longest template, each
-   overlapping the next by half, so that a notice as long as its template lies
-   whole in one window.
-3. Templates are put into classes by their number of shingles (each class up to
-   twice the one before).  A window has a sketch for each class: minhashes over
-   those of its shingles that the class' templates have, in bands of one value.
-   A window that holds a template has its minhash as its own unless the shingle
-   of another template of the class is less, so the number of bands follows from
-   how many of them may share a window (``hashes_for``).  Equal band values
-   retrieve templates.
+1. Templates are put into classes by their number of shingles.  For each class a
+   text's five-word shingles are cut into windows of twice the longest template
+   of the class, each overlapping the next by half, so that a notice as long as
+   its template lies whole in one window.
+2. A window's sketch has the least of its shingles' hashes in each of 2^bits
+   buckets (their first bits): MinHash with one permutation, each bucket a band
+   of one value.  Templates have sketches of the same kind.
+3. Windows and templates with an equal band meet.  The number of bits is the
+   least with which a template is missed with at most the stated probability:
+   its value in a bucket is the window's too, unless the window lacks that
+   shingle or another one's hash is less (``miss_bound``).
 4. Each retrieved (window, template) pair is verified by exact containment: the
    share of the template's shingles that the window holds.
+
+A bitmap of the templates' bands, 64 bits for each, keeps most values that no
+template has from being exploded; it is a part of the join on band values.
+Nothing but retrieved windows is shuffled.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +30,9 @@ from pyspark.sql import functions as F
 
 from boxwright.session import checkpoint_dir
 
+#: Shingles of a class' templates that are broadcast (8 bytes each); with more of them Spark chooses the join.
+BROADCAST_SHINGLES = 1_000_000
+
 # fixed values: short public license notices, by name
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -64,20 +69,52 @@ def shingles_of(words: Column, size: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), run)).otherwise(F.array().cast("array<bigint>"))
 
 
-def hashes_for(sizes: list[int], containment: float, miss: float, crowd: int = 8) -> int:
-    """Bands with which a template of a class is missed with at most this probability.
+def miss_bound(places: list[float], n: int, containment: float, others: int) -> float:
+    """The probability with which a template is missed, at most.
 
-    ``sizes``: the class' numbers of shingles.  A window may hold up to ``crowd``
-    of its templates in whole.
+    ``places``: where in its bucket each of the template's bands lies, as a share
+    of all hashes; ``n``: its shingles; ``others``: shingles of a window.  A band
+    that the window holds is found if none of the others falls before it in its
+    bucket.  Of the shingles that may lack, either the most useful ones lack, or
+    (as their hashes are random) any; the lesser of the two bounds holds.
     """
-    share = containment * min(sizes) / sum(sorted(sizes)[-crowd:])
-    return 1 if share >= 1 else math.ceil(math.log(miss) / math.log(1 - share))
+    held = math.ceil(containment * n - 1e-9)
+    lost = sorted(-math.expm1(others * math.log1p(-x)) for x in places)
+    worst = math.prod(lost[n - held :]) if len(lost) > n - held else 1.0
+    return min(worst, math.prod(1 - held / n * (1 - q) for q in lost))
+
+
+def bands_of(shingles: set[int], bits: int) -> list[int]:
+    """The least hash in each bucket."""
+    least: dict[int, int] = {}
+    for h in sorted(shingles):
+        least.setdefault(h >> 64 - bits, h)
+    return sorted(least.values())
+
 
+def _bits(templates: list[set[int]], containment: float, miss: float, others: int) -> int:
+    for bits in range(4, 48):
+        share = lambda h: (h & (1 << 64 - bits) - 1) / 2**64  # noqa: B023, E731
+        if all(miss_bound([share(h) for h in bands_of(t, bits)], len(t), containment, others) <= miss for t in templates):
+            return bits
+    return 48
 
-def _in(values: set[int]):
-    """A test for membership in a constant list."""
-    listed = sorted(values)
-    return lambda s: s.isin(listed)
+
+def _marked(values: list[int]) -> Callable[[Column], Column]:
+    """A test that all of the values pass, and about one in 64 others."""
+    width = max(10, (64 * len(values)).bit_length())
+    words = [0] * (1 << width - 5)
+    for v in values:
+        at = v & (1 << width) - 1
+        words[at >> 5] |= 1 << (at & 31)
+    bitmap = F.from_json(F.lit(str(words)), "array<bigint>")  # one constant, folded once
+
+    def test(s: Column) -> Column:
+        at = s.bitwiseAND(F.lit((1 << width) - 1))
+        word = F.get(bitmap, F.shiftright(at, 5).cast("int"))
+        return F.call_function("shiftright", word, at.bitwiseAND(F.lit(31)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return test
 
 
 def scan(
@@ -98,7 +135,7 @@ def scan(
     and are sought as such in the text.
 
     Null, empty and wordless texts hold nothing.  Null ids are kept as null.
-    Rows that repeat id and text give one row for each license.  Texts of any
+    Every row of ``docs`` has its own rows, whether its id is null or repeated.  Texts of any
     length are scanned whole.  No templates or no rows: no rows.  Other columns
     are ignored.
     """
@@ -110,59 +147,57 @@ def scan(
     sized = {r.license: r.n for r in named.select("license", F.size("w").alias("n")).collect() if r.n}
     if not sized:
         return spark.range(0).selectExpr("id AS doc_id", "'' AS license", "0D AS containment", "0 AS first_word", "0 AS n_words")
-    # templates of less than ``size`` words need shingles of their own length
-    lengths = sorted({min(n, size) for n in sized.values()})
-    parts = []
-    for k in lengths:
-        mine = sorted(x for x, n in sized.items() if min(n, size) == k)
-        parts.append(_scan(docs, named.filter(F.col("license").isin(mine)), max(sized[x] for x in mine), id_col, text_col, k, containment, miss))
+    # a class holds templates up to four times the shortest; those of less than ``size`` words need shingles of their own length
+    classes: dict[tuple[int, int], list[str]] = {}
+    for x, n in sized.items():
+        k = min(n, size)
+        classes.setdefault((k, (n - k + 1).bit_length() // 2), []).append(x)
+    parts = [_scan(docs, named.filter(F.col("license").isin(mine)), max(sized[x] for x in mine), id_col, text_col, k, containment, miss) for (k, _), mine in sorted(classes.items())]
     best = F.max(F.struct("containment", (-F.col("first_word")).alias("at"), "n_words"))
     return (
         reduce(DataFrame.union, parts)
-        .groupBy("doc_id", "license")
+        .groupBy("row", "doc_id", "license")
         .agg(best.alias("b"))
         .select("doc_id", "license", "b.containment", (-F.col("b.at")).cast("int").alias("first_word"), F.col("b.n_words").cast("int").alias("n_words"))
     )
 
 
 def _scan(docs: DataFrame, named: DataFrame, longest: int, id_col: str, text_col: str, size: int, containment: float, miss: float) -> DataFrame:
+    """The verified windows of one class of templates."""
+    spark = docs.sparkSession
     known = named.select("license", F.explode(F.array_distinct(shingles_of(F.col("w"), size))).alias("s"))
-    rows = known.collect()  # the templates' shingles: a list as long as the templates
-    universe = sorted({r.s for r in rows})
     of: dict[str, set[int]] = {}
-    for r in rows:
+    for r in known.collect():  # the templates' shingles: as long as the templates, whatever the corpus
         of.setdefault(r.license, set()).add(r.s)
-    classes: dict[int, list[str]] = {}
-    for name in sorted(of):
-        classes.setdefault(len(of[name]).bit_length(), []).append(name)
-    bands_of = {c: hashes_for([len(of[x]) for x in names], containment, miss) for c, names in classes.items()}
-    cls = F.element_at(F.create_map(*[F.lit(v) for c, names in classes.items() for x in names for v in (x, c)]), F.col("license"))
-    many = F.element_at(F.create_map(*[F.lit(v) for pair in bands_of.items() for v in pair]), F.col("cls"))
-    # minhashes of the templates, one row for each template and band
-    banded = known.withColumn("cls", cls).withColumn("j", F.explode(F.sequence(F.lit(0), many - 1)))
-    bands = banded.groupBy("license", "cls", "j").agg(F.min(F.xxhash64("s", "j")).alias("value"), F.count("*").alias("n_template"))
+    step = max(1, longest)  # windows of 2 x step shingles start at every step-th word
+    bits = _bits(list(of.values()), containment, miss, 2 * step)
+    rows = [(x, v) for x, t in sorted(of.items()) for v in bands_of(t, bits)]
+    bands = spark.createDataFrame(rows, "license string, value bigint")
+    sets = spark.createDataFrame([(x, sorted(t)) for x, t in sorted(of.items())], "license string, set array<bigint>")
+    if sum(len(t) for t in of.values()) <= BROADCAST_SHINGLES:
+        bands, sets = F.broadcast(bands), F.broadcast(sets)
+    marked, bucket = _marked([v for _, v in rows]), lambda s: F.shiftright(s, 64 - bits)
+
+    def sketch(window: Column) -> Column:
+        """The marked ones of a window's bands."""
+        ordered = F.sort_array(window)
+        return F.element_at(F.transform(F.array(ordered), lambda o: F.filter(o, lambda s, i: marked(s) & ((i == 0) | (bucket(F.get(o, i - 1)) != bucket(s))))), 1)
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), words_of(F.col(text_col).cast("string")).alias("w"))
-    hashed = texts.select("doc_id", F.size("w").alias("n"), shingles_of(F.col("w"), size).alias("s"))
-    # places of template shingles, with their hashes; texts without any are gone
-    placed = hashed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n", F.filter(F.transform("s", lambda s, i: F.struct(i.alias("at"), s.alias("s"))), lambda x: x["s"].isin(universe)).alias("hits"))
-    step = max(1, longest)  # windows of 2 x step words start at every step-th word
-    hits = (
-        # outer, then a filter: for an inner one Spark would compute the hits a second time, under the words' projection
-        placed.select("row", "doc_id", "n", F.explode_outer("hits").alias("x"))
+    hashed = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("w").alias("n"), shingles_of(F.col("w"), size).alias("s"))
+    part = lambda k: F.slice("s", k * step + 1, 2 * step)
+    starts = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.greatest(F.ceil(F.size("s") / step).cast("int") - 2, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    cut = F.transform(starts, lambda k: F.struct(k.alias("window"), sketch(part(k)).alias("bands")))
+    windows = (
+        # outer, then a filter: for an inner one Spark would compute the sketches a second time
+        hashed.select("row", "doc_id", "n", "s", F.explode_outer(F.filter(cut, lambda x: F.size(x["bands"]) > 0)).alias("x"))
         .filter("x is not null")
-        .select("row", "doc_id", "n", F.col("x.s").alias("s"), F.explode(F.array_distinct(F.array(F.floor(F.col("x.at") / step), F.greatest(F.floor(F.col("x.at") / step) - 1, F.lit(0))))).alias("window"))
-    )
-    windows = hits.groupBy("row", "doc_id", "n", "window").agg(F.collect_set("s").alias("held"))
-    parts = [F.struct(F.lit(c).alias("cls"), F.filter("held", _in(set().union(*(of[x] for x in names)))).alias("own")) for c, names in classes.items()]
-    split = windows.select("doc_id", "n", "window", "held", F.inline_outer(F.array(*parts))).filter("size(own) > 0")
-    sketch = split.withColumn("j", F.explode_outer(F.sequence(F.lit(0), many - 1))).withColumn("value", F.array_min(F.transform("own", lambda s: F.xxhash64(s, F.col("j")))))
-    found = sketch.join(F.broadcast(bands), ["cls", "j", "value"]).select("doc_id", "n", "window", "held", "license", "n_template").distinct()
-    sets = known.groupBy("license").agg(F.collect_set("s").alias("set"))
-    share = F.size(F.array_intersect("held", "set")) / F.col("n_template")
+        .select("row", "doc_id", "n", F.col("x.window").alias("window"), F.slice("s", F.col("x.window") * step + 1, F.lit(2 * step)).alias("held"), F.explode("x.bands").alias("value"))
+    )
+    found = windows.join(bands, "value").select("row", "doc_id", "n", "window", "held", "license").distinct()
     return (
-        found.join(F.broadcast(sets), "license")
-        .withColumn("containment", share)
+        found.join(sets, "license")
+        .withColumn("containment", F.size(F.array_intersect("held", "set")) / F.size("set"))
         .filter(F.col("containment") >= containment)
-        .select("doc_id", "license", "containment", (F.col("window") * step).cast("int").alias("first_word"), F.least(F.lit(2 * step), F.col("n") - F.col("window") * step).cast("int").alias("n_words"))
+        .select("row", "doc_id", "license", "containment", (F.col("window") * step).cast("int").alias("first_word"), F.least(F.lit(2 * step), F.col("n") - F.col("window") * step).cast("int").alias("n_words"))
     )

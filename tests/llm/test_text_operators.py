@@ -365,3 +365,57 @@ def test_licenses_equal_brute_force(spark, odd, empty):
     assert set(found) == set(want), (set(found) - set(want), set(want) - set(found))
     assert found == pytest.approx(want)
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(empty).count() == 0 and license_scan.scan(odd, {}).count() == 0
+
+
+def test_license_bands_bound_the_misses():
+    rng = random.Random(9)
+    for n, longest in ((1, 5), (4, 12), (20, 35), (300, 700)):
+        template = {rng.getrandbits(64) - (1 << 63) for _ in range(n)}
+        bits = license_scan._bits([template], 0.8, 1e-3, 2 * longest)
+        bands, missed, held = set(license_scan.bands_of(template, bits)), 0, -(-8 * n // 10)
+        for _ in range(400):
+            window = set(rng.sample(sorted(template), held)) | {rng.getrandbits(64) - (1 << 63) for _ in range(2 * longest - held)}
+            missed += not bands & set(license_scan.bands_of(window, bits))
+        assert missed <= 3, (n, bits, missed)
+
+
+def test_licenses_by_row(spark):
+    """Null and repeated ids: each row has its own result."""
+    notice = license_scan.TEMPLATES["BSD-3-Clause"]
+    rows = [(None, notice), (None, "x " * 40 + notice), (7, notice), (7, notice), (7, "nothing here")]
+    found = Counter((r.doc_id, r.license) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert found == {(None, "BSD-3-Clause"): 2, (7, "BSD-3-Clause"): 2}
+
+
+def thue_morse(order, letters):
+    """Words that a sum of powers of a base, modulo a power of two, doesn't tell from their mirror."""
+    return "".join(letters[bin(k).count("1") % 2] for k in range(1 << order))
+
+
+def test_hashes_tell_thue_morse_words_apart(spark):
+    texts = [thue_morse(k, x) for k in (3, 4, 5, 6, 10, 12) for x in ("ab", "ba")]
+    data, offsets = textvec.buffer_of(pa.array(texts))
+    for seed in (0, 1):
+        assert len(set(textvec.span_hashes(data, offsets[:-1], offsets[1:], seed=seed).tolist())) == len(texts)
+    rows = near_dedup.near_duplicates(docs_of(spark, texts)).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in rows)
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.byte_bpe_path())
+    cache = packing.segment_encoder(packing.byte_bpe_path())
+    ids, before = cache.ids_of(data, offsets)
+    assert [ids[a:b].tolist() for a, b in zip(before, before[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    reader = sentencepiece.SentencePieceProcessor(model_file=pieces.piece_path())
+    found = {k: ids.tolist() for k, ids in pieces.ids_of_texts(pieces.piece_path(), pa.array(texts))}
+    assert [found[k] for k in range(len(texts))] == [reader.encode(t) for t in texts]
+
+
+def test_segments_with_one_hash_keep_their_ids(monkeypatch):
+    """The second hash tells segments apart that share the first."""
+    real = textvec.span_hashes
+    monkeypatch.setattr(textvec, "span_hashes", lambda data, starts, ends, seed=0: real(data, starts, ends, seed) if seed else real(data, starts, ends) % np.uint64(3) + np.uint64(1))
+    cache = textvec.SegmentCache(lambda segments: [list(x) for x in segments])
+    for text in ("one two three four five", "six one seven two", "two two eight"):
+        data, offsets = textvec.buffer_of(pa.array([text]))
+        assert bytes(cache.ids_of(data, offsets)[0].tolist()).decode() == text
