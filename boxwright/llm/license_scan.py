@@ -14,8 +14,9 @@
 4. Each retrieved (window, template) pair is verified by exact containment: the
    share of the template's shingles that the window holds.
 
-A bitmap of the templates' bands, 64 bits for each, keeps most values that no
-template has from being exploded; it is a part of the join on band values.
+Only windows that hold a shingle whose hash is some template's band can have a
+band in common with one.  A bitmap of the templates' bands, 1024 bits for each,
+marks such places of a text in one pass, so that other windows need no sketch.
 Nothing but retrieved windows is shuffled.
 """
 
@@ -101,8 +102,8 @@ def _bits(templates: list[set[int]], containment: float, miss: float, others: in
 
 
 def _marked(values: list[int]) -> Callable[[Column], Column]:
-    """A test that all of the values pass, and about one in 64 others."""
-    width = max(10, (64 * len(values)).bit_length())
+    """A test that all of the values pass, and about one in 1024 others."""
+    width = max(10, (1024 * len(values)).bit_length())
     words = [0] * (1 << width - 5)
     for v in values:
         at = v & (1 << width) - 1
@@ -148,11 +149,11 @@ def scan(
     if not sized:
         return spark.range(0).selectExpr("id AS doc_id", "'' AS license", "0D AS containment", "0 AS first_word", "0 AS n_words")
     # a class holds templates up to four times the shortest; those of less than ``size`` words need shingles of their own length
-    classes: dict[tuple[int, int], list[str]] = {}
+    classes: dict[int, dict[int, list[str]]] = {}
     for x, n in sized.items():
         k = min(n, size)
-        classes.setdefault((k, (n - k + 1).bit_length() // 2), []).append(x)
-    parts = [_scan(docs, named.filter(F.col("license").isin(mine)), max(sized[x] for x in mine), id_col, text_col, k, containment, miss) for (k, _), mine in sorted(classes.items())]
+        classes.setdefault(k, {}).setdefault((n - k + 1).bit_length() // 2, []).append(x)
+    parts = [_scan(docs, named, sized, list(c.values()), id_col, text_col, k, containment, miss) for k, c in sorted(classes.items())]
     best = F.max(F.struct("containment", (-F.col("first_word")).alias("at"), "n_words"))
     return (
         reduce(DataFrame.union, parts)
@@ -162,42 +163,51 @@ def scan(
     )
 
 
-def _scan(docs: DataFrame, named: DataFrame, longest: int, id_col: str, text_col: str, size: int, containment: float, miss: float) -> DataFrame:
-    """The verified windows of one class of templates."""
+def _scan(docs: DataFrame, named: DataFrame, sized: Mapping[str, int], classes: list[list[str]], id_col: str, text_col: str, size: int, containment: float, miss: float) -> DataFrame:
+    """The verified windows of all classes of templates with shingles of one length."""
     spark = docs.sparkSession
-    known = named.select("license", F.explode(F.array_distinct(shingles_of(F.col("w"), size))).alias("s"))
+    mine = [x for names in classes for x in names]
+    known = named.filter(F.col("license").isin(mine)).select("license", F.explode(F.array_distinct(shingles_of(F.col("w"), size))).alias("s"))
     of: dict[str, set[int]] = {}
     for r in known.collect():  # the templates' shingles: as long as the templates, whatever the corpus
         of.setdefault(r.license, set()).add(r.s)
-    step = max(1, longest)  # windows of 2 x step shingles start at every step-th word
-    bits = _bits(list(of.values()), containment, miss, 2 * step)
-    rows = [(x, v) for x, t in sorted(of.items()) for v in bands_of(t, bits)]
-    bands = spark.createDataFrame(rows, "license string, value bigint")
+    steps = [max(sized[x] for x in names) for names in classes]  # windows of 2 x step shingles start at every step-th word
+    bits = [_bits([of[x] for x in names], containment, miss, 2 * step) for names, step in zip(classes, steps, strict=True)]
+    rows = [(c, x, v) for c, names in enumerate(classes) for x in names for v in bands_of(of[x], bits[c])]
+    bands = spark.createDataFrame(rows, "cls int, license string, value bigint")
     sets = spark.createDataFrame([(x, sorted(t)) for x, t in sorted(of.items())], "license string, set array<bigint>")
     if sum(len(t) for t in of.values()) <= BROADCAST_SHINGLES:
         bands, sets = F.broadcast(bands), F.broadcast(sets)
-    marked, bucket = _marked([v for _, v in rows]), lambda s: F.shiftright(s, 64 - bits)
+    marked = _marked([v for *_, v in rows])
 
-    def sketch(window: Column) -> Column:
+    def sketch(window: Column, bits: int) -> Column:
         """The marked ones of a window's bands."""
-        ordered = F.sort_array(window)
-        return F.element_at(F.transform(F.array(ordered), lambda o: F.filter(o, lambda s, i: marked(s) & ((i == 0) | (bucket(F.get(o, i - 1)) != bucket(s))))), 1)
+        bucket = lambda s: F.shiftright(s, 64 - bits)
+        return F.element_at(F.transform(F.array(F.sort_array(window)), lambda o: F.filter(o, lambda s, i: marked(s) & ((i == 0) | (bucket(F.get(o, i - 1)) != bucket(s))))), 1)
+
+    def sketches(c: int) -> Column:
+        """Windows of a class with a marked place, each with its bands."""
+        step = steps[c]
+        last = F.greatest(F.ceil(F.size("s") / step).cast("int") - 2, F.lit(0))
+        around = F.transform("places", lambda i: F.floor(i / step).cast("int"))
+        numbers = F.filter(F.array_distinct(F.concat(around, F.transform(around, lambda k: k - 1))), lambda k: (k >= 0) & (k <= last))
+        return F.transform(numbers, lambda k: F.struct(F.lit(c).alias("cls"), F.lit(step).alias("step"), k.alias("window"), sketch(F.slice("s", k * step + 1, F.lit(2 * step)), bits[c]).alias("bands")))
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), words_of(F.col(text_col).cast("string")).alias("w"))
     hashed = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("w").alias("n"), shingles_of(F.col("w"), size).alias("s"))
-    part = lambda k: F.slice("s", k * step + 1, 2 * step)
-    starts = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.greatest(F.ceil(F.size("s") / step).cast("int") - 2, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    cut = F.transform(starts, lambda k: F.struct(k.alias("window"), sketch(part(k)).alias("bands")))
+    placed = hashed.withColumn("places", F.array_compact(F.transform("s", lambda s, i: F.when(marked(s), i))))
+    cut = F.filter(F.concat(*[sketches(c) for c in range(len(classes))]), lambda x: F.size(x["bands"]) > 0)
     windows = (
         # outer, then a filter: for an inner one Spark would compute the sketches a second time
-        hashed.select("row", "doc_id", "n", "s", F.explode_outer(F.filter(cut, lambda x: F.size(x["bands"]) > 0)).alias("x"))
+        placed.select("row", "doc_id", "n", "s", F.explode_outer(cut).alias("x"))
         .filter("x is not null")
-        .select("row", "doc_id", "n", F.col("x.window").alias("window"), F.slice("s", F.col("x.window") * step + 1, F.lit(2 * step)).alias("held"), F.explode("x.bands").alias("value"))
+        .select("row", "doc_id", "n", "x.cls", "x.step", "x.window", F.slice("s", F.col("x.window") * F.col("x.step") + 1, 2 * F.col("x.step")).alias("held"), F.explode("x.bands").alias("value"))
     )
-    found = windows.join(bands, "value").select("row", "doc_id", "n", "window", "held", "license").distinct()
+    found = windows.join(bands, ["cls", "value"]).select("row", "doc_id", "n", "window", "step", "held", "license").distinct()
+    first = F.col("window") * F.col("step")
     return (
         found.join(sets, "license")
         .withColumn("containment", F.size(F.array_intersect("held", "set")) / F.size("set"))
         .filter(F.col("containment") >= containment)
-        .select("row", "doc_id", "license", "containment", (F.col("window") * step).cast("int").alias("first_word"), F.least(F.lit(2 * step), F.col("n") - F.col("window") * step).cast("int").alias("n_words"))
+        .select("row", "doc_id", "license", "containment", first.cast("int").alias("first_word"), F.least(2 * F.col("step"), F.col("n") - first).cast("int").alias("n_words"))
     )
