@@ -132,15 +132,22 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
     Score: inner product of the rounded vectors; ties go to the smaller id; a
     query isn't compared with its own id.  Fewer than k others: all of them.
 
-    Vectors that are null, or hold null or a non-finite component, take no part,
-    nor do null ids and vectors of another length than most... all vectors are
-    of the same length.  Repeated ids: each row is a candidate (and query).  An
+    Vectors that are null, empty, or hold null or a non-finite component, take no
+    part, nor do null ids and vectors of another length than most (of equally
+    common lengths, the least).  Scores are exact; vectors whose squared length
+    after rounding reaches 2^53 are an error, raised before any comparing, as
+    their products would not be.  Repeated ids: each row is a candidate (and query).  An
     empty table gives no rows.  Other columns are ignored.
     """
     checkpoint_dir(vectors.sparkSession)
     rounded = vectors.withColumn("_q", queries).select(F.col(id_col).cast("bigint").alias("id"), quantize(F.col(vector_col), scale).alias("v"), F.coalesce("_q", F.lit(False)).alias("is_query"))
-    rounded = rounded.filter("id is not null and v is not null and size(v) > 0").withColumn("length2", F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x * x)).checkpoint()
-    cuts = rounded.agg(F.percentile_approx("length2", [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"), F.sum(F.col("is_query").cast("int")).alias("n")).first()
+    rounded = rounded.filter("id is not null and v is not null and size(v) > 0").withColumn("length2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).checkpoint()
+    usual = rounded.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
+    if usual is not None:
+        rounded = rounded.filter(F.size("v") == usual["size"])
+    cuts = rounded.agg(F.max("length2").alias("most"), F.percentile_approx("length2", [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"), F.sum(F.col("is_query").cast("int")).alias("n")).first()
+    if (cuts["most"] or 0) >= 2**53:
+        raise ValueError("vectors are too long for exact scores: choose a smaller scale")
     n_queries, edges = cuts["n"] or 0, sorted(set(cuts["cuts"] or []))
     bucket = F.lit(0)
     for e in edges:
@@ -165,7 +172,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
     least = F.lit(-(1 << 62)).cast("bigint")
     found = _join_blocks(*sides(True, asked.withColumn("bound", least)), k).checkpoint() if n_queries else None
     if found is None:
-        return rounded.limit(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("length2").alias("score"))
+        return rounded.limit(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
     if any(not (b == top or p == 0) for b, p in blocks):
         known = _merge(found, k).filter(F.col("rank") == k).select(F.col("query_id").alias("q_id"), F.col("score").alias("bound")).distinct()
         bounded = asked.join(known, "q_id", "left").withColumn("bound", F.coalesce("bound", least))

@@ -41,3 +41,16 @@ def test_pipeline(spark, sf_dir):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert packed.select("doc_id").distinct().count() == left
     assert corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().count() == left
+
+
+def test_top_k_of_vectors_of_several_lengths(spark):
+    rows = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [3.0, 3.0]), (3, [9.0]), (4, [9.0, 9.0, 9.0]), (5, []), (2, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = sorted((r["rank"], r.vec_id, r.score) for r in topk.top_k(table, F.col("vec_id") == 0, 5).collect())
+    assert found == [(1, 2, 9 << 20), (2, 1, 4 << 20), (3, 2, 3 << 20)]
+
+
+def test_top_k_refuses_what_would_not_be_exact(spark):
+    table = spark.createDataFrame([(0, [3e6, 1.0]), (1, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(ValueError, match="exact"):
+        topk.top_k(table, F.col("vec_id") == 0)
