@@ -71,7 +71,7 @@ def test_quality_rules_equal_brute_force(spark):
     vocab = [f"w{k}" for k in range(300)]
     rows = [(k, " ".join(rng.choice(vocab) for _ in range(rng.choice([0, 10, 80, 200])))) for k in range(60)]
     rows += [(60 + k, " ".join(f"zz{rng.randint(0, 9999)}###" for _ in range(100))) for k in range(6)]
-    rows += [(70, "la la la " * 40), (71, None), (72, "x\nx\n \nx y\n" * 30)]
+    rows += [(70, "la la la " * 40), (71, None), (72, "x\nx\n \nx y\n" * 30), (73, "#*$%&|<> a#b \u00a7 ^ ~ <<>>")]
     table = spark.createDataFrame(rows, "doc_id bigint, text string")
     trusted = [i for i, t in rows if t and i < 60 and i % 2]
     found = {r.doc_id: r for r in quality_rules.judge(table, spark.createDataFrame([(i,) for i in trusted], "doc_id bigint"), buckets=1 << 12).collect()}
@@ -83,7 +83,8 @@ def test_quality_rules_equal_brute_force(spark):
         repeated = {k + j for k, t in enumerate(tri) if count[t] > 1 for j in range(3)}
         lines = [x for x in (text or "").split("\n") if x.split()]
         r = found[i]
-        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(repeated))
+        assert r.n_symbols == sum(c in "#*$%&|<>" for c in text or "")
+        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(len(x.decode()) for x in w), len(lines) - len(set(lines)), len(repeated))
         assert r.base_failed == (len(w) < 50 or 100 * len(repeated) > 50 * len(w))
         assert r.score == pytest.approx(want[i], abs=1e-6)
         assert r.kept == (not r.base_failed and r.score >= r.threshold)
