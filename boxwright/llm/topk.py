@@ -5,30 +5,33 @@ of similar length, and buckets into blocks of bounded size; queries into blocks
 too.  Every (query block, vector block) pair is one task's work, so neither side
 is ever whole in one place.
 
-A first round compares every query with the blocks of the longest bucket and a
-few others, and yields a lower bound of its k-th best score.  In the second round each
-query gets, for each block, the cosine that a vector of that block needs at
-least: bound / (query length x longest length in the block).  Above 1 the
-block is skipped.  Near 1 few vectors can qualify, and those are picked by single coordinates
-(a vector at that cosine is close to the query's direction in each of them);
-for a low cosine only the prefix of long enough vectors is taken.  What is left
-is verified by products.
+A first round compares every query with a fixed number of blocks, most of them of the
+longest bucket, and yields a lower bound of its k-th best score.  In the second round a
+query goes only to the buckets whose longest vector can reach that bound, and
+only the queries that go to a bucket are dealt into blocks there: what the bounds
+exclude is shuffled on neither side.  In each pair of blocks a query has the
+cosine that a vector of that block needs at least: bound / (query length x
+longest length in the block).  Near 1 few vectors can qualify, and those are
+picked by single coordinates (a vector at that cosine is close to the query's
+direction in each of them); for a low cosine only the prefix of long enough
+vectors is taken.  What is left is verified by products.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from boxwright.session import checkpoint_dir
 
 #: Vectors in a block, and queries in a query block, about.
-BLOCK_VECTORS = 1024
+BLOCK_VECTORS = 4096
 BLOCK_QUERIES = 512
+#: Blocks of the longest bucket, and of each other one, in the first round.
+FIRST_LONGEST, FIRST_OTHERS = 4, 1
 #: Above this local cosine, coordinates prune; under it, lengths.
 COORDINATE_COSINE = 0.6
 FOCUS = 3
@@ -82,7 +85,7 @@ def _candidates(q: np.ndarray, q_norm: float, bound: float, p: np.ndarray, p_nor
 
 
 def _join_blocks(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score: each query's k best vectors in each block; ``q_pair`` and ``pair`` number pairs of blocks."""
+    """query_id, vec_id, score: each query's k best vectors in each block that it is dealt to."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({n: pa.array([], type=pa.int64()) for n in ("query_id", "vec_id", "score")})
@@ -109,21 +112,14 @@ def _join_blocks(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         a, b, c = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table({"query_id": a, "vec_id": b, "score": c})
 
-    return queries.groupBy("q_pair").cogroup(vectors.groupBy("pair")).applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-
-
-def _merge(found: DataFrame, k: int) -> DataFrame:
-    """The k best of all blocks, of each query: a few rows each, in partitions by query."""
+    pair = ("bucket", "part", "q_block")
+    return queries.groupBy(*pair).cogroup(vectors.groupBy(*pair)).applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches, schema=pa.schema([(n, pa.int64()) for n in ("query_id", "vec_id", "score")]))
-        q, s, v = _best(table["query_id"].to_numpy(), table["score"].to_numpy(), table["vec_id"].to_numpy(), k)
-        start = np.ones(len(q), dtype=bool)
-        start[1:] = q[1:] != q[:-1]
-        rank = np.arange(len(q)) - np.maximum.accumulate(np.where(start, np.arange(len(q)), 0)) + 1 if len(q) else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(rank.astype(np.int32)), pa.array(v), pa.array(s)], names=["query_id", "rank", "vec_id", "score"])
 
-    return found.select("query_id", "vec_id", "score").repartition("query_id").mapInArrow(run, "query_id bigint, rank int, vec_id bigint, score bigint")
+def _best_of(found: DataFrame, k: int) -> DataFrame:
+    """The k best of all blocks, of each query; each partition keeps its own k best before the shuffle."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, buckets: int = 8) -> DataFrame:
@@ -140,7 +136,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
     empty table gives no rows.  Other columns are ignored.
     """
     checkpoint_dir(vectors.sparkSession)
-    rounded = vectors.withColumn("_q", queries).select(F.col(id_col).cast("bigint").alias("id"), quantize(F.col(vector_col), scale).alias("v"), F.coalesce("_q", F.lit(False)).alias("is_query"))
+    rounded = vectors.withColumn("_q", queries).select(F.col(id_col).cast("bigint").alias("id"), quantize(F.col(vector_col), scale).alias("v"), F.coalesce("_q", F.lit(False)).alias("is_query"), F.monotonically_increasing_id().alias("row"))
     rounded = rounded.filter("id is not null and v is not null and size(v) > 0").withColumn("length2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).checkpoint()
     usual = rounded.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
     if usual is not None:
@@ -149,32 +145,41 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
     if (cuts["most"] or 0) >= 2**53:
         raise ValueError("vectors are too long for exact scores: choose a smaller scale")
     n_queries, edges = cuts["n"] or 0, sorted(set(cuts["cuts"] or []))
+    if not n_queries:
+        return rounded.limit(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
     bucket = F.lit(0)
     for e in edges:
         bucket = bucket + (F.col("length2") > e).cast("int")
     placed = rounded.withColumn("bucket", bucket)
-    sizes = {r["bucket"]: r["n"] for r in placed.groupBy("bucket").agg(F.count("*").alias("n")).collect()}  # ``buckets`` rows at most
-    parts = F.element_at(F.create_map(*[F.lit(x) for b, n in (sizes or {0: 1}).items() for x in (b, -(-n // BLOCK_VECTORS))]), F.col("bucket"))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), parts))
-    q_blocks = max(1, -(-n_queries // BLOCK_QUERIES))
-    asked = rounded.filter("is_query").select(F.col("id").alias("q_id"), F.col("v").alias("q_v"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(q_blocks)).alias("q_block"))
-    blocks = [(b, p) for b, n in sizes.items() for p in range(-(-n // BLOCK_VECTORS))]  # one pair of numbers for each block of vectors
-    top = max(sizes, default=0)
-    block_table = vectors.sparkSession.createDataFrame([(b, p, b == top or p == 0) for b, p in blocks] or [(0, 0, True)], "bucket int, part bigint, early boolean")
-    pair = F.xxhash64("q_block", "bucket", "part").alias("pair")
-
-    def sides(early: bool, bounded: DataFrame) -> tuple[DataFrame, DataFrame]:
-        chosen = block_table.filter(F.col("early") == early)
-        left = bounded.withColumn("_b", F.explode(F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(p).cast("bigint").alias("part")) for b, p in blocks if (b == top or p == 0) == early]))).select("q_id", "q_v", "bound", F.xxhash64("q_block", "_b.bucket", "_b.part").alias("q_pair"))
-        right = placed.join(F.broadcast(chosen), ["bucket", "part"]).withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint")))).select("id", "v", pair)
-        return left, right
+    sizes = {r["bucket"]: (-(-r["n"] // BLOCK_VECTORS), r["longest2"]) for r in placed.groupBy("bucket").agg(F.count("*").alias("n"), F.max("length2").alias("longest2")).collect()}  # ``buckets`` rows at most
+    # by row, not by id, so that a repeated id is spread too
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("row"), _of_bucket({b: parts for b, (parts, _) in sizes.items()})))
+    asked = rounded.filter("is_query").select(F.col("id").alias("q_id"), F.col("v").alias("q_v"), "length2", "row")
+    first = {b: min(parts, FIRST_LONGEST if b == max(sizes) else FIRST_OTHERS) for b, (parts, _) in sizes.items()}
+
+    def compare(queries: DataFrame, parts: dict[int, tuple[int, int]]) -> DataFrame:
+        """Queries (with bounds) against these parts of each bucket, as far as their bounds reach."""
+        ranges = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(sizes[b][1]).alias("longest2")) for b, (lo, hi) in parts.items()])
+        reach = F.sqrt(F.col("length2")) * F.sqrt(F.col("_r.longest2")) * (1 + 1e-9)
+        going = queries.withColumn("_r", F.explode(ranges)).filter((F.col("bound") <= 0) | (F.col("bound") <= reach)).select("q_id", "q_v", "bound", "row", "_r.bucket", "_r.lo", "_r.hi")
+        q_blocks = {r["bucket"]: -(-r["n"] // BLOCK_QUERIES) for r in going.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+        left = going.select(
+            "q_id", "q_v", "bound", "bucket", F.pmod(F.xxhash64("row", F.lit(1)), _of_bucket(q_blocks)).alias("q_block"), F.explode(F.sequence(F.col("lo").cast("bigint"), F.col("hi").cast("bigint") - 1)).alias("part")
+        )
+        here = placed.filter(F.col("bucket").isin(list(q_blocks)) & (F.col("part") >= _of_bucket({b: lo for b, (lo, _) in parts.items()})) & (F.col("part") < _of_bucket({b: hi for b, (_, hi) in parts.items()})))
+        right = here.select("id", "v", "bucket", "part", F.explode(F.sequence(F.lit(0).cast("bigint"), _of_bucket(q_blocks) - 1)).alias("q_block"))
+        return _join_blocks(left, right, k)
 
     least = F.lit(-(1 << 62)).cast("bigint")
-    found = _join_blocks(*sides(True, asked.withColumn("bound", least)), k).checkpoint() if n_queries else None
-    if found is None:
-        return rounded.limit(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
-    if any(not (b == top or p == 0) for b, p in blocks):
-        known = _merge(found, k).filter(F.col("rank") == k).select(F.col("query_id").alias("q_id"), F.col("score").alias("bound")).distinct()
-        bounded = asked.join(known, "q_id", "left").withColumn("bound", F.coalesce("bound", least))
-        found = found.union(_join_blocks(*sides(False, bounded), k))
-    return _merge(found, k)
+    found = compare(asked.withColumn("bound", least), {b: (0, n) for b, n in first.items()}).checkpoint()
+    rest = {b: (first[b], parts) for b, (parts, _) in sizes.items() if first[b] < parts}
+    if rest:
+        known = _best_of(found, k).filter(F.col("rank") == k).select(F.col("query_id").alias("q_id"), F.col("score").alias("bound"))
+        bounded = asked.join(known, "q_id", "left").withColumn("bound", F.coalesce("bound", least)).checkpoint()
+        found = found.union(compare(bounded, rest))
+    return _best_of(found, k)
+
+
+def _of_bucket(values: dict[int, int]) -> Column:
+    """A bucket's value, from a table of one entry for each bucket at most."""
+    return F.element_at(F.create_map(*[F.lit(x) for b, v in values.items() for x in (b, v)]), F.col("bucket")).cast("bigint") if values else F.lit(0).cast("bigint")

@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +57,20 @@ def test_top_k_refuses_what_would_not_be_exact(spark):
     table = spark.createDataFrame([(0, [3e6, 1.0]), (1, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
     with pytest.raises(ValueError, match="exact"):
         topk.top_k(table, F.col("vec_id") == 0)
+
+
+def test_top_k_in_many_blocks(spark, monkeypatch):
+    """Both rounds, with blocks of a few rows, lengths that differ much, and a repeated id."""
+    monkeypatch.setattr(topk, "BLOCK_VECTORS", 16)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(topk, "FIRST_LONGEST", 1)
+    draw = random.Random(5)
+    rows = [(i if i % 3 else 7, [draw.gauss(0, 1) * 4.0 ** (i % 6) for _ in range(6)]) for i in range(600)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5)
+    good = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    found = topk.top_k(table, F.col("vec_id") % 20 == 1, 5, buckets=6).collect()
+    asked = [(i, v) for i, v in good if i % 20 == 1]
+    assert len(found) == 5 * len(asked)
+    for q, v in asked:
+        scores = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q))[:5]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])] == scores
