@@ -11,9 +11,9 @@ m x width minhashes, and two texts share a table if they share two bands.
    rest; tables with the same members are one.
 3. In each table every class is compared with the table's leader; the links
    found give first components.
-4. What is left: tables with several components.  There each class that isn't
-   in the table's largest component (a guest) is compared with all the others,
-   in blocks of bounded size.  Links inside one component add nothing, so
+4. Tables that still hold several components: each class that isn't in the
+   table's largest component (a guest) is compared with all the others of the
+   table, in blocks of bounded size.  Links inside one component add nothing, so
    no group is expanded into all its pairs.
 5. Components of the components.
 
@@ -178,15 +178,16 @@ def _compare(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """
     side = F.when(F.col("guest"), F.col("n"))
     cut = lambda c: F.ceil(F.coalesce(F.sum(c), F.lit(0)) / BLOCK_SHINGLES)
-    units = rows.groupBy("unit").agg(cut(side).alias("gs"), cut(F.when(~F.col("guest"), F.col("n"))).alias("ms")).checkpoint()
-    bins = max(1, units.count() // 24)
+    units = rows.groupBy("unit").agg(cut(side).alias("gs"), cut(F.when(~F.col("guest"), F.col("n"))).alias("ms"), F.sum("n").alias("weight")).checkpoint()
+    small = (F.col("gs") <= 1) & (F.col("ms") <= 1)
+    bins = max(1, -(-(units.filter(small).agg(F.sum("weight")).first()[0] or 0) // BLOCK_SHINGLES))
     own = lambda k: F.pmod(F.xxhash64("rep"), F.greatest(F.col(k), F.lit(1)))
     other = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.when(F.col("guest"), F.col("ms")).otherwise(F.col("gs")), F.lit(1)).cast("bigint") - 1)
     dealt = (
         rows.join(units, "unit")
         .select("unit", "rep", "comp", "guest", "gs", "ms", F.when(F.col("guest"), own("gs")).otherwise(own("ms")).alias("mine"), F.explode(other).alias("other"))
         .withColumns({"g": F.when(F.col("guest"), F.col("mine")).otherwise(F.col("other")), "m": F.when(F.col("guest"), F.col("other")).otherwise(F.col("mine"))})
-        .select("unit", "rep", "comp", "guest", F.when((F.col("gs") > 1) | (F.col("ms") > 1), F.xxhash64("unit", "g", "m")).otherwise(F.pmod(F.xxhash64("unit"), F.lit(bins))).alias("block"))
+        .select("unit", "rep", "comp", "guest", F.when(~small, F.xxhash64("unit", "g", "m")).otherwise(F.pmod(F.xxhash64("unit"), F.lit(bins))).alias("block"))
     )
 
     def run(table: pa.Table) -> pa.Table:
@@ -217,6 +218,36 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else rows
 
 
+def _mixed(held: DataFrame, found: DataFrame) -> DataFrame:
+    """key, rep, n, comp, most and guest of the tables that hold several components: ``most`` is a table's largest one, guests are not of it."""
+    placed = held.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp")).checkpoint()
+    weights = placed.select("rep", "comp").distinct().groupBy("comp").agg(F.count("*").alias("weight"))
+    several = placed.join(weights, "comp").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("comp", "weight").alias("most")).filter("lo <> hi")
+    return placed.join(several.select("key", "most"), "key").withColumn("guest", F.col("comp") != F.col("most"))
+
+
+def _units(mixed: DataFrame) -> DataFrame:
+    """Rows of ``_compare``: each guest of a mixed table against all the table's members.
+
+    Tables of one largest component have many pairs in common where they hold
+    nearly the same classes, and few where they don't.  They are one unit if
+    that is less to compare, and else a unit each.
+    """
+    work = F.sum(F.when(F.col("guest"), F.col("n").cast("double")).otherwise(0.0)) * F.sum(F.col("n").cast("double"))
+    apart = mixed.groupBy("key", "most").agg(work.alias("work")).groupBy("most").agg(F.sum("work").alias("apart"))
+    once = mixed.select("most", "rep", "n", "guest").distinct()
+    together = once.groupBy("most").agg(work.alias("together"))
+    plan = apart.join(together, "most").select("most", (F.col("apart") < F.col("together")).alias("alone"))
+    rows = mixed.join(plan, "most").select(F.when(F.col("alone"), F.xxhash64("key", F.lit("table"))).otherwise(F.xxhash64("most")).alias("unit"), "rep", "n", "comp", "guest").distinct().checkpoint()
+    return rows.withColumn("guest", F.lit(False)).unionByName(rows.filter("guest"))
+
+
+def _onward(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(node, component) of both: ``second`` links components of ``first`` and nodes that ``first`` doesn't have."""
+    over = second.select(F.col("node").alias("component"), F.col("component").alias("over"))
+    return first.join(over, "component", "left").select("node", F.coalesce("over", "component").alias("component")).unionByName(second.join(first.select("node"), "node", "left_anti").select("node", "component"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -277,27 +308,10 @@ def near_duplicates(
     guests = chosen.select(F.col("leader").alias("unit"), "rep", "n", F.col("rep").alias("comp"), F.lit(True).alias("guest"))
     leaders = held.filter("rep = leader").select("rep", "n").distinct().join(chosen.select(F.col("leader").alias("rep")).distinct(), "rep", "left_semi")
     rows = guests.unionByName(leaders.select(F.col("rep").alias("unit"), "rep", "n", F.col("rep").alias("comp"), F.lit(False).alias("guest")))
-    first = components(_compare(rows.checkpoint(), sets, num, den)).checkpoint()
-
+    found = components(_compare(rows.checkpoint(), sets, num, den)).checkpoint()
     # the tables that still hold several components
-    placed = held.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp")).checkpoint()
-    weights = placed.select("rep", "comp").distinct().groupBy("comp").agg(F.count("*").alias("weight"))
-    mixed = (
-        placed.join(weights, "comp")
-        .groupBy("key")
-        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("comp", "weight").alias("unit"))
-        .filter("lo <> hi")
-        .select("key", "unit")
-    )
-    members = placed.join(mixed, "key").select("unit", "rep", "n", "comp").distinct().checkpoint()
-    rows = members.withColumn("guest", F.lit(False)).unionByName(members.filter("comp <> unit").withColumn("guest", F.lit(True)))
-    second = components(_compare(rows, sets, num, den))
-
-    final = (
-        first.join(second.select(F.col("node").alias("component"), F.col("component").alias("over")), "component", "left")
-        .select(F.col("node").alias("rep"), F.coalesce("over", "component").alias("to"))
-        .unionByName(second.join(first.select(F.col("node")), "node", "left_anti").select(F.col("node").alias("rep"), F.col("component").alias("to")))
-    )
+    found = _onward(found, components(_compare(_units(_mixed(held, found).checkpoint()), sets, num, den)))
+    final = found.select(F.col("node").alias("rep"), F.col("component").alias("to"))
     # back to ids: the least one of each component, for the classes of several rows or with links
     linked = final.join(classes.select("rep", "least"), "rep").checkpoint()
     least = _small(linked.groupBy("to").agg(F.min("least").alias("component")))
