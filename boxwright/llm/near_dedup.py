@@ -237,7 +237,7 @@ def _units(mixed: DataFrame) -> DataFrame:
     apart = mixed.groupBy("key", "most").agg(work.alias("work")).groupBy("most").agg(F.sum("work").alias("apart"))
     once = mixed.select("most", "rep", "n", "guest").distinct()
     together = once.groupBy("most").agg(work.alias("together"))
-    plan = apart.join(together, "most").select("most", (F.col("apart") < F.col("together")).alias("alone"))
+    plan = _small(apart.join(together, "most").select("most", (F.col("apart") < F.col("together")).alias("alone")).checkpoint())
     rows = mixed.join(plan, "most").select(F.when(F.col("alone"), F.xxhash64("key", F.lit("table"))).otherwise(F.xxhash64("most")).alias("unit"), "rep", "n", "comp", "guest").distinct().checkpoint()
     return rows.withColumn("guest", F.lit(False)).unionByName(rows.filter("guest"))
 
