@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.llm import html_extract, license_scan, near_dedup, packing, pieces, quality_classifier, quality_rules, topk, toxicity, url_filter
+from boxwright.llm import filter_audit, html_extract, license_scan, near_dedup, packing, pieces, quality_classifier, quality_rules, token_counts, topk, toxicity, url_filter
 from boxwright.session import ship_package
 
 
@@ -112,6 +112,50 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+f AS (
+  SELECT d.doc_id, part,
+    (CASE WHEN len(w) < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(d.t, '[^A-Z]+', '', 'g')) > 5 * length(d.t) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(d.t, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN least < d.doc_id THEN 16 ELSE 0 END) AS bits
+  FROM d JOIN firsts ON d.t = firsts.t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+c AS (
+  SELECT part, bits, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY part, bits),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (
+  SELECT o, step, 1 << (ascii(substr(o, step, 1)) - 65) AS own,
+    list_sum([1 << (ascii(substr(o, k, 1)) - 65) FOR k IN range(1, step)] || [0]) AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step))
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step,
+  CAST(sum(CASE WHEN bits & (before | own) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN bits & own <> 0 AND bits & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN bits & own <> 0 AND bits & before <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN bits = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN bits & own <> 0 AND bits & before = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN bits & own <> 0 AND bits & before = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+  CAST(sum(CASE WHEN bits & own <> 0 THEN n * 120 // bit_count(bits) ELSE 0 END) AS BIGINT) AS shapley
+FROM c, (SELECT o, step, own, CAST(before AS INTEGER) AS before FROM s) GROUP BY part, o, step
+"""
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -124,8 +168,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_html_extraction": op9_html_extraction,
         "op10_toxicity": op10_toxicity,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_token_counts": op13_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op4_top_k": OP4_SQL}
+    return {"op3_url_filter": OP3_SQL, "op4_top_k": OP4_SQL, "op12_filter_audit": OP12_SQL}
