@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.llm import filter_audit, html_extract, license_scan, near_dedup, packing, pieces, quality_classifier, quality_rules, token_counts, topk, toxicity, url_filter
+from boxwright.llm import alignment, filter_audit, html_extract, license_scan, near_dedup, packing, pieces, quality_classifier, quality_rules, token_counts, topk, toxicity, url_filter
 from boxwright.session import ship_package
 
 
@@ -112,6 +112,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return alignment.align_and_score(_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -168,6 +173,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_html_extraction": op9_html_extraction,
         "op10_toxicity": op10_toxicity,
+        "op11_tokenizer_alignment": op11_tokenizer_alignment,
         "op12_filter_audit": op12_filter_audit,
         "op13_token_counts": op13_token_counts,
     }
