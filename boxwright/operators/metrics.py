@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from boxwright.functions.vocab import CLASSES
 from boxwright.operators.matching import best_owners, choices, greedy, grouped, once, owners
+from boxwright.operators.scan import highest_from, ordered, running_sums
 from boxwright.session import checkpoint_dir
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
@@ -43,50 +43,36 @@ def flagged(predictions: DataFrame, boxes: DataFrame, least: float = 0.5) -> Dat
     return rows.select("image_id", "r.pred_idx", "class_id", "r.conf", "r.tp").join(F.broadcast(totals), "class_id").select("image_id", "pred_idx", "class_id", "conf", "n_gt", "tp").checkpoint()
 
 
-def running(flags: DataFrame, tiers: int = 64, by: tuple[str, ...] = ("class_id",), hits: tuple[str, ...] = ("tp",)) -> DataFrame:
-    """Running counts of predictions (``cum_n``) and of each kind of hit (``cum_...``) of a class, by (conf desc, image, prediction).
+def _in_order(flags: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Predictions of each class by (conf desc, image, prediction), over all tasks."""
+    return ordered(flags, by, (F.desc("conf"), F.asc("image_id"), F.asc("pred_idx")))
 
-    Two levels, so that a class with most of the rows isn't one task's: within
-    ``band``, one of some ``tiers`` ranges of confidence with about as many rows
-    each, and over the bands' totals.  Equal confidences share a band.
-    """
-    shares = [k / tiers for k in range(1, tiers)]
-    cuts = flags.groupBy(*by).agg(F.percentile_approx("conf", shares, 1000).alias("_cuts"))
-    banded = flags.join(F.broadcast(cuts), list(by)).withColumn("band", F.size(F.filter("_cuts", lambda c: c > F.col("conf")))).drop("_cuts")  # a row for each class
-    sums = {h: F.sum(h).alias(f"_0{h}") for h in hits}
-    totals = banded.groupBy(*by, "band").agg(*sums.values(), F.count("*").alias("_0n"))
-    over = Window.partitionBy(*by).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*by, "band", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(c) for c in (*[f"_0{h}" for h in hits], "_0n")])
-    w = Window.partitionBy(*by, "band").orderBy(F.desc("conf"), "image_id", "pred_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        banded.join(F.broadcast(before), [*by, "band"])  # classes x bands rows
-        .withColumns({**{f"cum_{h}": F.col(f"_0{h}") + F.sum(h).over(w) for h in hits}, "cum_n": F.col("_0n") + F.count("*").over(w)})
-        .drop(*[f"_0{h}" for h in hits], "_0n")
-    )
+
+def _running(placed: DataFrame, by: tuple[str, ...], hits: tuple[str, ...]) -> DataFrame:
+    """Running counts of predictions (``cum_n``) and of each kind of hit (``cum_...``) of a class."""
+    return running_sums(placed, by, {**{f"cum_{h}": F.col(h) for h in hits}, "cum_n": F.lit(1)})
+
+
+def _curve(placed: DataFrame) -> DataFrame:
+    out = _running(placed, ("class_id",), ("tp",))
+    return out.withColumns({"recall": F.col("cum_tp") / (F.col("n_gt") + 1e-9), "precision": F.col("cum_tp") / (F.col("cum_n") + 1e-9)})
 
 
 def curve(flags: DataFrame) -> DataFrame:
     """M6: recall and precision after each prediction."""
-    return running(flags).withColumns({"recall": F.col("cum_tp") / (F.col("n_gt") + 1e-9), "precision": F.col("cum_tp") / (F.col("cum_n") + 1e-9)})
+    return _curve(_in_order(flags, ("class_id",))).drop("_p")
 
 
 def average_precision(flags: DataFrame) -> DataFrame:
     """M5: all-point interpolation, per class.
 
     Recall only moves at true positives, by the same step at each, and the
-    envelope there is the best precision at this or a later one: the best so far
-    from the band's end, or of a later band.  So no class is sorted as a whole.
+    envelope there is the best precision at this or a later one.
     """
-    checkpoint_dir(flags.sparkSession)
-    points = curve(flags).filter("tp = 1").select("class_id", "band", "cum_tp", "n_gt", "precision").checkpoint()
-    # from the end, as a running maximum: a frame that reaches to the end would be read anew for each row
-    here = Window.partitionBy("class_id", "band").orderBy(F.desc("cum_tp")).rowsBetween(Window.unboundedPreceding, 0)
-    later = Window.partitionBy("class_id").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
-    best = points.groupBy("class_id", "band").agg(F.max("precision").alias("p")).select("class_id", "band", F.max("p").over(later).alias("later"))
-    envelope = F.greatest(F.max("precision").over(here), F.col("later"))  # null where no band is later: not compared
-    areas = points.join(F.broadcast(best), ["class_id", "band"]).withColumn("a", envelope / (F.col("n_gt") + 1e-9))  # classes x bands rows
-    found = areas.groupBy("class_id").agg(F.sum("a").alias("ap"))
-    return flags.select("class_id").distinct().join(found, "class_id", "left").select("class_id", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    placed = _in_order(flags, ("class_id",))
+    points = _curve(placed).filter("tp = 1").select("_p", "class_id", "n_gt", "precision")
+    found = highest_from(points, ("class_id",), "precision", "envelope").groupBy("class_id").agg(F.sum(F.col("envelope") / (F.col("n_gt") + 1e-9)).alias("ap"))
+    return placed.groupBy("class_id").agg(F.lit(0.0).alias("none")).join(found, "class_id", "left").select("class_id", F.coalesce("ap", "none").alias("ap"))
 
 
 def coco(predictions: DataFrame, boxes: DataFrame, images: DataFrame | None = None, by: str | None = None, most: int = 100) -> DataFrame:
@@ -121,7 +107,8 @@ def coco(predictions: DataFrame, boxes: DataFrame, images: DataFrame | None = No
         .checkpoint()
     )
     marks = F.array(*[F.struct(F.lit(t).alias("t"), F.col(h).alias("tp"), F.col(f"cum_{h}").alias("cum_tp")) for t, h in zip(THRESHOLDS, hits, strict=True)])
-    points = running(flags, by=("grp", "class_id"), hits=tuple(hits)).select("grp", "class_id", "n_gt", "cum_n", F.explode(F.filter(marks, lambda m: m["tp"] == 1)).alias("m"))
+    by_class = ("grp", "class_id")
+    points = _running(_in_order(flags, by_class), by_class, tuple(hits)).select("grp", "class_id", "n_gt", "cum_n", F.explode(F.filter(marks, lambda m: m["tp"] == 1)).alias("m"))
     steps = points.select("grp", "class_id", "m.t", "m.cum_tp", (F.col("m.cum_tp") / F.col("cum_n")).alias("precision"), F.floor(100 * F.col("m.cum_tp") / F.col("n_gt")).cast("int").alias("k"))
     best = steps.groupBy("grp", "class_id", "t", "k").agg(F.max("precision").alias("p"), F.max("cum_tp").alias("tps"))
     # the best precision at recall k or beyond, for k = 0..100, from at most 101 values
