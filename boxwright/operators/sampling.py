@@ -65,7 +65,7 @@ def slots(rows: DataFrame, id_col: str, limits: Callable[[DataFrame], DataFrame]
         bin_ = F.substring("_key", 1, digits).alias("_bin")
         counts = keyed.groupBy("_of", bin_).agg(F.count("*").alias("n"))
         upto = F.sum("n").over(Window.partitionBy("_of").orderBy("_bin"))
-        bins = counts.withColumns({"_upto": upto, "total": F.sum("n").over(Window.partitionBy("_of"))})
+        bins = counts.withColumns({"_upto": upto, "total": F.sum("n").over(Window.partitionBy("_of"))}).checkpoint()
         strata = bins.groupBy("_of").agg(F.first("total").alias("total"))
         if by is not None:
             strata = strata.withColumn(by, F.col(f"_of.{by}"))
