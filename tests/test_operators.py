@@ -178,3 +178,48 @@ def test_frames_without_attributes(spark):
     out = prepare.explode_labels(rows).collect()
     assert {r.weather for r in out} == {"undefined", "foggy"} and len(out) == 3
     assert prepare.frames_with_targets(rows).isEmpty()  # " Car" isn't trimmed here, the bus has no box
+
+
+@pytest.fixture(params=["small", "crowded"])
+def grid(request, monkeypatch):
+    if request.param == "crowded":
+        monkeypatch.setattr(matching, "CROWDED", 0)
+        monkeypatch.setattr(matching, "IN_A_CELL", 1)
+
+
+def test_pairs_of_small_and_crowded_images(scene, grid):
+    gts, preds, boxes, predictions = scene
+    want = {(p[0], p[1], g[1]): iou(p[4:], g[3:]) for p in preds for g in gts if p[0] == g[0] and iou(p[4:], g[3:]) > 0}
+    got = {(r.image_id, r.pred_idx, r.gt_idx): r.iou for r in matching.pairs(predictions, boxes).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_matchers_in_crowded_images(scene, monkeypatch):
+    from boxwright.operators import errors, metrics
+
+    _, _, boxes, predictions = scene
+    matchers = {
+        "greedy": lambda: matching.greedy(predictions, boxes),
+        "argmax": lambda: matching.argmax(predictions, boxes, by_class=True),
+        "suppress": lambda: matching.suppress(predictions, 0.3),
+        "errors": lambda: errors.error_table(predictions, boxes),
+        "coco": lambda: metrics.coco(predictions, boxes),
+    }
+    rows = lambda f: sorted(map(str, f().collect()))
+    before = {k: rows(f) for k, f in matchers.items()}
+    monkeypatch.setattr(matching, "CROWDED", 0)
+    monkeypatch.setattr(matching, "IN_A_CELL", 1)
+    for k, f in matchers.items():
+        assert rows(f) == before[k], k
+
+
+def test_one_image_of_twenty_thousand_boxes(spark):
+    """As many predictions as boxes in one image, most of them in a few places; all matchers by a grid."""
+    n = 20_000
+    place = "floor(pow((id * 7919 % 20011) / 20011D, 2) * 8000) AS x, floor((id * 104729 % 20021) / 20021D * 6000) AS y"
+    boxes = spark.sql(f"SELECT 1L AS image_id, id AS gt_idx, cast(id % 3 as int) AS class_id, cast(x as double) AS x1, cast(y as double) AS y1, x + 40D AS x2, y + 30D AS y2 FROM (SELECT id, {place} FROM range({n}))")
+    predictions = boxes.selectExpr("image_id", "gt_idx AS pred_idx", "class_id", "(gt_idx * 31 % 1000) / 1000D AS conf", "x1 + 2 AS x1", "y1", "x2 + 2 AS x2", "y2")
+    matched = matching.greedy(predictions, boxes).agg(F.count("*").alias("n"), F.count_if(F.col("pred_idx") == F.col("gt_idx")).alias("own")).first()
+    assert matched.n >= 0.99 * n and matched.own > 0.5 * n
+    left = matching.suppress(predictions, 0.3).count()
+    assert n // 4 < left < n
