@@ -178,3 +178,80 @@ def t3(spark: SparkSession, d: str) -> DataFrame:
 @query("t1_stream_rows", sql("SELECT class_name, count(*) AS n FROM frame_detections GROUP BY 1", "frame_detections"))
 def t1(spark: SparkSession, d: str) -> DataFrame:
     return T.run_once(T.read_stream(spark, d).groupBy("class_name").agg(F.count("*").alias("n")), "complete")
+
+
+#: Batches in which events arrive, and how far the watermark lies behind the latest event.
+BATCHES, LATE_H = 4, 6
+LATE = f"""b AS (SELECT min(epoch_us(event_time)) AS lo, max(epoch_us(event_time)) AS hi FROM frame_detections),
+e AS (SELECT f.*, epoch_us(event_time) AS us, least({BATCHES - 1}, {BATCHES} * (epoch_us(event_time) - lo) // (hi - lo + 1) + CASE WHEN frame_idx % 40 = 0 THEN 2 ELSE 0 END) AS batch FROM frame_detections f, b),
+m AS (SELECT batch, max(max(us)) OVER (ORDER BY batch) - {LATE_H} * 3600000000 AS mark FROM e GROUP BY batch),
+a AS (SELECT e.*, coalesce((SELECT max(mark) FROM m WHERE m.batch < e.batch), -1) AS before, (SELECT max(mark) FROM m) AS last FROM e)"""
+
+
+def _arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """Detections by the batch they arrive in: by time, but each fortieth one two batches late."""
+    rows = _detections(spark, d).withColumn("event_time", F.to_utc_timestamp(F.col("event_time").cast("timestamp"), "UTC"))
+    us = F.unix_micros("event_time")
+    lo, hi = rows.agg(F.min(us), F.max(us)).first()  # one row
+    on_time = F.floor(BATCHES * (us - lo) / F.lit(hi - lo + 1)) if lo is not None else F.lit(0)
+    return rows.withColumn("batch", F.least(F.lit(BATCHES - 1), on_time + F.when(F.col("frame_idx") % 40 == 0, 2).otherwise(0)))
+
+
+def _replayed_counts(spark: SparkSession, d: str) -> T.Replayed:
+    return T.replay(_arrivals(spark, d), "batch", BATCHES, lambda stream: T.window_counts(stream, "6 hours", f"{LATE_H} hours"))
+
+
+def _open(found: T.Replayed) -> DataFrame:
+    return found.state.select("key.video_id", "key.class_name", F.unix_timestamp("key.window.start").alias("window_start"), F.col("value.count").alias("n"))
+
+
+SIX_H = 6 * 3600 * 1_000_000
+
+
+@query(
+    "t2_append_windows",
+    sql(
+        f"WITH {LATE} SELECT video_id, class_name, (us // {SIX_H} * {SIX_H} // 1000000)::BIGINT AS window_start, count(*) AS n, us // {SIX_H} * {SIX_H} + {SIX_H} <= last AS closed FROM a WHERE us // {SIX_H} * {SIX_H} + {SIX_H} > before GROUP BY ALL",
+        "frame_detections",
+    ),
+)
+def t2_append(spark: SparkSession, d: str) -> DataFrame:
+    """Windows that a stream in append mode has closed, and those that its state still holds; late rows are in neither."""
+    found = _replayed_counts(spark, d)
+    return found.rows.withColumn("closed", F.lit(True)).unionByName(_open(found).withColumn("closed", F.lit(False)))
+
+
+@query(
+    "t2_late_rows",
+    sql(
+        f"WITH {LATE}, w AS (SELECT us // {SIX_H} * {SIX_H} + {SIX_H} AS stop, before, last FROM a) SELECT count(*) AS n_read, count_if(stop > before AND stop <= last) AS n_closed, count_if(stop > before AND stop > last) AS n_open, count_if(stop <= before) AS n_late FROM w",
+        "frame_detections",
+    ),
+)
+def t2_late(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows a stream read, closed, still holds and dropped as late."""
+    found = _replayed_counts(spark, d)
+    rows = found.rows.select("n", F.lit(True).alias("closed")).union(_open(found).select("n", F.lit(False)))
+    of = lambda closed, name: F.coalesce(F.sum(F.when(F.col("closed") == closed, F.col("n"))), F.lit(0)).alias(name)
+    counts = rows.agg(of(True, "n_closed"), of(False, "n_open"))
+    n = F.lit(found.n_read).cast("bigint")
+    return counts.select(n.alias("n_read"), "n_closed", "n_open", (n - F.col("n_closed") - F.col("n_open")).alias("n_late"))
+
+
+HOUR, DAY = 3_600_000_000, 86_400_000_000
+
+
+@query(
+    "t3_video_windows",
+    sql(
+        f"""WITH {LATE}, f AS (SELECT video_id, us // {HOUR} AS hour, frame_idx // 50 AS frame_idx, any_value(last) AS last, count(*) AS n, sum(conf) AS conf_sum, min(conf) AS lo, max(conf) AS hi FROM a WHERE us // {HOUR} * {HOUR} + {HOUR} > before GROUP BY 1, 2, 3)
+SELECT video_id, (hour * {HOUR} // {DAY} * {DAY} // 1000000)::BIGINT AS window_start, sum(n)::BIGINT AS total, count(*) AS n_frames, max(n) AS peak, round(sum(conf_sum) / sum(n), 9) AS mean_conf, min(lo) AS min_conf, max(hi) AS max_conf
+FROM f WHERE hour * {HOUR} // {DAY} * {DAY} + {DAY} <= last GROUP BY 1, 2""",
+        "frame_detections",
+    ),
+)
+def t3_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Each video's statistics by day, final in append mode, from frames of an hour that are closed before."""
+    frames = _arrivals(spark, d).withColumn("frame_idx", F.floor(F.col("frame_idx") / 50))
+    found = T.replay(frames, "batch", BATCHES, lambda stream: T.video_windows(stream, "1 day", f"{LATE_H} hours", "1 hour"))
+    return found.rows.withColumn("mean_conf", F.round("mean_conf", 9))

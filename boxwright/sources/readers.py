@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from boxwright.functions import names as N
 from boxwright.operators.prepare import explode_labels
+from boxwright.sources.json_arrays import read_json_arrays
 
 BOX = "STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>"
 FRAMES = f"name STRING, attributes STRUCT<weather: STRING, timeofday: STRING, scene: STRING>, labels ARRAY<STRUCT<category: STRING, box2d: {BOX}>>"
@@ -27,8 +28,8 @@ IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
 
 
 def read_frames(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """Frames with nested labels from JSON arrays. A file is one task's to parse, so the frames are dealt out afterwards."""
-    frames = spark.read.schema(FRAMES).option("multiLine", True).json(path)
+    """Frames with nested labels from JSON arrays; a large file is read by several tasks."""
+    frames = read_json_arrays(spark, path, FRAMES)
     return frames.repartition(partitions) if partitions else frames
 
 
