@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boxwright.functions import names as N
 from boxwright.operators.prepare import explode_labels
+from boxwright.session import checkpoint_dir
 from boxwright.sources.json_arrays import read_json_arrays
 
 BOX = "STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>"
@@ -65,7 +68,12 @@ def read_labels(spark: SparkSession, path: str, exactly: bool = True) -> DataFra
 
 
 def read_panoptic(spark: SparkSession, root_path: str, fallback_path: str | None = None) -> DataFrame:
-    """Key, segment_id, category_id, category_name; per-condition files only where the root has none; the later file wins a key."""
+    """Key, segment_id, category_id, category_name; per-condition files only where the root has none; the later file wins a key.
+
+    A file that isn't JSON gives no rows; neither path there is an error.
+    """
+    if fallback_path is not None and not path_exists(spark, root_path):
+        root_path, fallback_path = fallback_path, None
 
     def rows(path: str) -> DataFrame:
         files = spark.read.schema(PANOPTIC).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("file", F.col("_metadata.file_path"))
@@ -86,11 +94,44 @@ def read_mask_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_images(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Paths below a folder with an image suffix, in any case. Contents aren't read."""
+    """Paths below a folder with an image suffix, in any case. Contents aren't read.
+
+    The driver lists the folder; ``list_inventory`` has the executors do it.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path")
     return files.filter(N.suffix(F.col("path")).isin(*IMAGE_SUFFIXES)).select(F.col("path").alias("image_path"))
 
 
+def list_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """Like ``list_images``, listed by the executors.
+
+    The folders of one level are rows; tasks list them, which gives files and the
+    folders of the next level, until there are none.  The tree is as deep as
+    rounds are run, and no machine sees more than its folders.  Each level is
+    checkpointed.  A path that isn't there is an error.
+    """
+    checkpoint_dir(spark)
+    schema = pa.schema([("path", pa.string()), ("is_folder", pa.bool_())])
+
+    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                system, at = fs.FileSystem.from_uri(folder)
+                head = folder.removesuffix(at) if folder.endswith(at) else ""
+                found = system.get_file_info(fs.FileSelector(at))
+                yield pa.RecordBatch.from_arrays([pa.array([head + x.path for x in found], pa.string()), pa.array([x.type == fs.FileType.Directory for x in found], pa.bool_())], schema=schema)
+
+    level = spark.range(1).select(F.lit(path.rstrip("/")).alias("path"))
+    found = None
+    while True:
+        listed = level.repartition("path").mapInArrow(list_, "path string, is_folder boolean").checkpoint()
+        files = listed.filter(~F.col("is_folder") & N.suffix(F.col("path")).isin(*IMAGE_SUFFIXES)).select(F.col("path").alias("image_path"))
+        found = files if found is None else found.union(files)
+        level = listed.filter("is_folder").select("path")
+        if level.isEmpty():
+            return found
+
+
 def read_manifest(spark: SparkSession, path: str, required: Iterable[str] = ("split", "weather")) -> DataFrame:
     """A manifest of any kind with its image column as ``image``; a missing required column is an error."""
     rows = spark.read.option("header", True).csv(path)
@@ -109,15 +150,16 @@ def merge_manifests(manifests: Iterable[DataFrame]) -> DataFrame:
     return first
 
 
-def read_metrics(spark: SparkSession, runs: Mapping[str, str]) -> tuple[DataFrame, list[str]]:
-    """Metrics of the runs (name to path) whose file is there, and the names of the others; none at all is an error."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or pattern matches anything, on whatever file system it names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
 
-    def there(path: str) -> bool:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(conf).exists(p)
 
-    known = {name: path for name, path in runs.items() if there(path)}
+def read_metrics(spark: SparkSession, runs: Mapping[str, str]) -> tuple[DataFrame, list[str]]:
+    """Metrics of the runs (name to path) whose file is there, and the names of the others; none at all is an error."""
+    known = {name: path for name, path in runs.items() if path_exists(spark, path)}
     if not known:
         raise ValueError("no run has metrics")
     return spark.read.schema(METRICS).option("multiLine", True).json(list(known.values())), sorted(set(runs) - set(known))
@@ -145,6 +187,12 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PREDICTIONS).parquet(path)
 
 
+def with_dataset_paths(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """``rows`` with the ``path`` of their ``dataset`` from a table (dataset, path); an unknown one stops the job and is named."""
+    unknown = F.raise_error(F.concat(F.lit("unknown dataset: "), F.coalesce("dataset", F.lit("null")))).cast("string")
+    return rows.join(registry.select("dataset", F.col("path").alias("_path")), "dataset", "left").withColumn("path", F.coalesce("_path", unknown)).drop("_path")
+
+
 def dataset_path(registry: Mapping[str, str], key: str) -> str:
     """A dataset's path; an unknown key is an error that names the known ones."""
     if key not in registry:
