@@ -11,6 +11,7 @@ from boxwright.operators.scan import highest_from, ordered, running_sums
 from boxwright.session import checkpoint_dir
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
+HITS = tuple(f"h{k}" for k in range(len(THRESHOLDS)))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -75,40 +76,52 @@ def average_precision(flags: DataFrame) -> DataFrame:
     return placed.groupBy("class_id").agg(F.lit(0.0).alias("none")).join(found, "class_id", "left").select("class_id", F.coalesce("ap", "none").alias("ap"))
 
 
-def coco(predictions: DataFrame, boxes: DataFrame, images: DataFrame | None = None, by: str | None = None, most: int = 100) -> DataFrame:
-    """M7: group, class_id, threshold, ap, ar by the public COCO protocol; M9 with ``by``, a column of ``images``.
+def coco_flags(predictions: DataFrame, boxes: DataFrame, images: DataFrame | None = None, by: str | None = None, most: int = 100) -> DataFrame:
+    """Every prediction with a hit (0/1) for each threshold, from one fold over its image and class.
 
-    Each image's predictions of a class are matched at all ten thresholds in one
-    group, from one list of IoUs; a prediction stays one row, with a hit for
-    each threshold, and its running counts are taken in one sort.  101 recall
-    points; recall as exact integers.
+    grp (``by``, a column of ``images``, or "all"), class_id, image_id, pred_idx,
+    conf, h0.. (a hit at each of THRESHOLDS), in_top (among the ``most`` first of
+    its image and class) and n_gt (boxes of its group and class, null for none).
+    A prediction's hit doesn't depend on those after it, so the hits hold for the
+    first ``most`` and for all.  Checkpointed.
     """
     checkpoint_dir(predictions.sparkSession)
-    group = F.lit("all") if by is None else F.col(by)
-    if by is not None:
-        tags = images.select("image_id", F.col(by))
-        predictions, boxes = predictions.join(tags, "image_id"), boxes.join(tags, "image_id")
-    predictions, boxes = predictions.withColumn("grp", group), boxes.withColumn("grp", group)
+    predictions, boxes = _grouped_by(predictions, images, by), _grouped_by(boxes, images, by)
     totals = boxes.groupBy("grp", "class_id").agg(F.count("*").alias("n_gt"))
-    hits = [f"h{k}" for k in range(len(THRESHOLDS))]
-    per_image = grouped(predictions, boxes, ("image_id", "class_id"), "left", ("grp",)).withColumn("ps", F.slice("ps", 1, most))
+    per_image = grouped(predictions, boxes, ("image_id", "class_id"), "left", ("grp",))
 
     def rows(found: Column) -> Column:
         at = lambda t: owners(F.transform(found, lambda cs: F.transform(F.filter(cs, lambda c: -c["o"] >= t), lambda c: c["gt_idx"])))
         row = lambda own: F.transform(
-            "ps", lambda p, i: F.struct(p["pred_idx"].alias("pred_idx"), (-p["o"]).alias("conf"), *[F.get(own[k], i).isNotNull().cast("int").alias(h) for k, h in enumerate(hits)])
+            "ps", lambda p, i: F.struct(p["pred_idx"].alias("pred_idx"), (-p["o"]).alias("conf"), (i < most).alias("in_top"), *[F.get(own[k], i).isNotNull().cast("int").alias(h) for k, h in enumerate(HITS)])
         )
         return once(F.array(*[at(t) for t in THRESHOLDS]), row)
 
-    flags = (
-        per_image.select("grp", "class_id", "image_id", F.explode(once(choices(THRESHOLDS[0]), rows)).alias("r"))
-        .select("grp", "class_id", "image_id", "r.*")
-        .join(F.broadcast(totals), ["grp", "class_id"])  # a row for each group and class
-        .checkpoint()
-    )
+    flags = per_image.select("grp", "class_id", "image_id", F.explode(once(choices(THRESHOLDS[0]), rows)).alias("r")).select("grp", "class_id", "image_id", "r.*")
+    return flags.join(F.broadcast(totals), ["grp", "class_id"], "left").checkpoint()  # a row for each group and class
+
+
+def _grouped_by(rows: DataFrame, images: DataFrame | None, by: str | None) -> DataFrame:
+    if by is None:
+        return rows.withColumn("grp", F.lit("all"))
+    return rows.join(images.select("image_id", F.col(by).alias("grp")), "image_id")
+
+
+def coco(predictions: DataFrame, boxes: DataFrame, images: DataFrame | None = None, by: str | None = None, most: int = 100) -> DataFrame:
+    """M7: group, class_id, threshold, ap, ar by the public COCO protocol; M9 with ``by``, a column of ``images``.
+
+    A prediction stays one row, with a hit for each threshold, and its running
+    counts are taken in one sort.  101 recall points; recall as exact integers.
+    """
+    return _coco(coco_flags(predictions, boxes, images, by, most), _grouped_by(boxes, images, by))
+
+
+def _coco(flags: DataFrame, boxes: DataFrame) -> DataFrame:
+    totals = boxes.groupBy("grp", "class_id").agg(F.count("*").alias("n_gt"))
+    flags, hits = flags.filter("in_top and n_gt is not null"), HITS
     marks = F.array(*[F.struct(F.lit(t).alias("t"), F.col(h).alias("tp"), F.col(f"cum_{h}").alias("cum_tp")) for t, h in zip(THRESHOLDS, hits, strict=True)])
     by_class = ("grp", "class_id")
-    points = _running(_in_order(flags, by_class), by_class, tuple(hits)).select("grp", "class_id", "n_gt", "cum_n", F.explode(F.filter(marks, lambda m: m["tp"] == 1)).alias("m"))
+    points = _running(_in_order(flags, by_class), by_class, hits).select("grp", "class_id", "n_gt", "cum_n", F.explode(F.filter(marks, lambda m: m["tp"] == 1)).alias("m"))
     steps = points.select("grp", "class_id", "m.t", "m.cum_tp", (F.col("m.cum_tp") / F.col("cum_n")).alias("precision"), F.floor(100 * F.col("m.cum_tp") / F.col("n_gt")).cast("int").alias("k"))
     best = steps.groupBy("grp", "class_id", "t", "k").agg(F.max("precision").alias("p"), F.max("cum_tp").alias("tps"))
     # the best precision at recall k or beyond, for k = 0..100, from at most 101 values
@@ -127,6 +140,24 @@ def coco_summary(table: DataFrame) -> DataFrame:
     return table.groupBy("grp").agg(F.avg(F.when(F.col("threshold") == 0.5, F.col("ap"))).alias("map50"), F.avg("ap").alias("map50_95"), F.avg("ar").alias("mar_100"))
 
 
+def table_by_group(predictions: DataFrame, boxes: DataFrame, images: DataFrame, by: str, conf: float = 0.25) -> DataFrame:
+    """M9: grp, images, precision, recall (at ``conf`` and an IoU of 0.5), map50, map50_95, mar_100 of each group of images.
+
+    Both kinds of metric come from one matching.  A group whose images have no
+    boxes, or no predictions, has zeros.
+    """
+    flags = coco_flags(predictions, boxes, images, by)
+    tagged = _grouped_by(boxes, images, by)
+    sure = F.col("conf") >= conf
+    hits = flags.groupBy("grp").agg(F.count_if(sure & (F.col(HITS[0]) == 1)).alias("tp"), F.count_if(sure).alias("n_pred"))
+    n_gt = tagged.groupBy("grp").agg(F.count("*").alias("n_gt"))
+    every = images.groupBy(F.col(by).alias("grp")).agg(F.count("*").alias("images"))
+    joined = every.join(hits, "grp", "left").join(n_gt, "grp", "left").join(coco_summary(_coco(flags, tagged)), "grp", "left")
+    tp = F.coalesce(F.col("tp"), F.lit(0)).cast("double")
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("map50", "map50_95", "mar_100")]
+    return joined.select("grp", "images", ratio(tp, F.col("n_pred")).alias("precision"), ratio(tp, F.col("n_gt")).alias("recall"), *zero)
+
+
 def by_class_name(table: DataFrame, column: str = "ap") -> DataFrame:
     """M8: a row for each class name, null for classes without a value."""
     names = table.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in CLASSES])).alias("class_id", "class_name"))

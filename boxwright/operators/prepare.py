@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -138,6 +138,27 @@ def skip_reasons(rows: DataFrame) -> DataFrame:
     return rows.filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def kept_and_counted(rows: DataFrame, reasons: tuple[str, ...]) -> tuple[DataFrame, Observation]:
+    """A4: the rows whose ``reason`` is null, and counts of the others by reason, taken in the pass that drops them.
+
+    The counts are there (``.get``) once an action on the kept rows is through.
+    """
+    counts = Observation()
+    observed = rows.observe(counts, *[F.count_if(F.col("reason") == r).alias(r) for r in reasons])
+    return observed.filter("reason is null").drop("reason"), counts
+
+
+def class_contract(classes: DataFrame, expected: tuple[str, ...] = CLASSES) -> DataFrame:
+    """class_id, class_name and ok of a table of classes; one that is missing, unknown or out of order stops the job and is named."""
+    names = classes.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in expected])).alias("class_id", "_expected"))
+    given = classes.select(F.col("class_id").cast("int").alias("class_id"), "class_name").distinct()
+    both = names.join(given, "class_id", "full")
+    shown = lambda c: F.coalesce(c, F.lit("none"))
+    wrong = F.concat(F.lit("class "), F.col("class_id").cast("string"), F.lit(" is "), shown("class_name"), F.lit(", not "), shown("_expected"))
+    ok = F.when(F.equal_null("class_name", "_expected"), True).otherwise(F.raise_error(wrong).cast("boolean"))
+    return both.select("class_id", "class_name", ok.alias("ok"))
+
+
 def first_of(files: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of every key (the last one with a descending order column)."""
     w = Window.partitionBy(key).orderBy(order)

@@ -7,15 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.functions.vocab import CLASSES, capture_condition, class_name
+from boxwright.functions.vocab import capture_condition, class_name, segment_class
 from boxwright.operators import copypaste as C
 from boxwright.operators import merge as M
 from boxwright.operators import sampling as S
-from boxwright.plans.annotation import CONDITION, NAMES
+from boxwright.operators.prepare import choose_masks, class_contract, kept_and_counted
+from boxwright.plans.annotation import CONDITION, NAMES, SEGMENT
 from boxwright.plans.registry import query
 from boxwright.plans.views import frame, sql
 from boxwright.session import checkpoint_dir
-from boxwright.sources import sinks
+from boxwright.sources import readers, sinks
 
 KEY = "md5('42|' || image_id)"
 CNAME = "['person','bicycle','car','motorcycle','bus','truck'][class_id + 1]"
@@ -155,9 +156,19 @@ def w21(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w22_class_contract", f"SELECT class_id, class_name, true AS ok FROM {NAMES} WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey % 6 = class_id)")
 def w22(spark: SparkSession, d: str) -> DataFrame:
+    """The classes that the boxes have, by the names of a class table, checked against the library's order."""
+    names = spark.sql(f"SELECT * FROM {NAMES}")
     there = frame(spark, d, "gt_boxes").select(F.col("class_id").cast("int").alias("class_id")).distinct()
-    expected = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("class_id") + 1)
-    return there.select("class_id", class_name(F.col("class_id")).alias("class_name"), (class_name(F.col("class_id")) == expected).alias("ok"))
+    return class_contract(there.join(names, "class_id"))
+
+
+DATASETS = "(VALUES ('xwod', '/data/xwod'), ('bdd', '/data/bdd'), ('acdc', '/data/acdc'), ('unused', '/data/unused')) r(dataset, path)"
+
+
+@query("s12_dataset_paths", sql(f"SELECT path, count(*) AS n FROM images JOIN {DATASETS} ON source = dataset GROUP BY 1", "images"))
+def s12(spark: SparkSession, d: str) -> DataFrame:
+    images = frame(spark, d, "images").select(F.col("source").alias("dataset"))
+    return readers.with_dataset_paths(images, spark.sql(f"SELECT * FROM {DATASETS}")).groupBy("path").agg(F.count("*").alias("n"))
 
 
 @query("w23_image_lists", sql("SELECT weather_raw, image_path FROM images", "images"))
@@ -288,3 +299,35 @@ SELECT kind, name, count(*) AS n FROM c GROUP BY 1, 2""",
 )
 def c5(spark: SparkSession, d: str) -> DataFrame:
     return C.paste_statistics(_bank(spark, d), c3(spark, d).checkpoint(), _boxes(spark, d), frame(spark, d, "images"))
+
+
+@query(
+    "a4_all_reasons",
+    sql(
+        f"""WITH RECURSIVE {PLACED},
+m AS (SELECT CASE WHEN NOT (o_orderkey % 3 = 0 OR o_orderkey % 2 = 0) THEN 'no_mask' WHEN o_orderkey NOT IN (SELECT image_id FROM mask_runs WHERE {SEGMENT} IS NOT NULL) THEN 'no_boxes' END AS reason FROM orders),
+every AS (SELECT reason FROM m UNION ALL SELECT reason FROM bank UNION ALL SELECT reason FROM placed
+UNION ALL SELECT CASE WHEN count_if(reason IS NULL) = 0 THEN 'no_paste' END FROM placed GROUP BY no)
+SELECT reason, count(*) AS n FROM every WHERE reason IS NOT NULL GROUP BY 1""",
+        *PASTED,
+        "mask_runs",
+    ),
+)
+def a4_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every reason for which something is left out, counted by the passes that write what is kept."""
+    folder = f"{checkpoint_dir(spark)}/kept-{uuid.uuid4().hex}"
+    keys = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("key"))
+    masks = choose_masks(keys, keys.filter("key % 3 = 0"), keys.filter("key % 2 = 0"), keys.filter("key % 5 = 0"))
+    found = frame(spark, d, "mask_runs").filter(segment_class(F.col("segment_id")).isNotNull()).groupBy(F.col("image_id").alias("key")).agg(F.count("*").alias("n"))
+    masks = masks.join(found, "key", "left").withColumn("reason", F.when(F.col("mask_source") == "no_mask", "no_mask").when(F.col("n").isNull(), "no_boxes"))
+    placed = C.place(_pastes(spark, d), frame(spark, d, "gt_boxes"))
+    made = placed.groupBy("no").agg(F.count_if(F.col("reason").isNull()).alias("n")).withColumn("reason", F.when(F.col("n") == 0, "no_paste"))
+    crops = ("crop_too_small", "crop_too_large", "person_not_small", "crop_invalid")
+    steps = {"masks": (masks, ("no_mask", "no_boxes")), "bank": (_bank(spark, d), crops), "pastes": (placed, ("crop_invalid", "overlap")), "composites": (made, ("no_paste",))}
+    counts: dict[str, int] = {}
+    for name, (rows, reasons) in steps.items():
+        kept, seen = kept_and_counted(rows, reasons)
+        kept.write.parquet(f"{folder}/{name}")
+        for reason, n in seen.get.items():
+            counts[reason] = counts.get(reason, 0) + n
+    return spark.createDataFrame([(r, n) for r, n in counts.items() if n], "reason string, n bigint")

@@ -210,6 +210,20 @@ def m9(spark: SparkSession, d: str) -> DataFrame:
     return table.select("grp", *[F.round(c, 6).alias(c) for c in ("map50", "map50_95", "mar_100")])
 
 
+M9_TABLE = f"""{_coco_sql(WEATHER_SQL, BY_IMAGE).rstrip()},
+z AS ({SUM_END}),
+h AS (SELECT grp, count(*) AS tp FROM f WHERE t = 0.5 AND tp = 1 AND conf >= 0.25 GROUP BY 1), np AS (SELECT grp, count(*) AS n FROM tagged WHERE conf >= 0.25 GROUP BY 1), ng AS (SELECT grp, count(*) AS n FROM gt GROUP BY 1),
+im AS (SELECT {WEATHER_SQL} AS grp, count(*) AS images FROM images i GROUP BY 1)
+SELECT im.grp, im.images, round(coalesce(tp / np.n, 0), 6) AS precision, round(coalesce(tp / ng.n, 0), 6) AS recall, coalesce(map50, 0) AS map50, coalesce(map50_95, 0) AS map50_95, coalesce(mar_100, 0) AS mar_100
+FROM im LEFT JOIN h USING (grp) LEFT JOIN np USING (grp) LEFT JOIN ng USING (grp) LEFT JOIN z USING (grp)"""
+
+
+@query("m9_weather_table", sql(M9_TABLE, *BASE, "images"))
+def m9_table(spark: SparkSession, d: str) -> DataFrame:
+    table = metrics.table_by_group(*_tables(spark, d), _weather_images(spark, d), "weather")
+    return table.select("grp", "images", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "map50", "map50_95", "mar_100")])
+
+
 NMS = """WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY image_id, class_id ORDER BY conf DESC, pred_idx) AS k FROM predictions),
 w AS (SELECT image_id, class_id, 0::BIGINT AS k, []::STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[] AS kept, NULL::BIGINT AS pred_idx, false AS ok FROM (SELECT DISTINCT image_id, class_id FROM r)
   UNION ALL

@@ -13,7 +13,7 @@ from boxwright.plans.evaluation import BASE, ERRORS
 from boxwright.plans.registry import query
 from boxwright.plans.views import frame, sql
 from boxwright.session import checkpoint_dir
-from boxwright.sources import readers, sinks
+from boxwright.sources import label_files, readers, sinks
 
 
 def _folder(spark: SparkSession) -> str:
@@ -142,9 +142,7 @@ def s11(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_predictions(spark, folder).groupBy("class_id").agg(F.count("*").alias("n"), F.round(F.sum("conf"), 3).alias("sum_conf"))
 
 
-@query("s4_read_panoptic", sql("SELECT category_name, count(*) AS n FROM (SELECT DISTINCT image_id, segment_id, 'c' || CAST(segment_id % 5 AS VARCHAR) AS category_name FROM mask_runs) GROUP BY 1", "mask_runs"))
-def s4(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark)
+def _write_panoptic(spark: SparkSession, d: str, folder: str) -> None:
     segments = frame(spark, d, "mask_runs").select("image_id", "segment_id").distinct()
     info = F.struct(F.col("segment_id").alias("id"), (F.col("segment_id") % 5).cast("int").alias("category_id"))
     notes = segments.groupBy("image_id").agg(F.collect_list(info).alias("segments_info"))
@@ -152,6 +150,12 @@ def s4(spark: SparkSession, d: str) -> DataFrame:
     note = F.struct(F.concat(F.col("image_id").cast("string"), F.lit("_gt_panoptic.png")).alias("file_name"), "segments_info")
     parts = max(7, -(-segments.select("image_id").distinct().count() // 1000))  # about 1000 images at most in a file
     notes.groupBy(F.pmod(F.xxhash64("image_id"), F.lit(parts)).alias("part")).agg(F.collect_list(note).alias("annotations")).select("part", categories.alias("categories"), "annotations").write.partitionBy("part").json(folder)
+
+
+@query("s4_read_panoptic", sql("SELECT category_name, count(*) AS n FROM (SELECT DISTINCT image_id, segment_id, 'c' || CAST(segment_id % 5 AS VARCHAR) AS category_name FROM mask_runs) GROUP BY 1", "mask_runs"))
+def s4(spark: SparkSession, d: str) -> DataFrame:
+    folder = _folder(spark)
+    _write_panoptic(spark, d, folder)
     return readers.read_panoptic(spark, f"{folder}/*").groupBy("category_name").agg(F.count("*").alias("n"))
 
 
@@ -167,3 +171,82 @@ def k6(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark)
     sinks.write_detections(frame(spark, d, "frame_detections"), folder)
     return spark.read.option("header", True).schema("class STRING, count BIGINT").csv(f"{folder}/counts")
+
+
+@query("k8_label_files", sql("SELECT i.split, i.image_id || '.txt' AS name, count(g.gt_idx) AS n_lines, coalesce(sum(g.class_id), 0)::BIGINT AS sum_class FROM (SELECT image_id, CASE WHEN image_id % 10 = 0 THEN 'val' ELSE 'train' END AS split FROM images) i LEFT JOIN gt_boxes g USING (image_id) GROUP BY 1, 2", "images", "gt_boxes"))
+def k8_files(spark: SparkSession, d: str) -> DataFrame:
+    """A text file for each image, read back by its name; empty ones too."""
+    folder = _folder(spark)
+    images = frame(spark, d, "images").withColumn("split", F.expr("CASE WHEN image_id % 10 = 0 THEN 'val' ELSE 'train' END"))
+    sinks.write_label_files(images, frame(spark, d, "gt_boxes"), folder)
+    named = lambda path: [F.element_at(F.split(path, "/"), k).alias(c) for k, c in ((-2, "split"), (-1, "name"))]
+    names = readers.list_inventory(spark, f"{folder}/labels", (".txt",)).select(*named("image_path"))
+    texts = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/labels").select(*named("path"), F.col("content").cast("string").alias("value"))
+    # the reader of whole files leaves out empty ones
+    lines = names.join(texts, ["split", "name"], "left").select("split", "name", F.explode_outer(F.split("value", "\n")).alias("line"))
+    parsed = lines.select("split", "name", readers.parse_label_line(F.col("line"))["class_id"].alias("class_id"))
+    return parsed.groupBy("split", "name").agg(F.count("class_id").alias("n_lines"), F.coalesce(F.sum("class_id"), F.lit(0)).alias("sum_class"))
+
+
+SUFFIXES = "['.jpg', '.JPEG', '.png', '.Bmp', '.webp', '.txt', ''][(image_id % 7)::INT + 1]"
+
+
+@query("s6_image_inventory", sql(f"SELECT source || '/' || weather_raw || '/' || image_id || {SUFFIXES} AS image FROM images WHERE image_id % 7 < 5", "images"))
+def s6(spark: SparkSession, d: str) -> DataFrame:
+    """Files of several suffixes in a tree of folders, listed by the executors."""
+    folder = f"{_folder(spark)}/tree"
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (".jpg", ".JPEG", ".png", ".Bmp", ".webp", ".txt", "")]), (F.col("image_id") % 7 + 1).cast("int"))
+    name = F.concat("source", F.lit("/"), "weather_raw", F.lit("/"), F.col("image_id").cast("string"), suffix)
+    label_files.write_files(frame(spark, d, "images").select(name.alias("name"), F.lit("").alias("value")), folder)
+    return readers.list_inventory(spark, folder).select(F.element_at(F.split("image_path", "/tree/"), -1).alias("image"))
+
+
+@query("s4_panoptic_fallback", sql("SELECT category_name, count(*) AS n FROM (SELECT DISTINCT image_id, segment_id, 'c' || CAST(segment_id % 5 AS VARCHAR) AS category_name FROM mask_runs) GROUP BY 1", "mask_runs"))
+def s4_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Files below folders for each condition, read where the root has none."""
+    folder = _folder(spark)
+    _write_panoptic(spark, d, f"{folder}/conditions")
+    return readers.read_panoptic(spark, f"{folder}/*_panoptic.json", f"{folder}/conditions/*").groupBy("category_name").agg(F.count("*").alias("n"))
+
+
+@query(
+    "k7_summary_reports",
+    sql(
+        f"""{ERRORS} SELECT 'class' AS report, class_name AS name, count_if(error_type IN ('true_positive', 'loose_box', 'missed_object'))::BIGINT AS n_gt, count_if(error_type IN ('true_positive', 'loose_box'))::BIGINT AS n_found FROM s GROUP BY 2
+UNION ALL SELECT 'size', size_bucket, count(*)::BIGINT, count_if(error_type <> 'missed_object')::BIGINT FROM s WHERE error_type IN ('true_positive', 'loose_box', 'missed_object') GROUP BY 2
+UNION ALL SELECT 'dataset', 'all', count_if(error_type IN ('true_positive', 'loose_box', 'missed_object'))::BIGINT, count_if(error_type IN ('true_positive', 'loose_box'))::BIGINT FROM s""",
+        *BASE,
+    ),
+)
+def k7_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """The reports by class, by size and of the dataset, written and read back."""
+    folder = _folder(spark)
+    table = errors.error_table(frame(spark, d, "predictions"), frame(spark, d, "gt_boxes"))
+    sinks.write_errors({"class": errors.by_class(table), "size": errors.by_size(table), "dataset": errors.summary(table)}, folder)
+    read = lambda name: spark.read.option("header", True).csv(f"{folder}/{name}")
+    found = (F.col("true_positive").cast("bigint") + F.col("loose_box").cast("bigint")).alias("n_found")
+    row = lambda name, of, n_gt, n_found: read(name).select(F.lit(name).alias("report"), of.alias("name"), n_gt.cast("bigint").alias("n_gt"), n_found.cast("bigint").alias("n_found"))
+    by_class = row("class", F.col("class_name"), F.col("n_gt"), found)
+    by_size = row("size", F.col("size_bucket"), F.col("n_gt"), F.col("n_found"))
+    return by_class.union(by_size).union(row("dataset", F.lit("all"), found + F.col("missed_object").cast("bigint"), found))
+
+
+@query(
+    "k6_export_files",
+    sql(
+        """SELECT 'detections' AS output, count(*) AS n, round(avg(conf), 3) AS mean FROM frame_detections
+UNION ALL SELECT 'summary', count(*), round(avg(conf), 3) FROM frame_detections UNION ALL SELECT 'report', count(*), round(avg(conf), 3) FROM frame_detections""",
+        "frame_detections",
+    ),
+)
+def k6_files(spark: SparkSession, d: str) -> DataFrame:
+    """The export's table, its summary as JSON and its report as text, read back."""
+    folder = _folder(spark)
+    sinks.write_detections(frame(spark, d, "frame_detections"), folder)
+    row = lambda name, rows, n, mean: rows.select(F.lit(name).alias("output"), n.alias("n"), mean.alias("mean"))
+    table = spark.read.option("header", True).schema("class STRING, confidence DOUBLE").csv(f"{folder}/detections").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 3).alias("mean"))
+    summary = spark.read.schema("total BIGINT, mean_confidence DOUBLE").json(f"{folder}/summary")
+    number = lambda pattern, kind: F.regexp_extract("value", pattern, 1).cast(kind)
+    report = spark.read.text(f"{folder}/report")
+    rows = row("detections", table, F.col("n"), F.col("mean")).union(row("summary", summary, F.col("total"), F.col("mean_confidence")))
+    return rows.union(row("report", report, number(r"^(\d+) detections", "bigint"), number(r"confidence ([\d.]+)$", "double")))

@@ -102,13 +102,13 @@ def list_images(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.filter(N.suffix(F.col("path")).isin(*IMAGE_SUFFIXES)).select(F.col("path").alias("image_path"))
 
 
-def list_inventory(spark: SparkSession, path: str) -> DataFrame:
+def list_inventory(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
     """Like ``list_images``, listed by the executors.
 
     The folders of one level are rows; tasks list them, which gives files and the
     folders of the next level, until there are none.  The tree is as deep as
     rounds are run, and no machine sees more than its folders.  Each level is
-    checkpointed.  A path that isn't there is an error.
+    checkpointed.  A path that isn't there is an error.  Empty files are listed too.
     """
     checkpoint_dir(spark)
     schema = pa.schema([("path", pa.string()), ("is_folder", pa.bool_())])
@@ -125,7 +125,7 @@ def list_inventory(spark: SparkSession, path: str) -> DataFrame:
     found = None
     while True:
         listed = level.repartition("path").mapInArrow(list_, "path string, is_folder boolean").checkpoint()
-        files = listed.filter(~F.col("is_folder") & N.suffix(F.col("path")).isin(*IMAGE_SUFFIXES)).select(F.col("path").alias("image_path"))
+        files = listed.filter(~F.col("is_folder") & N.suffix(F.col("path")).isin(*suffixes)).select(F.col("path").alias("image_path"))
         found = files if found is None else found.union(files)
         level = listed.filter("is_folder").select("path")
         if level.isEmpty():
