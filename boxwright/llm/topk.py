@@ -85,22 +85,23 @@ def _candidates(q: np.ndarray, q_norm: float, bound: float, p: np.ndarray, p_nor
 
 
 def _join_blocks(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score: each query's k best vectors in each block that it is dealt to."""
+    """query_id, q_row, vec_id, score: each query's k best vectors in each block that it is dealt to."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({n: pa.array([], type=pa.int64()) for n in ("query_id", "vec_id", "score")})
+        empty = pa.table({n: pa.array([], type=pa.int64()) for n in ("query_id", "q_row", "vec_id", "score")})
         if not left.num_rows or not right.num_rows:
             return empty
         q_id, p_id = left["q_id"].to_numpy(), right["id"].to_numpy()
+        q_row, p_row = left["row"].to_numpy(), right["row"].to_numpy()
         bound = left["bound"].to_numpy(zero_copy_only=False).astype(float)
         q, p = _matrix(left["q_v"]), _matrix(right["v"])
         q_norm, p_norm = np.sqrt((q * q).sum(axis=1)), np.sqrt((p * p).sum(axis=1))
         order = np.argsort(-p_norm, kind="stable")
-        p, p_norm, p_id = p[order], p_norm[order], p_id[order]
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        p, p_norm, p_id, p_row = p[order], p_norm[order], p_id[order], p_row[order]
+        found: list[tuple[np.ndarray, ...]] = []
         for i in range(len(q)):
             rows = _candidates(q[i], q_norm[i], bound[i], p, p_norm)
-            rows = rows[p_id[rows] != q_id[i]]
+            rows = rows[p_row[rows] != q_row[i]]
             score = p[rows] @ q[i]
             hit = score >= bound[i]
             rows, score = rows[hit], score[hit]
@@ -108,45 +109,50 @@ def _join_blocks(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 least = np.partition(score, len(score) - k)[len(score) - k]
                 rows, score = rows[score >= least], score[score >= least]
             _, s, v = _best(np.zeros(len(rows)), score, p_id[rows], k)
-            found.append((np.full(len(v), q_id[i]), v, s.astype(np.int64)))
-        a, b, c = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.table({"query_id": a, "vec_id": b, "score": c})
+            found.append((np.full(len(v), q_id[i]), np.full(len(v), q_row[i]), v, s.astype(np.int64)))
+        a, b, c, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"query_id": a, "q_row": b, "vec_id": c, "score": d})
 
     pair = ("bucket", "part", "q_block")
-    return queries.groupBy(*pair).cogroup(vectors.groupBy(*pair)).applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    return queries.groupBy(*pair).cogroup(vectors.groupBy(*pair)).applyInArrow(run, "query_id bigint, q_row bigint, vec_id bigint, score bigint")
 
 
 def _best_of(found: DataFrame, k: int) -> DataFrame:
     """The k best of all blocks, of each query; each partition keeps its own k best before the shuffle."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "q_row", "rank", "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, buckets: int = 8) -> DataFrame:
     """query_id, rank, vec_id, score: the k best vectors for each row of ``vectors`` for which ``queries`` holds.
 
     Score: inner product of the rounded vectors; ties go to the smaller id; a
-    query isn't compared with its own id.  Fewer than k others: all of them.
+    query is compared with every row but its own.  Fewer than k others: all of them.
 
     Vectors that are null, empty, or hold null or a non-finite component, take no
-    part, nor do null ids and vectors of another length than most (of equally
-    common lengths, the least).  Scores are exact; vectors whose squared length
-    after rounding reaches 2^53 are an error, raised before any comparing, as
-    their products would not be.  Repeated ids: each row is a candidate (and query).  An
-    empty table gives no rows.  Other columns are ignored.
+    part, nor do null ids.  Vectors of several lengths: each query meets those of
+    its own length, one length after another.  Scores are exact; vectors whose
+    squared length after rounding reaches 2^53 are an error, raised before any
+    comparing of their length, as their products would not be.  Repeated ids: each
+    row is a candidate, and a query with k results of its own.  An empty table
+    gives no rows.  Other columns are ignored.
     """
     checkpoint_dir(vectors.sparkSession)
     rounded = vectors.withColumn("_q", queries).select(F.col(id_col).cast("bigint").alias("id"), quantize(F.col(vector_col), scale).alias("v"), F.coalesce("_q", F.lit(False)).alias("is_query"), F.monotonically_increasing_id().alias("row"))
     rounded = rounded.filter("id is not null and v is not null and size(v) > 0").withColumn("length2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).checkpoint()
-    usual = rounded.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
-    if usual is not None:
-        rounded = rounded.filter(F.size("v") == usual["size"])
-    cuts = rounded.agg(F.max("length2").alias("most"), F.percentile_approx("length2", [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"), F.sum(F.col("is_query").cast("int")).alias("n")).first()
+    sizes = [r["size"] for r in rounded.filter("is_query").select(F.size("v").alias("size")).distinct().collect()]  # a table has one, or few
+    out = rounded.limit(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
+    for n in sorted(sizes):
+        out = out.union(_top_k_of_one_length(rounded.filter(F.size("v") == n), k, buckets))
+    return out
+
+
+def _top_k_of_one_length(rounded: DataFrame, k: int, buckets: int) -> DataFrame:
+    """``top_k`` of rounded vectors that have one length."""
+    cuts = rounded.agg(F.max("length2").alias("most"), F.percentile_approx("length2", [i / buckets for i in range(1, buckets)], 10_000).alias("cuts")).first()
     if (cuts["most"] or 0) >= 2**53:
         raise ValueError("vectors are too long for exact scores: choose a smaller scale")
-    n_queries, edges = cuts["n"] or 0, sorted(set(cuts["cuts"] or []))
-    if not n_queries:
-        return rounded.limit(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
+    edges = sorted(set(cuts["cuts"] or []))
     bucket = F.lit(0)
     for e in edges:
         bucket = bucket + (F.col("length2") > e).cast("int")
@@ -164,20 +170,20 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
         going = queries.withColumn("_r", F.explode(ranges)).filter((F.col("bound") <= 0) | (F.col("bound") <= reach)).select("q_id", "q_v", "bound", "row", "_r.bucket", "_r.lo", "_r.hi")
         q_blocks = {r["bucket"]: -(-r["n"] // BLOCK_QUERIES) for r in going.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
         left = going.select(
-            "q_id", "q_v", "bound", "bucket", F.pmod(F.xxhash64("row", F.lit(1)), _of_bucket(q_blocks)).alias("q_block"), F.explode(F.sequence(F.col("lo").cast("bigint"), F.col("hi").cast("bigint") - 1)).alias("part")
+            "q_id", "q_v", "bound", "row", "bucket", F.pmod(F.xxhash64("row", F.lit(1)), _of_bucket(q_blocks)).alias("q_block"), F.explode(F.sequence(F.col("lo").cast("bigint"), F.col("hi").cast("bigint") - 1)).alias("part")
         )
         here = placed.filter(F.col("bucket").isin(list(q_blocks)) & (F.col("part") >= _of_bucket({b: lo for b, (lo, _) in parts.items()})) & (F.col("part") < _of_bucket({b: hi for b, (_, hi) in parts.items()})))
-        right = here.select("id", "v", "bucket", "part", F.explode(F.sequence(F.lit(0).cast("bigint"), _of_bucket(q_blocks) - 1)).alias("q_block"))
+        right = here.select("id", "v", "row", "bucket", "part", F.explode(F.sequence(F.lit(0).cast("bigint"), _of_bucket(q_blocks) - 1)).alias("q_block"))
         return _join_blocks(left, right, k)
 
     least = F.lit(-(1 << 62)).cast("bigint")
     found = compare(asked.withColumn("bound", least), {b: (0, n) for b, n in first.items()}).checkpoint()
     rest = {b: (first[b], parts) for b, (parts, _) in sizes.items() if first[b] < parts}
     if rest:
-        known = _best_of(found, k).filter(F.col("rank") == k).select(F.col("query_id").alias("q_id"), F.col("score").alias("bound"))
-        bounded = asked.join(known, "q_id", "left").withColumn("bound", F.coalesce("bound", least)).checkpoint()
+        known = _best_of(found, k).filter(F.col("rank") == k).select(F.col("q_row").alias("row"), F.col("score").alias("bound"))
+        bounded = asked.join(known, "row", "left").withColumn("bound", F.coalesce("bound", least)).checkpoint()
         found = found.union(compare(bounded, rest))
-    return _best_of(found, k)
+    return _best_of(found, k).drop("q_row")
 
 
 def _of_bucket(values: dict[int, int]) -> Column:

@@ -53,6 +53,16 @@ def test_top_k_of_vectors_of_several_lengths(spark):
     assert found == [(1, 2, 9 << 20), (2, 1, 4 << 20), (3, 2, 3 << 20)]
 
 
+def test_top_k_of_repeated_queries_and_of_each_length(spark):
+    """Each row of an id has its own results, and meets the vectors of its own length."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [5.0, 0.0]), (2, [0.0, 7.0]), (3, [3.0, 0.0]), (4, [0.0, 4.0]), (0, [1.0]), (5, [2.0]), (6, [1.0, 1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = sorted((r["rank"], r.vec_id, r.score >> 20) for r in topk.top_k(table, F.col("vec_id") == 0, 2).collect())
+    assert found == [(1, 1, 5), (1, 2, 7), (1, 5, 2), (2, 3, 3), (2, 4, 4)]
+    same = spark.createDataFrame([(0, [1.0, 1.0])] * 3, "vec_id bigint, embedding array<double>")
+    assert [(r.vec_id, r.score >> 20) for r in topk.top_k(same, F.col("vec_id") == 0, 5).collect()] == [(0, 2)] * 6
+
+
 def test_top_k_refuses_what_would_not_be_exact(spark):
     table = spark.createDataFrame([(0, [3e6, 1.0]), (1, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
     with pytest.raises(ValueError, match="exact"):
