@@ -8,7 +8,10 @@ text of nodes with a content marginal above 1/2 is kept.
 
 Weights come from labelled pages: a bounded sample of pages that mark their
 article themselves.  Its text is content, all other text isn't, and an element
-is content if most of its text is.
+is content if most of its text is.  Where no page of the corpus has an article
+or main element, the innermost container that holds most of a page's plain text
+is taken for it.  Each labelled page is learned from three times: as it is, with
+lists of links added to its article, and with the article an unnamed division.
 """
 
 from __future__ import annotations
@@ -47,6 +50,9 @@ AWAY = frozenset(
     "cookie cookies consent notice popup modal newsletter subscribe subscription signup login share sharing social related recommended breadcrumb "
     "breadcrumbs comment comments reply replies disqus widget toolbar pagination pager copyright legal form search tags button dialog".split()
 )
+#: Elements that mark a page's article, and those that hold other blocks and no text of their own, mostly.
+MARKS = frozenset(("article", "main"))
+CONTAINERS = frozenset("html body div section center table tbody tr td form".split()) | MARKS
 HOME = frozenset("article main content entry post story body text paragraph".split())
 
 _TOKEN = re.compile(
@@ -159,7 +165,7 @@ INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var "
     "annotation math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
-N_FEATURES = len(TAG_GROUPS) + 10
+N_FEATURES = len(TAG_GROUPS) + 11
 
 
 def features(tags: list[str], parents: list[int], words: list[str], texts: list[tuple[int, str, bool]]) -> np.ndarray:
@@ -190,8 +196,9 @@ def features(tags: list[str], parents: list[int], words: list[str], texts: list[
         total[parents[k]] += total[k]
         linked[parents[k]] += linked[k]
         inner_links[parents[k]] += inner_links[k]
-    away = x[:, base].copy()
+    away, home = x[:, base].copy(), np.zeros(n)
     for k in range(1, n):
+        home[k] = (home[parents[k]] or tags[k] in MARKS) and not away[k]
         away[k] = max(away[k], away[parents[k]])
     x[:, base + 2] = away
     x[:, base + 3] = np.log1p(own) / 5
@@ -201,6 +208,7 @@ def features(tags: list[str], parents: list[int], words: list[str], texts: list[
     x[:, base + 7] = np.log1p(inner_links)
     x[:, base + 8] = total == 0
     x[:, base + 9] = 1
+    x[:, base + 10] = home
     for k in range(1, n):
         if tags[k] in INLINE:
             x[k, : base] = x[parents[k], : base]
@@ -268,13 +276,37 @@ class TreeModel:
         return " ".join(x for x in (" ".join(_html.unescape(b).split()) for b in out) if x)
 
 
-def label(tags: list[str], parents: list[int], words: list[str], texts: list[tuple[int, str, bool]]) -> np.ndarray | None:
-    """States of the elements of a page that marks its article; None for other pages."""
+def _is_away(tag: str, words: str) -> bool:
+    return tag in AWAY or bool(words and set(_WORD.findall(words.lower())) & AWAY)
+
+
+def _container(tags: list[str], parents: list[int], words: list[str], texts: list[tuple[int, str, bool]]) -> int:
+    """The innermost container with most of the text that is no link and isn't within menus, footers and the like."""
     n = len(tags)
+    away = np.zeros(n, dtype=bool)
+    for k in range(1, n):
+        away[k] = away[parents[k]] or tags[k] == "a" or _is_away(tags[k], words[k])
+    plain = np.zeros(n)
+    for node, text, _ in texts:
+        if not away[node]:
+            plain[node] += len(text.strip())
+    for k in range(n - 1, 0, -1):
+        plain[parents[k]] += plain[k]
+    chosen = 0
+    for k in range(1, n):  # parents stand before their children
+        if parents[k] == chosen and tags[k] in CONTAINERS and plain[k] > 0.6 * plain[0]:
+            chosen = k
+    return chosen
+
+
+def label(tags: list[str], parents: list[int], words: list[str], texts: list[tuple[int, str, bool]], guess: bool = False) -> np.ndarray | None:
+    """States of the elements of a page that marks its article, None for other pages; ``guess``: of any page, by its main container."""
+    n = len(tags)
+    root = _container(tags, parents, words, texts) if guess and not MARKS & set(tags) else -1
     inside = np.zeros(n, dtype=bool)
+    inside[0] = root == 0
     for k in range(1, n):
-        away = tags[k] in AWAY or bool(words[k] and set(_WORD.findall(words[k].lower())) & AWAY)
-        inside[k] = (inside[parents[k]] or tags[k] in ("article", "main")) and not away
+        inside[k] = (inside[parents[k]] or tags[k] in MARKS or k == root) and not _is_away(tags[k], words[k])
     if not inside.any():
         return None
     good, total = np.zeros(n), np.zeros(n)
@@ -288,23 +320,62 @@ def label(tags: list[str], parents: list[int], words: list[str], texts: list[tup
     return np.where(total > 0, 2 * good > total, inside)
 
 
+Tree = tuple[list[str], list[int], list[str], list[tuple[int, str, bool]]]
+
+
+def _with_links(tree: Tree, states: np.ndarray, root: int, turn: int) -> tuple[Tree, np.ndarray]:
+    """The page with a list of links and a linked paragraph in its article, which are content."""
+    tags, parents, words, texts = (list(x) for x in tree)
+
+    def add(tag: str, parent: int, text: str = "") -> int:
+        tags.append(tag)
+        parents.append(parent)
+        words.append("")
+        if text:
+            texts.append((len(tags) - 1, text, False))
+        return len(tags) - 1
+
+    items = add(("ul", "ol")[turn % 2], root)
+    for k in range(2 + turn % 5):
+        add("a", add("li", items), "x" * (6 + (7 * k + turn) % 40))
+    add("a", add("p", root), "x" * (20 + turn % 60))
+    return (tags, parents, words, texts), np.concatenate([states, np.ones(len(tags) - len(states), dtype=bool)])
+
+
+def _lessons(page: str, turn: int, guess: bool) -> Iterator[tuple[Tree, np.ndarray]]:
+    """A labelled page as it is, with links in its article, and with an unnamed article."""
+    tree = parse(page)
+    states = label(*tree, guess)
+    if states is None:
+        return
+    yield tree, states
+    marked = [k for k, t in enumerate(tree[0]) if t in MARKS and states[k]]
+    if marked:
+        yield _with_links(tree, states, marked[0], turn)
+        tags, parents, words, texts = tree
+        yield (["div" if t in MARKS else t for t in tags], parents, ["" if t in MARKS else w for t, w in zip(tags, words, strict=True)], texts), states
+
+
 def fit(pages: list[str], l2: float = 1e-3, steps: int = 300) -> TreeModel:
-    """Unary weights of greatest penalised likelihood; parent-child potentials from counts of state pairs, against independence."""
+    """Unary weights of greatest penalised likelihood; parent-child potentials from counts of state pairs, against independence.
+
+    Pages that mark no article are learned from only if none does; no page with
+    text at all gives a model that keeps every text.
+    """
     xs, ys = [], []
     pairs = np.ones((2, 2))
-    for page in pages:
-        tree = parse(page)
-        states = label(*tree)
-        if states is None:
-            continue
-        xs.append(features(*tree))
-        ys.append(states)
-        child = np.arange(1, len(states))
-        np.add.at(pairs, (states[np.array(tree[1])[child]].astype(int), states[child].astype(int)), 1)
+    for guess in (False, True):
+        for turn, page in enumerate(pages):
+            for tree, states in _lessons(page, turn, guess):
+                xs.append(features(*tree))
+                ys.append(states)
+                child = np.arange(1, len(states))
+                np.add.at(pairs, (states[np.array(tree[1])[child]].astype(int), states[child].astype(int)), 1)
+        if xs:
+            break
     weights = np.zeros(N_FEATURES)
-    base = len(TAG_GROUPS)
-    if not xs:  # no labelled page: the words and lengths alone
-        weights[[base, base + 2, base + 3, base + 5]] = [-2, -4, 2, -4]
+    if not xs:
+        weights[len(TAG_GROUPS) + 9] = 1
         return TreeModel(weights, np.zeros((2, 2)))
     x, y = np.concatenate(xs), np.concatenate(ys).astype(float)
     m, v = np.zeros_like(weights), np.zeros_like(weights)
@@ -319,12 +390,14 @@ def fit(pages: list[str], l2: float = 1e-3, steps: int = 300) -> TreeModel:
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = 400, most_chars: int = 50_000) -> TreeModel:
     """Fit on the ``sample_pages`` pages of least hashed id among those with an article or main element and at most ``most_chars`` characters.
 
-    Null ids take no part; of rows that share an id the least page counts.
+    If no page has such an element, among all of that length.  Null ids take no
+    part; of rows that share an id the least page counts.
     """
-    marked = pages.filter(F.col(html_col).rlike("(?i)<(article|main)[ >]") & (F.length(html_col) <= most_chars) & F.col(id_col).isNotNull())
-    pairs = marked.select(F.col(id_col).alias("_id"), F.col(html_col).alias("html"))
-    chosen = least_hashed(pairs, "_id", sample_pages)
-    sample = one_row_each(pairs, chosen, "_id").collect()  # sample_pages pages at most
+    short = pages.filter((F.length(html_col) <= most_chars) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(html_col).alias("html"))
+    sample: list = []
+    for pairs in (short.filter(F.col("html").rlike("(?i)<(article|main)[ >]")), short):
+        if not sample:
+            sample = one_row_each(pairs, least_hashed(pairs, "_id", sample_pages), "_id").collect()  # sample_pages pages at most
     return fit([r.html for r in sorted(sample, key=lambda r: r["_id"])])
 
 
