@@ -126,7 +126,7 @@ def fit(labelled: DataFrame, pooled: float = 0.15, ridge: float = 0.02, temperat
     """
     d = len(FEATURES)
     pairs = [(i, j) for i in range(d) for j in range(i + 1)]
-    labelled = labelled.filter("label in (0, 1)")
+    labelled = labelled.filter("label in (0, 1)").withColumn("label", F.col("label").cast("int"))
     centre = [v or 0.0 for v in labelled.agg(*[F.avg(F.col("x")[i]) for i in range(d)]).first()]
     off = [F.col("x")[i] - F.lit(centre[i]) for i in range(d)]
     sums = [F.sum(off[i]).alias(f"s{i}") for i in range(d)] + [F.sum(off[i] * off[j]).alias(f"p{i}_{j}") for i, j in pairs]
@@ -175,7 +175,7 @@ def classify(
     checkpoint_dir(docs.sparkSession)
     x = vectors(docs, id_col, text_col).checkpoint()
     fold = lambda c: F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(folds))
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).filter(fold("_id") != 0)
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label")).filter(fold("_id") != 0)
     model = fit(x.join(known, x["doc_id"] == known["_id"]).select("label", "x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
