@@ -9,12 +9,15 @@ ratio.  Trusted documents are counted in two halves by id, and a document is
 scored by the half it isn't in.  The threshold comes from the trusted
 documents' own scores, so it follows the corpus and its size, not one data set.
 
-Nothing but (text, bucket) counts meets in a shuffle; texts stay where they are
-read.
+Nothing but counts of buckets meets in a shuffle; texts stay where they are
+read.  The ratios, one for each bucket, are a constant array of the plan, in
+which a document's buckets are looked up.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,11 @@ def _buckets(words: Column, buckets: int) -> Column:
     return F.array_compact(F.concat(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")), pairs))
 
 
+def _mean_of(places: Column, table: Column) -> Column:
+    """The mean of an array's values at these places."""
+    return F.aggregate(places, F.lit(0.0), lambda total, k: total + F.get(table, k)) / F.size(places)
+
+
 def _base(docs: DataFrame) -> DataFrame:
     """Adds the counts to (doc_id, text, _words, ...).
 
@@ -76,6 +84,25 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def _threshold(scored: DataFrame, deviations: float, lost: float) -> float:
+    """A threshold for (score, _trusted) rows.
+
+    Between the low bound (mean less deviations) and the high one (the quantile)
+    there may be trusted documents in the width of their distribution, or others.
+    The high bound holds if the corpus has at least twice as many documents there
+    as the trusted ones would make expect.
+    """
+    known = scored.filter("_trusted").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("dev"), F.percentile_approx("score", lost, 10_000).alias("high"), F.count("*").alias("n")).first()
+    if not known["n"]:
+        return float("-inf")
+    low, high = round(known["mean"] - deviations * known["dev"], 9), known["high"]
+    if low >= high:
+        return high
+    between = (F.col("score") >= low) & (F.col("score") < high)
+    there = scored.agg(F.count_if(between).alias("all"), F.count_if(between & F.col("_trusted")).alias("trusted"), F.count("*").alias("n")).first()
+    return high if there["all"] * known["n"] >= 2 * there["trusted"] * there["n"] else low
+
+
 def judge(
     docs: DataFrame,
     trusted: DataFrame,
@@ -84,6 +111,7 @@ def judge(
     buckets: int = 1 << 16,
     prior: float = 1.0,
     deviations: float = 3.0,
+    lost: float = 0.01,
     row_col: str | None = None,
 ) -> DataFrame:
     """Counts, score and verdict of every row of ``docs``.
@@ -91,9 +119,11 @@ def judge(
     ``trusted`` has the ids (``id_col``) of trusted documents.  Returns doc_id,
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, score and threshold.  A row is kept if it
-    passes the base rules and its score isn't under the threshold: the mean less
-    ``deviations`` standard deviations of the scores of trusted documents that
-    pass the base rules.
+    passes the base rules and its score isn't under the threshold.  That is never
+    over the score that a share ``lost`` of the trusted documents (of those that
+    pass the base rules) doesn't reach, and it is that score where the corpus has
+    another population under it; else it is the mean of their scores less
+    ``deviations`` standard deviations.
 
     Null and empty texts have no words and fail the base rules.  Null ids are
     kept as null and never trusted.  Repeated rows are judged and counted as
@@ -135,22 +165,22 @@ def judge(
         share = F.col(count) / F.lit(float(n)) / (F.col("raw") / F.lit(float(raw or 1))) if n else F.lit(1.0)
         return F.log((share + prior) / (1 + prior))
 
-    table = counted.select("bucket", ratio("t0", halves[0]).alias("l0"), ratio("t1", halves[1]).alias("l1"))
+    halves_of = [[0.0] * buckets, [0.0] * buckets]
+    for r in counted.select("bucket", ratio("t0", halves[0]).alias("l0"), ratio("t1", halves[1]).alias("l1")).collect():  # at most ``buckets`` rows
+        halves_of[0][r["bucket"]], halves_of[1][r["bucket"]] = r["l0"], r["l1"]
+    # constants, which Spark reads once; not a literal for each number
+    tables = [F.from_json(F.lit(json.dumps(x)), "array<double>") for x in halves_of]
+    mean = [_mean_of(F.col("_buckets"), t) for t in tables]
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    keys = ["_row", "doc_id", "_trusted", "_fold", *stats]
     scored = (
         _base(base)
-        .select(F.col("_row") if row_col else F.monotonically_increasing_id().alias("_row"), *keys[1:], _buckets(F.col("_words"), buckets).alias("_buckets"))
-        .select(*keys, F.explode_outer("_buckets").alias("bucket"))
-        .join(F.broadcast(table), "bucket", "left")  # ``buckets`` rows at most
-        .groupBy(*keys)
-        .agg(F.avg(F.when(F.col("_fold") == 0, F.col("l0")).otherwise(F.col("l1"))).alias("score"))
-        .withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
+        .withColumn("_buckets", _buckets(F.col("_words"), buckets))
+        .select(*(["_row"] if row_col else []), "doc_id", "_trusted", *stats, F.when(F.size("_buckets") == 0, 0.0).when(F.col("_fold") == 0, mean[0]).otherwise(mean[1]).alias("score"))
+        .withColumn("score", F.round("score", 9))
         .withColumn("base_failed", base_failed())
         .checkpoint()
     )
-    known = scored.filter("_trusted and not base_failed").agg(F.avg("score"), F.stddev_pop("score"), F.count("*")).first()
-    threshold = round(known[0] - deviations * known[1], 9) if known[2] else float("-inf")
+    threshold = _threshold(scored.filter("not base_failed"), deviations, lost)
     row = [F.col("_row").alias(row_col)] if row_col else []
     return scored.select(
         *row, "doc_id", *stats, "base_failed", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score", F.lit(threshold).alias("threshold")
