@@ -17,6 +17,7 @@ urls meet no join.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -110,10 +111,9 @@ def build_cascade(universe: DataFrame, listed: Iterable[str]) -> Cascade:
     names = sorted(set(listed))
     if not names:
         return Cascade()
-    inside = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in names])).alias("key"))
-    # a list of this size is a filter constant; the universe is never joined with it
-    rest = universe.select("key").filter("key is not null").distinct()
-    outside = _minus(rest, inside).checkpoint()
+    # one constant, which Spark reads; not a literal for each name
+    inside = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(names)), "array<string>")).alias("key"))
+    outside = _minus(universe.select("key").filter("key is not null"), inside).checkpoint()
     cascade, yes, no = Cascade(), inside, outside
     n_yes, n_no = len(names), outside.count()
     while True:
@@ -172,8 +172,10 @@ def judge_urls(
     lengths = sorted({len(r) - len(r.split("/")[0]) for r in rules})
     out = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     keyed = out.withColumns({"_keys": candidate_keys(F.col("host"), F.col("path"), depth, lengths or [0]), "_hosts": candidate_keys(F.col("host"), F.lit(""), depth, [0])})
-    universe = lambda c: keyed.select(F.explode(c).alias("key"))
-    blocks, allows, hosts = build_cascade(universe("_keys"), block), build_cascade(universe("_keys"), allow), build_cascade(universe("_hosts"), blocked_hosts)
+    # all keys of all urls once: a cascade that is exact over more keys than it is asked for is exact
+    checkpoint_dir(pages.sparkSession)
+    universe = keyed.select(F.explode(F.concat("_keys", "_hosts")).alias("key")).distinct().checkpoint()
+    blocks, allows, hosts = build_cascade(universe, block), build_cascade(universe, allow), build_cascade(universe, blocked_hosts)
     hashed = F.transform("_keys", lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), F.xxhash64(k).alias("h")))
     fits = F.filter(hashed, lambda x: blocks.contains(x["h"]) | allows.contains(x["h"]))
     named = keyed.withColumn("_longest", F.array_max(fits))

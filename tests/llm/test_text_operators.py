@@ -337,6 +337,14 @@ def test_cascade_is_exact(spark):
         assert {r.key for r in universe.filter(cascade.contains(F.xxhash64("key"))).collect()} == set(listed)
 
 
+def test_two_hundred_thousand_blocked_hosts(spark):
+    """A list as long as a public blocklist, one in a thousand of it in the urls; long urls too."""
+    hosts = [f"ad{k}.example{k % 97}.net" for k in range(200_000)]
+    rows = [(k, f"https://www.{h if k % 2 else 'fine' + h}/a" + "/long" * (2000 if k < 4 else 1)) for k, h in enumerate(hosts[::1000])]
+    found = url_filter.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string"), (), (), hosts).collect()
+    assert {r.page_id: r.verdict for r in found} == {k: "block" if k % 2 else "allow" for k, _ in rows}
+
+
 def test_urls_on_odd_rows(spark):
     rows = [(1, None), (2, "nothing"), (3, "http://WWW.Example.com/en/x?y"), (4, "https://a.b.net/es/"), (5, "x://com"), (6, "http://com/"), (7, "a://b://c/d"), (7, "a://b://c/d"), (None, "http://x.ads-track.example.org/")]
     table = spark.createDataFrame(rows, "page_id bigint, url string").withColumn("host", F.lit("clash"))
