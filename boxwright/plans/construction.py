@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from boxwright.operators.prepare import choose_masks, class_contract, kept_and_c
 from boxwright.plans.annotation import CONDITION, NAMES, SEGMENT
 from boxwright.plans.registry import query
 from boxwright.plans.views import frame, sql
-from boxwright.session import checkpoint_dir
+from boxwright.session import run_folder
 from boxwright.sources import readers, sinks
 
 KEY = "md5('42|' || image_id)"
@@ -174,7 +172,7 @@ def s12(spark: SparkSession, d: str) -> DataFrame:
 @query("w23_image_lists", sql("SELECT weather_raw, image_path FROM images", "images"))
 def w23(spark: SparkSession, d: str) -> DataFrame:
     """Lists as text files below a folder for each weather; each list may be several tasks' work."""
-    folder = f"{checkpoint_dir(spark)}/lists-{uuid.uuid4().hex}"
+    folder = run_folder(spark, "lists")
     sinks.write_image_lists(frame(spark, d, "images"), "weather_raw", folder)
     return spark.read.schema("image_path STRING, weather_raw STRING").text(folder).select("weather_raw", "image_path")
 
@@ -315,7 +313,7 @@ SELECT reason, count(*) AS n FROM every WHERE reason IS NOT NULL GROUP BY 1""",
 )
 def a4_all(spark: SparkSession, d: str) -> DataFrame:
     """Every reason for which something is left out, counted by the passes that write what is kept."""
-    folder = f"{checkpoint_dir(spark)}/kept-{uuid.uuid4().hex}"
+    folder = run_folder(spark, "kept")
     keys = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("key"))
     masks = choose_masks(keys, keys.filter("key % 3 = 0"), keys.filter("key % 2 = 0"), keys.filter("key % 5 = 0"))
     found = frame(spark, d, "mask_runs").filter(segment_class(F.col("segment_id")).isNotNull()).groupBy(F.col("image_id").alias("key")).agg(F.count("*").alias("n"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +10,12 @@ from boxwright.plans.annotation import NAME
 from boxwright.plans.evaluation import BASE, ERRORS
 from boxwright.plans.registry import query
 from boxwright.plans.views import frame, sql
-from boxwright.session import checkpoint_dir
+from boxwright.session import run_folder
 from boxwright.sources import label_files, readers, sinks
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark)}/io-{uuid.uuid4().hex}"
+    return run_folder(spark, "io")
 
 
 @query("k1_label_text", sql("SELECT i.image_id, g.class_id::INT AS class_id, (x1 + x2)::BIGINT AS x_sum, (y1 + y2)::BIGINT AS y_sum, (x2 - x1)::BIGINT AS w, (y2 - y1)::BIGINT AS h FROM images i LEFT JOIN gt_boxes g USING (image_id)", "images", "gt_boxes"))
@@ -38,6 +36,15 @@ def s3(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_labels(spark, folder).groupBy("class_id").agg(F.count("*").alias("n"))
 
 
+@query("s5_read_mask_runs", sql("SELECT CAST(image_id AS VARCHAR) AS image_id, count(*) AS n_runs, sum(x_end - x_start)::BIGINT AS n_pixels, count(DISTINCT segment_id) AS n_segments FROM mask_runs GROUP BY 1", "mask_runs"))
+def s5_runs(spark: SparkSession, d: str) -> DataFrame:
+    folder = _folder(spark)
+    runs = frame(spark, d, "mask_runs")
+    runs.select(F.col("image_id").cast("string").alias("image_id"), *[F.col(c).cast("int").alias(c) for c in ("y", "x_start", "x_end")], F.col("segment_id").cast("bigint").alias("segment_id")).write.parquet(folder)
+    found = readers.read_mask_runs(spark, folder).groupBy("image_id")
+    return found.agg(F.count("*").alias("n_runs"), F.sum(F.col("x_end") - F.col("x_start")).alias("n_pixels"), F.count_distinct("segment_id").alias("n_segments"))
+
+
 @query("s2_read_voc", sql(f"SELECT {NAME} AS name, count(*) AS n, sum(x1)::DOUBLE AS sum_x1 FROM raw_boxes WHERE {NAME} <> '' GROUP BY 1", "raw_boxes"))
 def s2(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark)

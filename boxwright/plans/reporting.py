@@ -48,6 +48,13 @@ def w16(spark: SparkSession, d: str) -> DataFrame:
     return R.choose(_runs(spark, d), ("-map50_95", "-recall", "-map50", "seed")).select("run", "choice")
 
 
+@query("w16_documented_order", sql("SELECT run, CAST(rank() OVER (ORDER BY map50_95 DESC, recall_v DESC, 100.0 - config_id DESC, config_id * 1000 + seed) AS INT) AS choice FROM run_metrics", "run_metrics"))
+def w16_documented(spark: SparkSession, d: str) -> DataFrame:
+    """By accuracy, then recall, then frames a second, then the number of parameters."""
+    runs = _runs(spark, d).withColumns({"fps": F.lit(100.0) - F.col("config_id"), "parameters": F.col("config_id") * 1000 + F.col("seed")})
+    return R.choose(runs).select("run", "choice")
+
+
 STOP = """WITH h AS (SELECT *, row_number() OVER w AS n, max(map50_95) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM history WINDOW w AS (PARTITION BY run_id ORDER BY epoch)),
 b AS (SELECT *, before IS NULL OR map50_95 > before AS is_best FROM h),
 g AS (SELECT *, n - max(CASE WHEN is_best THEN n END) OVER w AS since_best, max(map50_95) OVER w AS best FROM b WINDOW w AS (PARTITION BY run_id ORDER BY epoch ROWS UNBOUNDED PRECEDING)),

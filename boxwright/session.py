@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_folders: list[str] = []
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -42,3 +44,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="boxwright-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
+
+
+def run_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one for what a run writes and reads again; ``drop_run_folders`` deletes it."""
+    folder = f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _folders.append(folder)
+    return folder
+
+
+def drop_run_folders(spark: SparkSession) -> int:
+    """Delete the folders that this process' runs made, and say how many were there. Results that read them must be done with."""
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boxwright.session import ship_package
+from boxwright.session import checkpoint_dir, ship_package
 
 #: So many splits at most are broadcast (some 30 bytes each).
 BROADCAST_SPLITS = 500_000
@@ -113,14 +113,15 @@ def read_json_arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
     its file doesn't close gives no row; one that doesn't fit the schema gives nulls.
     """
     ship_package(spark)
+    checkpoint_dir(spark)
     source = spark.read.option("lineSep", "}").text(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), "value")
-    splits = source.select("file", "block", "value").mapInArrow(_summaries, "file bigint, block bigint, odd bigint, outside bigint, inside bigint, first string")
+    splits = source.select("file", "block", "value").mapInArrow(_summaries, "file bigint, block bigint, odd bigint, outside bigint, inside bigint, first string").checkpoint()
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     odd = splits.withColumn("at_odd", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
     change = F.when(F.col("at_odd") == 0, F.col("outside")).otherwise(F.col("inside"))
     top = F.when(F.first("first").over(Window.partitionBy("file").orderBy("block")) == "[", 1).otherwise(0)
     starts = odd.select("file", "block", F.col("at_odd").alias("odd"), F.coalesce(F.sum(change).over(before), F.lit(0)).alias("depth"), top.cast("bigint").alias("top"))
-    if splits.select("block").limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS:
+    if splits.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS:
         placed = source.join(F.broadcast(starts), ["file", "block"])
     else:
         placed = source.join(starts, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "seq")

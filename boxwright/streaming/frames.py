@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from boxwright.plans.views import VIEWS
-from boxwright.session import checkpoint_dir
+from boxwright.session import run_folder
 
 
 def read_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
@@ -74,7 +73,7 @@ def replay(arrivals: DataFrame, batch: str, n: int, work: Callable[[DataFrame],
     after each batch.
     """
     spark = arrivals.sparkSession
-    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = run_folder(spark, "stream")
     given = arrivals.drop(batch)
     n_read, n_state = 0, []
     for k in range(n):
@@ -124,7 +123,7 @@ def _start(stream: DataFrame, mode: str, folder: str, finish: Callable[[DataFram
 def run_once(stream: DataFrame, mode: str, finish: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
     """Run a stream over what is there now and return what it wrote, each batch through ``finish``; the result lies in the shared folder."""
     spark = stream.sparkSession
-    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = run_folder(spark, "stream")
     _start(stream, mode, folder, finish).awaitTermination()
     schema = finish(spark.createDataFrame([], stream.schema)).schema
     return spark.read.schema(schema).parquet(f"{folder}/out/*")

@@ -88,3 +88,13 @@ def test_counts_come_from_the_pass_that_drops(spark, tmp_path):
     kept, counts = prepare.kept_and_counted(rows, ("a", "b", "c"))
     kept.write.parquet(f"{tmp_path}/kept")
     assert counts.get == {"a": 10, "b": 13, "c": 0} and spark.read.parquet(f"{tmp_path}/kept").count() == 77
+
+
+def test_run_folders_are_dropped(spark):
+    from boxwright.session import drop_run_folders, run_folder
+
+    drop_run_folders(spark)
+    path = run_folder(spark, "test")
+    spark.range(3).write.parquet(path)
+    assert readers.path_exists(spark, path)
+    assert drop_run_folders(spark) == 1 and not readers.path_exists(spark, path)
