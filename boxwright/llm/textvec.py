@@ -138,17 +138,21 @@ def windows(hashes: np.ndarray, before: np.ndarray, size: int) -> tuple[np.ndarr
 
 
 def segment_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of segments, cut before each space that a plain character follows, and the segments before each text.
+    """Starts of segments, cut before each run of spaces that a plain character follows or one of ASCII goes before, and the segments before each text.
 
     Byte-level and piece tokenizers never join what such a space divides, so
-    segments can be encoded one by one.  Plain characters are those of ASCII
-    and of two-byte UTF-8 from U+00C0; none of them is white space.
+    segments can be encoded one by one.  Pieces do join spaces with each other
+    (and with U+2581, which stands for one), so a run is never cut within.  Plain
+    characters are those of ASCII and of two-byte UTF-8 from U+00C0; none of them
+    is white space.
     """
     first = np.zeros(len(data), dtype=bool)
     if len(data) > 1:
-        after = data[1:]
-        plain = ((after > 0x20) & (after < 0x7F)) | ((after >= 0xC3) & (after <= 0xDF))
-        first[:-1] = (data[:-1] == 0x20) & plain
+        ascii_ = (data > 0x20) & (data < 0x7F)
+        plain = ascii_ | ((data >= 0xC3) & (data <= 0xDF))
+        first[:-1] = (data[:-1] == 0x20) & plain[1:]
+        first[1:] |= (data[1:] == 0x20) & ascii_[:-1]
+        first[1:] &= (data[:-1] != 0x20) & (data[:-1] != 0x81)
         ends = offsets[1:][offsets[1:] > offsets[:-1]] - 1
         first[ends] = False
     first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True

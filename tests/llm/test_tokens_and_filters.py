@@ -7,12 +7,13 @@ from itertools import permutations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from boxwright.llm import alignment, filter_audit, token_counts
+from boxwright.llm import alignment, filter_audit, textvec, token_counts
 from tests.llm.test_text_operators import docs_of
 
 
@@ -75,6 +76,18 @@ def test_alignment_equals_brute_force(spark, sf_dir, pieces):
     assert alignment.align_and_score(docs_of(spark, ["x"]).filter("doc_id < 0")).count() == 0
 
 
+def test_runs_of_spaces_are_encoded_whole(pieces):
+    """Pieces join spaces with each other, so a cut within a run of them gives other ids."""
+    draw = random.Random(5)
+    texts = ["x  1", "   3.14", " 1,000", "a  ф", "é   é", "x\n  y", "z ", "▁ a", *("".join(draw.choice(["a", "1", "é", "日", "."] + [" ", "\n"] * 3) for _ in range(20)) for _ in range(300))]
+    level = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    aligner = alignment.aligner_of(None, None)
+    data, bounds = alignment._with_space(*textvec.buffer_of(pa.array(texts)))
+    for vocabulary, encode in ((aligner.a, lambda t: level.encode(" " + t, add_special_tokens=False).ids), (aligner.b, pieces.encode)):
+        ids, before = vocabulary.cache.ids_of(data, bounds)
+        assert [ids[x:y].tolist() for x, y in zip(before[:-1], before[1:], strict=True)] == [encode(t) for t in texts]
+
+
 def test_long_texts_are_aligned_in_parts(spark, sf_dir, pieces):
     texts = [t for t in odd_texts(sf_dir, spark) if t]
     columns = ["doc_id", "n_a", "n_b", "n_links", "groups_sha256", "links"]
