@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from boxwright.functions.geometry import Box, iou, size_bucket
 from boxwright.functions.names import composite_name
+from boxwright.operators.matching import once
 from boxwright.operators.merge import uniform
 from boxwright.operators.sampling import ranked
+from boxwright.session import checkpoint_dir
 
 # fixed values
 PASTE_WEIGHTS = {"bicycle": 3, "motorcycle": 3, "bus": 3, "person": 1}
@@ -38,10 +40,13 @@ def draw_pastes(backgrounds: DataFrame, bank: DataFrame, n: int, seed: int = 42)
     class, scales in [0.8, 1.2] with sides of at least 12 px.
     """
     spark = backgrounds.sparkSession
+    checkpoint_dir(spark)
     pool = ranked(backgrounds.select("image_id", "width", "height"), "image_id", None, seed)
-    crops = ranked(bank.filter("reason is null").select(F.concat_ws("|", "image_id", "gt_idx").alias("crop_id"), "class_name", "crop_w", "crop_h"), "crop_id", "class_name", seed)
-    sizes = {r["class_name"]: r["n"] for r in crops.groupBy("class_name").agg(F.max("total").alias("n")).collect()}  # a row for each class
-    total = pool.agg(F.max("total")).first()[0] or 0
+    # ranking reads its rows several times, and the bank is a join
+    good = bank.filter("reason is null").select(F.concat_ws("|", "image_id", "gt_idx").alias("crop_id"), "class_name", "crop_w", "crop_h").checkpoint()
+    crops = ranked(good, "crop_id", "class_name", seed)
+    sizes = {r["class_name"]: r["n"] for r in good.groupBy("class_name").agg(F.count("*").alias("n")).collect()}  # a row for each class
+    total = backgrounds.count()
     weights = [(c, w) for c, w in PASTE_WEIGHTS.items() if sizes.get(c)]
     whole, at = sum(w for _, w in weights) or 1, 0.0
     u = uniform(seed, F.col("no"), F.col("paste"), F.lit("class"))
@@ -86,12 +91,16 @@ def place(pastes: DataFrame, boxes: DataFrame, tries: int = 10, margin: int = 2,
 
     def step(acc: Column, p: Column) -> Column:
         boxed = F.transform(p["spots"], lambda s: F.struct(s["x"].alias("x1"), s["y"].alias("y1"), (s["x"] + p["w"]).alias("x2"), (s["y"] + p["h"]).alias("y2")))
-        free = F.get(F.filter(boxed, lambda b: ~F.exists(acc["taken"], lambda o: iou(as_box(o), as_box(b)) >= most)), F.lit(0))
-        row = F.struct(
-            p["paste"].alias("paste"), p["class_name"].alias("class_name"), p["crop_id"].alias("crop_id"), free.alias("box"),
-            F.when(free.isNotNull(), F.lit(None)).when(F.size(p["spots"]) == 0, "crop_invalid").otherwise("overlap").cast("string").alias("reason"),
-        )
-        return F.struct(F.when(free.isNull(), acc["taken"]).otherwise(F.concat(acc["taken"], F.array(free))).alias("taken"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+        first = F.get(F.filter(boxed, lambda b: ~F.exists(acc["taken"], lambda o: iou(as_box(o), as_box(b)) >= most)), F.lit(0))
+
+        def put(free: Column) -> Column:
+            row = F.struct(
+                p["paste"].alias("paste"), p["class_name"].alias("class_name"), p["crop_id"].alias("crop_id"), free.alias("box"),
+                F.when(free.isNotNull(), F.lit(None)).when(F.size(p["spots"]) == 0, "crop_invalid").otherwise("overlap").cast("string").alias("reason"),
+            )
+            return F.struct(F.when(free.isNull(), acc["taken"]).otherwise(F.concat(acc["taken"], F.array(free))).alias("taken"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+
+        return once(first, put)
 
     rows = "array<struct<paste:int,class_name:string,crop_id:string,box:struct<x1:double,y1:double,x2:double,y2:double>,reason:string>>"
     start = F.struct(F.col("there").alias("taken"), F.array().cast(rows).alias("rows"))
@@ -103,8 +112,10 @@ def composites(placed: DataFrame, boxes: DataFrame, n: int) -> DataFrame:
     """C4: labels of the first ``n`` composites that have a paste: the background's boxes and the pasted ones.
 
     Draw 3n composites beforehand: those without a paste are the ones redrawn.
+    What is placed is read twice, so it is checkpointed.
     """
-    good = placed.filter("reason is null")
+    checkpoint_dir(placed.sparkSession)
+    good = placed.filter("reason is null").checkpoint()
     first = good.select("no", "image_id").distinct().orderBy("no").limit(n)
     named = first.withColumn("new_image", composite_name(F.col("image_id").cast("string"), F.col("no")))
     base = named.join(boxes.select("image_id", "class_name", *Box._fields), "image_id").select("no", "new_image", "class_name", *Box._fields, F.lit(False).alias("pasted"))

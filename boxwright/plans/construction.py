@@ -318,7 +318,7 @@ def a4_all(spark: SparkSession, d: str) -> DataFrame:
     masks = choose_masks(keys, keys.filter("key % 3 = 0"), keys.filter("key % 2 = 0"), keys.filter("key % 5 = 0"))
     found = frame(spark, d, "mask_runs").filter(segment_class(F.col("segment_id")).isNotNull()).groupBy(F.col("image_id").alias("key")).agg(F.count("*").alias("n"))
     masks = masks.join(found, "key", "left").withColumn("reason", F.when(F.col("mask_source") == "no_mask", "no_mask").when(F.col("n").isNull(), "no_boxes"))
-    placed = C.place(_pastes(spark, d), frame(spark, d, "gt_boxes"))
+    placed = c3(spark, d).checkpoint()  # written twice: as pastes and by composite
     made = placed.groupBy("no").agg(F.count_if(F.col("reason").isNull()).alias("n")).withColumn("reason", F.when(F.col("n") == 0, "no_paste"))
     crops = ("crop_too_small", "crop_too_large", "person_not_small", "crop_invalid")
     steps = {"masks": (masks, ("no_mask", "no_boxes")), "bank": (_bank(spark, d), crops), "pastes": (placed, ("crop_invalid", "overlap")), "composites": (made, ("no_paste",))}

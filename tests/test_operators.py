@@ -223,3 +223,23 @@ def test_one_image_of_twenty_thousand_boxes(spark):
     assert matched.n >= 0.99 * n and matched.own > 0.5 * n
     left = matching.suppress(predictions, 0.3).count()
     assert n // 4 < left < n
+
+
+def test_pastes_read_their_inputs_once(spark):
+    """Ranking, sizes and both parts of the composites start from a checkpoint, not from the tables."""
+    from boxwright.operators import copypaste
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    images = spark.range(40).selectExpr("id AS image_id", "1280 AS width", "720 AS height")
+    rows = spark.range(200).selectExpr("id % 40 AS image_id", "id AS gt_idx", "'bus' AS class_name", "30D AS crop_w", "20D AS crop_h", "CAST(NULL AS STRING) AS reason")
+    pastes = copypaste.draw_pastes(images, rows.mapInArrow(counted, rows.schema), 30)
+    assert pastes.count() > 0 and read.value == 200
+    placed = spark.range(20).selectExpr("id AS no", "id AS image_id", "'bus' AS class_name", "1D AS x1", "1D AS y1", "9D AS x2", "9D AS y2", "CAST(NULL AS STRING) AS reason")
+    boxes = placed.select("image_id", "class_name", "x1", "y1", "x2", "y2")
+    assert copypaste.composites(placed.mapInArrow(counted, placed.schema), boxes, 5).count() == 10 and read.value == 220
