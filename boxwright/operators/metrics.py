@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +100,14 @@ def coco_flags(predictions: DataFrame, boxes: DataFrame, images: DataFrame | Non
         row = lambda own: F.transform(
             "ps", lambda p, i: F.struct(p["pred_idx"].alias("pred_idx"), (-p["o"]).alias("conf"), (i < most).alias("in_top"), *[F.get(own[k], i).isNotNull().cast("int").alias(h) for k, h in enumerate(HITS)])
         )
-        return once(F.array(*[at(t) for t in THRESHOLDS]), row)
+        # where no two predictions have one best box, each owns its own at whatever threshold it reaches
+        best = F.filter(F.transform(found, lambda cs: F.get(cs, F.lit(0))["gt_idx"]), lambda g: g.isNotNull())
+        hit = lambda o, t: F.coalesce(-o >= t, F.lit(False)).cast("int")
+        alone = lambda p, i: once(
+            F.get(F.get(found, i), F.lit(0))["o"], lambda o: F.struct(p["pred_idx"].alias("pred_idx"), (-p["o"]).alias("conf"), (i < most).alias("in_top"), *[hit(o, t).alias(h) for h, t in zip(HITS, THRESHOLDS, strict=True)])
+        )
+        apart = once(best, lambda b: F.size(b) == F.size(F.array_distinct(b)))
+        return F.when(apart, F.transform("ps", alone)).otherwise(once(F.array(*[at(t) for t in THRESHOLDS]), row))
 
     flags = per_image.select("grp", "class_id", "image_id", F.explode(once(choices(THRESHOLDS[0]), rows)).alias("r")).select("grp", "class_id", "image_id", "r.*")
     return flags.join(F.broadcast(totals), ["grp", "class_id"], "left").checkpoint()  # a row for each group and class
@@ -116,13 +128,43 @@ def coco(predictions: DataFrame, boxes: DataFrame, images: DataFrame | None = No
     return _coco(coco_flags(predictions, boxes, images, by, most), _grouped_by(boxes, images, by))
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each batch, class, threshold and hundredth of recall: the best precision at its hits, and the most hits so far."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        number = lambda c: pc.fill_null(batch.column(c).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        grp, cls = number("grp"), number("class_id")
+        cuts = np.flatnonzero((grp[1:] != grp[:-1]) | (cls[1:] != cls[:-1])) + 1
+        run = np.zeros(batch.num_rows, dtype=np.int64)
+        run[cuts] = 1
+        run = np.cumsum(run)
+        cum_n, n_gt = batch.column("cum_n").to_numpy(), batch.column("n_gt").to_numpy()
+        at, ts, ks, ps, tps = [], [], [], [], []
+        for t, h in zip(THRESHOLDS, HITS, strict=True):
+            on = np.flatnonzero(batch.column(h).to_numpy() == 1)
+            if not len(on):
+                continue
+            hits = batch.column(f"cum_{h}").to_numpy()[on]
+            k = np.floor(100 * hits / n_gt[on]).astype(np.int32)
+            first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (run[on][1:] != run[on][:-1])))  # both rise
+            at.append(on[first])
+            ts.append(np.full(len(first), t))
+            ks.append(k[first])
+            ps.append(np.maximum.reduceat(hits / cum_n[on], first))
+            tps.append(np.maximum.reduceat(hits, first))
+        if at:
+            of = pa.array(np.concatenate(at))
+            yield pa.RecordBatch.from_arrays([batch.column("grp").take(of), batch.column("class_id").take(of), *[pa.array(np.concatenate(x)) for x in (ts, ks, ps, tps)]], names=["grp", "class_id", "t", "k", "precision", "cum_tp"])
+
+
 def _coco(flags: DataFrame, boxes: DataFrame) -> DataFrame:
     totals = boxes.groupBy("grp", "class_id").agg(F.count("*").alias("n_gt"))
-    flags, hits = flags.filter("in_top and n_gt is not null"), HITS
-    marks = F.array(*[F.struct(F.lit(t).alias("t"), F.col(h).alias("tp"), F.col(f"cum_{h}").alias("cum_tp")) for t, h in zip(THRESHOLDS, hits, strict=True)])
+    flags = flags.filter("in_top and n_gt is not null").drop("in_top")
     by_class = ("grp", "class_id")
-    points = _running(_in_order(flags, by_class), by_class, hits).select("grp", "class_id", "n_gt", "cum_n", F.explode(F.filter(marks, lambda m: m["tp"] == 1)).alias("m"))
-    steps = points.select("grp", "class_id", "m.t", "m.cum_tp", (F.col("m.cum_tp") / F.col("cum_n")).alias("precision"), F.floor(100 * F.col("m.cum_tp") / F.col("n_gt")).cast("int").alias("k"))
+    points = _running(_in_order(flags, by_class), by_class, HITS).select("grp", "class_id", "n_gt", "cum_n", *HITS, *[f"cum_{h}" for h in HITS])
+    kinds = flags.schema
+    steps = points.mapInArrow(_steps, f"grp {kinds['grp'].dataType.simpleString()}, class_id {kinds['class_id'].dataType.simpleString()}, t double, k int, precision double, cum_tp bigint")
     best = steps.groupBy("grp", "class_id", "t", "k").agg(F.max("precision").alias("p"), F.max("cum_tp").alias("tps"))
     # the best precision at recall k or beyond, for k = 0..100, from at most 101 values
     grids = best.groupBy("grp", "class_id", "t").agg(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("o"), "p"))).alias("ks"), F.max("tps").alias("tps"))
