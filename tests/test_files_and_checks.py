@@ -98,3 +98,14 @@ def test_run_folders_are_dropped(spark):
     spark.range(3).write.parquet(path)
     assert readers.path_exists(spark, path)
     assert drop_run_folders(spark) == 1 and not readers.path_exists(spark, path)
+
+
+def test_names_of_files_stay_with_the_tasks(spark, tmp_path, monkeypatch):
+    """Files are moved by tasks: nothing that lists their names comes to the driver."""
+    seen = []
+    collect = type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda df: seen.append(n := collect(df)) or n)
+    rows = spark.range(3000).selectExpr("concat('a/', id % 2, '/', id, '.txt') AS name", "'x' AS value").repartition(3)
+    label_files.write_files(rows, f"{tmp_path}/out", clean=True)
+    assert len(list((tmp_path / "out").rglob("*.txt"))) == 3000 and not list((tmp_path / "out").glob("_staging*"))
+    assert seen and all(len(x) <= 1 for x in seen) and not hasattr(label_files, "Written")
