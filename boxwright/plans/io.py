@@ -14,6 +14,10 @@ from boxwright.session import run_folder
 from boxwright.sources import label_files, readers, sinks
 
 
+#: Images of an XML file at most: such a file is read by one task.
+FILE_ROWS = 50_000
+
+
 def _folder(spark: SparkSession) -> str:
     return run_folder(spark, "io")
 
@@ -50,7 +54,7 @@ def s2(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark)
     box = F.struct(*[F.col(a).alias(b) for a, b in (("x1", "xmin"), ("y1", "ymin"), ("x2", "xmax"), ("y2", "ymax"))])
     named = frame(spark, d, "raw_boxes").filter("trim(category) <> ''")
-    named.groupBy("image_id").agg(F.collect_list(F.struct(F.col("category").alias("name"), box.alias("bndbox"))).alias("object")).drop("image_id").write.format("xml").option("rowTag", "annotation").save(folder)
+    named.groupBy("image_id").agg(F.collect_list(F.struct(F.col("category").alias("name"), box.alias("bndbox"))).alias("object")).drop("image_id").write.format("xml").option("rowTag", "annotation").option("maxRecordsPerFile", FILE_ROWS).save(folder)
     return readers.read_voc(spark, folder).groupBy("name").agg(F.count("*").alias("n"), F.sum("x1").alias("sum_x1"))
 
 

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from boxwright.session import spread
+
 VIEWS = {
     "gt_boxes": """
 SELECT image_id, CAST(gt_idx AS BIGINT) AS gt_idx, class_id, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1,
@@ -77,6 +79,8 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame; views of views are nested, so that Spark prunes and pushes through them."""
     tables: dict[str, DataFrame] = {}
     for part in dict.fromkeys(_NAME.findall(VIEWS[name])):
+        if part not in VIEWS:
+            spread(spark, f"{sf_dir}/{part}.parquet")
         tables[part] = frame(spark, sf_dir, part) if part in VIEWS else spark.read.parquet(f"{sf_dir}/{part}.parquet")
     return spark.sql(VIEWS[name], **tables)
 

@@ -9,6 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Bytes of a table's (compressed) files for which a shuffle begins with one more partition.
+PARTITION_BYTES = 2_000_000
+_FIRST_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 _shipped: set[str] = set()
 _folders: list[str] = []
 
@@ -31,6 +34,17 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def spread(spark: SparkSession, path: str, most: int = PARTITION_BYTES) -> None:
+    """Let shuffles begin with a partition for each ``most`` bytes of a table, so that a task's share doesn't grow with it.
+
+    Adaptive execution puts small ones together again; a session that begins with more keeps that.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    n = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength() // most
+    if n > max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get(_FIRST_PARTITIONS, None) or 0)):
+        spark.conf.set(_FIRST_PARTITIONS, str(n))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the cluster's; on a local master that names none, one of our own.
 

@@ -109,3 +109,22 @@ def test_names_of_files_stay_with_the_tasks(spark, tmp_path, monkeypatch):
     label_files.write_files(rows, f"{tmp_path}/out", clean=True)
     assert len(list((tmp_path / "out").rglob("*.txt"))) == 3000 and not list((tmp_path / "out").glob("_staging*"))
     assert seen and all(len(x) <= 1 for x in seen) and not hasattr(label_files, "Written")
+
+
+def test_voc_files_and_shuffles_are_bounded(spark, monkeypatch, tmp_path):
+    from boxwright import session
+    from boxwright.plans import io
+    from boxwright.plans.queries import QUERIES
+
+    monkeypatch.setattr(io, "_folder", lambda spark: f"{tmp_path}/voc")
+    monkeypatch.setattr(io, "FILE_ROWS", 100, raising=False)
+    QUERIES["s2_read_voc"](spark, "/root/testdata/sf0.001").collect()
+    files = [p.read_text().count("<annotation>") for p in (tmp_path / "voc").glob("part-*")]
+    assert sum(files) > 1000 and max(files) <= 100
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(key, None)
+    session.spread(spark, "/root/testdata/sf0.1/lineitem.parquet", 100_000)
+    try:
+        assert int(spark.conf.get(key)) > 100
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
