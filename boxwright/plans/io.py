@@ -65,7 +65,8 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
     parts = max(7, -(-labels.count() // 1000))  # about 1000 frames at most in an array
     images = frame(spark, d, "images").select("image_id", F.struct(F.col("weather_raw").alias("weather"), "timeofday").alias("attributes"))
     rows = images.join(labels, "image_id").select(F.pmod(F.xxhash64("image_id"), F.lit(parts)).alias("part"), F.struct(F.col("image_id").cast("string").alias("name"), "attributes", "labels").alias("frame"))
-    rows.groupBy("part").agg(F.to_json(F.collect_list("frame"), {"pretty": "true"}).alias("value")).write.partitionBy("part").text(folder)
+    arrays = rows.groupBy("part").agg(F.to_json(F.collect_list("frame"), {"pretty": "true"}).alias("value")).select("value")
+    arrays.write.option("maxRecordsPerFile", 1).text(folder)  # a file for each array, in one folder
     return readers.read_frame_labels(spark, folder).groupBy("weather").agg(F.count("*").alias("n"))
 
 

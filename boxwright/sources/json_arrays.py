@@ -1,6 +1,7 @@
 """Reading JSON arrays of objects with several tasks a file.
 
-A file is read as text whose lines end at closing braces, which Spark can split
+Small files are rows of a whole text each, and one pass cuts out their objects.
+A larger file is read as text whose lines end at closing braces, which Spark can split
 anywhere.  Whether a brace counts depends on all that lies before it (is it in a
 string, how deep is it), so there are two passes, each over all splits at once:
 
@@ -24,11 +25,13 @@ from pyspark.sql.window import Window
 
 from boxwright.session import checkpoint_dir, ship_package
 
+#: Files of so many bytes at most are small; those that Spark would split never are.
+WHOLE_BYTES = 4 << 20
 #: So many splits at most are broadcast (some 30 bytes each).
 BROADCAST_SPLITS = 500_000
 HEAD, MIDDLE, TAIL, WHOLE = 0, 1, 2, 3
 _QUOTE, _BACKSLASH = ord('"'), ord("\\")
-_STEP = np.zeros(256, dtype=np.int64)
+_STEP = np.zeros(256, dtype=np.int8)
 _STEP[[ord("{"), ord("[")]], _STEP[[ord("}"), ord("]")]] = 1, -1
 
 
@@ -42,7 +45,19 @@ def _structure(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         before = np.maximum.accumulate(np.where(slash, -1, at))  # the last byte that is no backslash
         run = np.append(0, (at - before)[:-1])  # backslashes right before each byte
         quote &= run % 2 == 0
-    return data, np.cumsum(quote) & 1, _STEP[data]
+    return data, np.cumsum(quote, dtype=np.int32) & 1, _STEP[data]
+
+
+def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The objects of whole texts, each with what stands before it."""
+    for batch in batches:
+        for value in batch.column("value"):
+            text = value.as_py()
+            data, odd, step = _structure(text)
+            depth = np.cumsum(np.where(odd == 0, step, np.int8(0)), dtype=np.int32)
+            top = int(text.lstrip()[:1] == b"[")
+            ends = (np.flatnonzero((data == ord("}")) & (odd == 0) & (depth == top)) + 1).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([text[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)], type=pa.binary())], names=["text"])
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
@@ -60,7 +75,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, _, text in _runs(batch):
             _, odd, step = _structure(text)
             one = found.setdefault((batch.column("file")[lo].as_py(), batch.column("block")[lo].as_py()), [0, 0, 0, text.lstrip()[:1].decode("utf-8", "replace")])
-            outside, inside = int(step[odd == 0].sum()), int(step[odd == 1].sum())
+            outside, inside = int(step[odd == 0].sum(dtype=np.int64)), int(step[odd == 1].sum(dtype=np.int64))
             one[1], one[2] = (one[1] + outside, one[2] + inside) if one[0] == 0 else (one[1] + inside, one[2] + outside)
             one[0] ^= int(odd[-1])
     columns = list(zip(*[(*k, *v) for k, v in found.items()], strict=True)) or [()] * 6
@@ -92,7 +107,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 state = {c: batch.column(c)[lo].as_py() for c in ("odd", "depth", "top")}
                 state["going"] = state["depth"] > state["top"]  # it begins within an object
             data, odd, step = _structure(text)
-            depth = state["depth"] + np.cumsum(np.where((odd ^ state["odd"]) == 0, step, 0))
+            depth = state["depth"] + np.cumsum(np.where((odd ^ state["odd"]) == 0, step, 0), dtype=np.int64)
             ends = np.flatnonzero((data == ord("}")) & ((odd ^ state["odd"]) == 0) & (depth == state["top"])) + 1
             begin = 0
             for end in ends.tolist():
@@ -114,7 +129,17 @@ def read_json_arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """
     ship_package(spark)
     checkpoint_dir(spark)
-    source = spark.read.option("lineSep", "}").text(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), "value")
+    split_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    small = F.col("_metadata.file_size") <= min(WHOLE_BYTES, split_bytes)  # prunes the list of files
+    whole = spark.read.text(path, wholetext=True).filter(small).select(F.col("value").cast("binary").alias("value")).mapInArrow(_objects, "text binary")
+    text = whole.unionByName(_split_objects(spark.read.option("lineSep", "}").text(path).filter(~small))).select(F.decode("text", "UTF-8").alias("text"))
+    # what stands between two objects isn't part of the second
+    return text.select(F.from_json(F.expr("substring(text, instr(text, '{'))"), schema).alias("x")).select("x.*")
+
+
+def _split_objects(lines: DataFrame) -> DataFrame:
+    """The objects of files that are read in splits, each with what stands before it."""
+    source = lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), "value")
     splits = source.select("file", "block", "value").mapInArrow(_summaries, "file bigint, block bigint, odd bigint, outside bigint, inside bigint, first string").checkpoint()
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     odd = splits.withColumn("at_odd", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
@@ -131,6 +156,4 @@ def read_json_arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
     crossing = parts.filter(F.col("kind") != WHOLE).withColumn("object", F.last(F.when(F.col("kind") == TAIL, F.col("block")), True).over(begun))
     joined = crossing.groupBy("file", "object").agg(F.sort_array(F.collect_list(F.struct("block", "kind", "text"))).alias("ps"))
     closed = joined.filter(F.exists("ps", lambda p: p["kind"] == HEAD)).select(F.aggregate("ps", F.lit("").cast("binary"), lambda a, p: F.concat(a, p["text"])).alias("text"))
-    text = parts.filter(F.col("kind") == WHOLE).select("text").unionByName(closed).select(F.decode("text", "UTF-8").alias("text"))
-    # what stands between two objects isn't part of the second
-    return text.select(F.from_json(F.expr("substring(text, instr(text, '{'))"), schema).alias("x")).select("x.*")
+    return parts.filter(F.col("kind") == WHOLE).select("text").unionByName(closed)

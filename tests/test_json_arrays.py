@@ -55,3 +55,18 @@ def test_one_file_is_read_by_several_tasks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sum(r["count"] for r in tasks) == 3000 and len([r for r in tasks if r["count"] > 100]) >= 4
+
+
+def test_small_files_need_no_pass_over_splits(spark, tmp_path, monkeypatch):
+    def summaries(batches):
+        if any(b.num_rows for b in batches):
+            raise ValueError("a small file was summed up by splits")
+        yield from ()
+
+    monkeypatch.setattr(json_arrays, "_summaries", summaries)
+    want = []
+    for k in range(3):
+        want += [x | {"n": x["n"] + 1000 * k} for x in objects(50, k)]
+        (tmp_path / f"{k}.json").write_text(json.dumps(want[-50:], indent=k or None))
+    got = json_arrays.read_json_arrays(spark, str(tmp_path), SCHEMA).collect()
+    assert sorted((r.asDict(True) for r in got), key=lambda r: r["n"]) == want
