@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boxwright.functions.geometry import area, size_bucket, to_text
 from boxwright.functions.vocab import RARE_CLASSES, class_name
 from boxwright.operators.matching import PREDICTION, box_of, choices, grouped, once, owners
+from boxwright.session import checkpoint_dir
 
 ERROR_TYPES = ("true_positive", "loose_box", "poor_localization", "wrong_class", "false_positive", "missed_object")
 
@@ -65,9 +66,25 @@ def error_table(predictions: DataFrame, boxes: DataFrame, least: float = 0.5, ti
     )
 
 
+def tally(errors: DataFrame) -> DataFrame:
+    """Counts (``n``) of errors by class, size and kind, at most a few rows for each class.
+
+    Checkpointed: ``by_class``, ``by_size`` and ``summary`` take it as they take the errors, which are then made once for all three.
+    """
+    checkpoint_dir(errors.sparkSession)
+    return errors.groupBy("class_id", "class_name", "size_bucket", "error_type").agg(F.count("*").alias("n")).checkpoint()
+
+
+def _counts(errors: DataFrame) -> dict[str, Column]:
+    """The number of errors of each kind, from a table of errors or its ``tally``."""
+    if "n" not in errors.columns:
+        return {t: F.count_if(F.col("error_type") == t) for t in ERROR_TYPES}
+    return {t: F.coalesce(F.sum(F.when(F.col("error_type") == t, F.col("n"))), F.lit(0)) for t in ERROR_TYPES}
+
+
 def by_class(errors: DataFrame) -> DataFrame:
     """A row for each class with its counts of each kind, number of boxes and recall."""
-    count = {t: F.count_if(F.col("error_type") == t) for t in ERROR_TYPES}
+    count = _counts(errors)
     n_gt = count["true_positive"] + count["loose_box"] + count["missed_object"]
     out = errors.groupBy("class_id", "class_name").agg(*[c.alias(t) for t, c in count.items()], n_gt.alias("n_gt"))
     found = F.col("true_positive") + F.col("loose_box")
@@ -77,13 +94,14 @@ def by_class(errors: DataFrame) -> DataFrame:
 def by_size(errors: DataFrame) -> DataFrame:
     """Boxes, found ones and recall for each size of box."""
     gt = errors.filter(F.col("error_type").isin("true_positive", "loose_box", "missed_object"))
-    found = F.count_if(F.col("error_type") != "missed_object")
-    return gt.groupBy("size_bucket").agg(F.count("*").alias("n_gt"), found.alias("n_found")).withColumn("recall", F.round(F.col("n_found") / F.col("n_gt"), 4))
+    count = _counts(gt)
+    found = count["true_positive"] + count["loose_box"]
+    return gt.groupBy("size_bucket").agg((found + count["missed_object"]).alias("n_gt"), found.alias("n_found")).withColumn("recall", F.round(F.col("n_found") / F.col("n_gt"), 4))
 
 
 def summary(errors: DataFrame) -> DataFrame:
     """Counts, recall and the share of loose boxes among matches, in one row."""
-    out = errors.agg(*[F.count_if(F.col("error_type") == t).alias(t) for t in ERROR_TYPES])
+    out = errors.agg(*[c.alias(t) for t, c in _counts(errors).items()])
     found = F.col("true_positive") + F.col("loose_box")
     safe = lambda a, b: F.round(F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0)), 4)
     return out.withColumns({"recall": safe(found, found + F.col("missed_object")), "loose_ratio": safe(F.col("loose_box"), found)})

@@ -233,7 +233,7 @@ UNION ALL SELECT 'dataset', 'all', count_if(error_type IN ('true_positive', 'loo
 def k7_summaries(spark: SparkSession, d: str) -> DataFrame:
     """The reports by class, by size and of the dataset, written and read back."""
     folder = _folder(spark)
-    table = errors.error_table(frame(spark, d, "predictions"), frame(spark, d, "gt_boxes"))
+    table = errors.tally(errors.error_table(frame(spark, d, "predictions"), frame(spark, d, "gt_boxes")))
     sinks.write_errors({"class": errors.by_class(table), "size": errors.by_size(table), "dataset": errors.summary(table)}, folder)
     read = lambda name: spark.read.option("header", True).csv(f"{folder}/{name}")
     found = (F.col("true_positive").cast("bigint") + F.col("loose_box").cast("bigint")).alias("n_found")

@@ -243,3 +243,24 @@ def test_pastes_read_their_inputs_once(spark):
     placed = spark.range(20).selectExpr("id AS no", "id AS image_id", "'bus' AS class_name", "1D AS x1", "1D AS y1", "9D AS x2", "9D AS y2", "CAST(NULL AS STRING) AS reason")
     boxes = placed.select("image_id", "class_name", "x1", "y1", "x2", "y2")
     assert copypaste.composites(placed.mapInArrow(counted, placed.schema), boxes, 5).count() == 10 and read.value == 220
+
+
+def test_reports_from_one_matching(scene, spark):
+    """Reports take a tally for the errors, and it reads them once; without errors counts are 0."""
+    from boxwright.operators import errors
+
+    gts, preds, boxes, predictions = scene
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    table = errors.error_table(predictions, boxes)
+    tally = errors.tally(errors.error_table(predictions.mapInArrow(counted, predictions.schema), boxes))
+    for report in (errors.by_class, errors.by_size, errors.summary):
+        got, want = report(tally), report(table)
+        assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+    assert read.value == len(preds)
+    assert errors.summary(errors.tally(table.filter("false"))).collect() == errors.summary(table.filter("false")).collect()
