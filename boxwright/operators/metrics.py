@@ -9,10 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from boxwright.functions.vocab import CLASSES
 from boxwright.operators.matching import best_owners, choices, greedy, grouped, once, owners
-from boxwright.operators.scan import highest_from, ordered, running_sums
+from boxwright.operators.scan import flag_blocks, ordered, running_sums, unpacked
 from boxwright.session import checkpoint_dir
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
@@ -69,16 +70,48 @@ def curve(flags: DataFrame) -> DataFrame:
     return _curve(_in_order(flags, ("class_id",))).drop("_p")
 
 
+def _precisions(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of a batch's blocks that has hits, its row and the precision at each hit."""
+    columns = [batch.column(c).to_pylist() for c in ("bits", "n", "n_before", "hits_before")]
+    for row, (bits, n, n_before, hits_before) in enumerate(zip(*columns, strict=True)):
+        at = np.flatnonzero(unpacked(bits, n))
+        if len(at):
+            yield row, np.arange(hits_before + 1, hits_before + len(at) + 1) / (at + (n_before + 1 + 1e-9))
+
+
+def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best precision of each block, null without hits."""
+    for batch in batches:
+        best: list[float | None] = [None] * batch.num_rows
+        for row, precision in _precisions(batch):
+            best[row] = float(precision.max())
+        yield pa.RecordBatch.from_arrays([batch.column("_p"), batch.column("_k"), batch.column("class_id"), pa.array(best, pa.float64())], names=["_p", "_k", "class_id", "best"])
+
+
+def _areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The part of its class' area that each block adds; ``later`` is the best precision after it."""
+    for batch in batches:
+        area, n_gt, later = [0.0] * batch.num_rows, batch.column("n_gt").to_pylist(), batch.column("later").to_pylist()
+        for row, precision in _precisions(batch):
+            envelope = np.maximum(np.maximum.accumulate(precision[::-1]), later[row])
+            area[row] = float(envelope.sum() / (n_gt[row] + 1e-9))
+        yield pa.RecordBatch.from_arrays([batch.column("class_id"), pa.array(area, pa.float64())], names=["class_id", "area"])
+
+
 def average_precision(flags: DataFrame) -> DataFrame:
     """M5: all-point interpolation, per class.
 
     Recall only moves at true positives, by the same step at each, and the
-    envelope there is the best precision at this or a later one.
+    envelope there is the best precision at this or a later one.  Once in order,
+    predictions are a bit each, so both scans run over blocks of bits.
     """
-    placed = _in_order(flags, ("class_id",))
-    points = _curve(placed).filter("tp = 1").select("_p", "class_id", "n_gt", "precision")
-    found = highest_from(points, ("class_id",), "precision", "envelope").groupBy("class_id").agg(F.sum(F.col("envelope") / (F.col("n_gt") + 1e-9)).alias("ap"))
-    return placed.groupBy("class_id").agg(F.lit(0.0).alias("none")).join(found, "class_id", "left").select("class_id", F.coalesce("ap", "none").alias("ap"))
+    blocks = flag_blocks(flags, "class_id", (F.desc("conf"), F.asc("image_id"), F.asc("pred_idx")), "tp", "n_gt")
+    kind = flags.schema["class_id"].dataType.simpleString()
+    best = blocks.mapInArrow(_best, f"_p int, _k bigint, class_id {kind}, best double")
+    after = Window.partitionBy("class_id").orderBy(F.desc("_p"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, -1)
+    later = best.select("_p", "_k", F.coalesce(F.max("best").over(after), F.lit(0.0)).alias("later"))
+    areas = blocks.join(F.broadcast(later), ["_p", "_k"]).mapInArrow(_areas, f"class_id {kind}, area double")
+    return areas.groupBy("class_id").agg(F.sum("area").alias("ap"))
 
 
 def coco_flags(predictions: DataFrame, boxes: DataFrame, images: DataFrame | None = None, by: str | None = None, most: int = 100) -> DataFrame:

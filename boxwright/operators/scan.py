@@ -1,4 +1,4 @@
-"""Running sums and maxima over an order that spans all tasks: a distributed prefix scan.
+"""Running sums over an order that spans all tasks: a distributed prefix scan; and flags in such an order, packed.
 
 Rows are dealt out by ranges of their whole order, so that rows that tie in its
 first columns are spread too, and sorted in each partition.  Every partition is
@@ -14,15 +14,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructType
+from pyspark.sql.types import LongType, StructType
 from pyspark.sql.window import Window
 
 from boxwright.session import checkpoint_dir, ship_package
 
 #: Rows of a partition, about; with fewer rows there are as many partitions as a shuffle has.
 ROWS_PER_TASK = 1_000_000
+#: Flags of a block at most, or those of one batch, if it has more.
+BLOCK = 1_000_000
 
 
 def ordered(rows: DataFrame, by: tuple[str, ...], order: tuple[Column, ...]) -> DataFrame:
@@ -31,12 +34,16 @@ def ordered(rows: DataFrame, by: tuple[str, ...], order: tuple[Column, ...]) ->
     Read three times (counted, sampled, sorted), so they should be cheap to read;
     checkpointed, so that each row keeps its partition.
     """
+    return _placed(rows, by, order).checkpoint()
+
+
+def _placed(rows: DataFrame, by: tuple[str, ...], order: tuple[Column, ...]) -> DataFrame:
     spark = rows.sparkSession
     checkpoint_dir(spark)
     ship_package(spark)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_TASK))
     keys = (*[F.col(c) for c in by], *order)
-    return rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id()).checkpoint()
+    return rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
 
 
 def _scan(rows: DataFrame, offsets: DataFrame, by: tuple[str, ...], kept: list[str], added: dict[str, type], work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
@@ -89,29 +96,49 @@ def running_sums(placed: DataFrame, by: tuple[str, ...], sums: dict[str, Column]
     return _scan(valued, offsets, by, kept, dict.fromkeys(names, LongType), work)
 
 
-def highest_from(placed: DataFrame, by: tuple[str, ...], value: str, name: str) -> DataFrame:
-    """Adds ``name``: the highest ``value`` (a double, not null) of this row and all after it in the group.
+def flag_blocks(rows: DataFrame, by: str, order: tuple[Column, ...], flag: str, extra: str) -> DataFrame:
+    """The 0/1 column ``flag`` of the rows in the order of ``by`` and ``order``, packed: a bit for each row.
 
-    A task holds its partition's rows, about ROWS_PER_TASK.
+    _p and _k (the order of the blocks), ``by``, ``extra`` (a whole number, one
+    for each group), n (rows), hits (those with 1), n_before and hits_before (of
+    the group's blocks before) and bits.  A block holds rows of one group, BLOCK
+    at most; blocks are checkpointed, the rows themselves are not written again.
     """
-    kept = placed.columns
-    best = placed.groupBy("_p", *by).agg(F.max(value).alias("_b"))
-    later = Window.partitionBy(*by).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = best.select("_p", *by, F.coalesce(F.max("_b").over(later), F.lit(float("-inf"))).alias("_later"))
+    kind = rows.schema[by].dataType.simpleString()
+    packed = _placed(rows, (by,), order).select("_p", by, F.col(extra).cast("bigint").alias(extra), F.col(flag).cast("tinyint").alias("_flag"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        ends: list[pa.Array] = []
-        at, best = 0, float("-inf")
-        for batch in reversed(held):
-            g, first, size = _groups(batch)
-            values, out = batch.column(value).to_numpy(), np.empty(batch.num_rows)
-            for a, n in zip(first[::-1].tolist(), size[::-1].tolist(), strict=True):
-                top = np.maximum.accumulate(values[a : a + n][::-1])[::-1]
-                out[a : a + n] = np.maximum(top, best) if g[a] == at else top
-                at, best = int(g[a]), float(out[a])
-            ends.append(pa.array(np.maximum(out, batch.column("_later").to_numpy())))
-        for batch, end in zip(held, reversed(ends), strict=True):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), end], names=[*kept, name])
-
-    return _scan(placed, offsets, by, kept, {name: DoubleType}, work)
+        k, head, held, n = 0, None, [], 0
+
+        def block() -> pa.RecordBatch:
+            flags = np.concatenate(held)
+            p, group, number = (c.slice(0, 1) for c in head)
+            rest = [pa.array([x], type=t) for x, t in ((k, pa.int64()), (len(flags), pa.int64()), (int(flags.sum(dtype=np.int64)), pa.int64()), (np.packbits(flags).tobytes(), pa.binary()))]
+            return pa.RecordBatch.from_arrays([p, group, number, *rest], names=["_p", by, extra, "_k", "n", "hits", "bits"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups, flags = batch.column(by), batch.column("_flag").to_numpy()
+            codes = pc.fill_null(groups.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            cuts = (np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if n and (n + hi - lo > BLOCK or head[1][0].as_py() != groups[lo].as_py()):
+                    yield block()
+                    k, held, n = k + 1, [], 0
+                if not n:
+                    head = [batch.column(c).slice(lo, 1) for c in ("_p", by, extra)]
+                held.append(flags[lo:hi])
+                n += hi - lo
+        if n:
+            yield block()
+
+    blocks = packed.mapInArrow(work, f"_p int, {by} {kind}, {extra} bigint, _k bigint, n bigint, hits bigint, bits binary").checkpoint()
+    over = Window.partitionBy(by).orderBy("_p", "_k").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select("_p", "_k", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"{c}_before") for c in ("n", "hits")])
+    return blocks.join(F.broadcast(before), ["_p", "_k"])  # a row for each block
+
+
+def unpacked(bits: bytes, n: int) -> np.ndarray:
+    """The flags of a block."""
+    return np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=n)

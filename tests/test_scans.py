@@ -118,3 +118,24 @@ def test_samples_of_repeated_ids_and_empty_tables(spark, pool):
     assert sampling.sample(nothing, "id", 5).count() == 0 and sampling.split(nothing, "id", {"a": 0.5}, "b", "grp").count() == 0
     ranks = sorted(r["rank"] for r in sampling.ranked(many, "id").collect())
     assert ranks == list(range(1, 101))
+
+
+def test_average_precision_writes_bits(spark, flags, monkeypatch):
+    """After the sort predictions are bits in blocks of any size, not rows written again."""
+    from pathlib import Path
+
+    from boxwright.session import checkpoint_dir
+
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("part-*"))
+    table, before = flags[1].selectExpr("image_id", "pred_idx", "'c' || class_id AS class_id", "conf", "n_gt", "tp").checkpoint(), size()
+    want = {r.class_id: r.ap for r in metrics.average_precision(table).collect()}
+    assert len(want) == 3 and 0 < size() - before < 5 * len(flags[0])
+    monkeypatch.setattr(scan, "BLOCK", 7)
+    monkeypatch.setattr(scan, "ROWS_PER_TASK", 900)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {r.class_id: r.ap for r in metrics.average_precision(table).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    assert got == pytest.approx(want, abs=1e-9)
