@@ -146,8 +146,7 @@ def best_box(candidates: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> Da
 
 def best_owners(least: float) -> Column:
     """Like ``owners``, but a prediction wants its best box only, and that if its IoU is at least ``least``."""
-    first = F.transform(choices(), lambda cs: F.transform(F.filter(F.slice(cs, 1, 1), lambda c: -c["o"] >= least), lambda c: c["gt_idx"]))
-    return owners(first)
+    return owners(F.transform(choices(least), lambda cs: F.transform(F.slice(cs, 1, 1), lambda c: c["gt_idx"])))
 
 
 def argmax(predictions: DataFrame, boxes: DataFrame, least: float = 0.5, by_class: bool = False) -> DataFrame:
