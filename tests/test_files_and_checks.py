@@ -128,3 +128,20 @@ def test_voc_files_and_shuffles_are_bounded(spark, monkeypatch, tmp_path):
         assert int(spark.conf.get(key)) > 100
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_label_files_are_read_back_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver knows no file's name, empty files are read too, and a task reads about as many as it is given."""
+    from boxwright.plans.queries import QUERIES
+
+    monkeypatch.setattr(label_files, "FILES", 500)
+    found = QUERIES["k8_label_files"](spark, "/root/testdata/sf0.001")
+    assert found.inputFiles() == [] and found.rdd.getNumPartitions() == 1500 // 500 + 1
+    rows = found.collect()
+    assert len(rows) == len({(r.split, r.name) for r in rows}) == 1500 and min(r.n_lines for r in rows) == 0
+    texts = [("a.txt", "one\ntwo"), ("b/c.txt", ""), ("b/d.log", "x" * 2_000_000), ("b/e.txt", "é")]
+    label_files.write_files(spark.createDataFrame(texts, "name string, value string"), str(tmp_path))
+    listed = readers.list_inventory(spark, str(tmp_path), (".txt", ".log"))
+    assert {(r.image_path.removeprefix(f"{tmp_path}/"), r.value) for r in readers.read_files(listed).collect()} == set(texts)
+    with pytest.raises(PySparkException):
+        readers.read_files(spark.createDataFrame([(f"{tmp_path}/nowhere.txt",)], "image_path string")).collect()
