@@ -1,5 +1,7 @@
 """The label file sink, checks inside the plan, fallbacks and counts taken in a pass."""
 
+import errno
+import os
 from pathlib import Path
 
 import pytest
@@ -145,3 +147,53 @@ def test_label_files_are_read_back_by_tasks(spark, tmp_path, monkeypatch):
     assert {(r.image_path.removeprefix(f"{tmp_path}/"), r.value) for r in readers.read_files(listed).collect()} == set(texts)
     with pytest.raises(PySparkException):
         readers.read_files(spark.createDataFrame([(f"{tmp_path}/nowhere.txt",)], "image_path string")).collect()
+
+
+def inodes(path):
+    return [p.stat().st_ino for p in Path(path).rglob("*") if p.is_file()]
+
+
+def test_an_inventory_of_empty_files_takes_few_inodes(spark, tmp_path, monkeypatch):
+    """Empty files are names of a few where that is asked for; other files, and files that are replaced, stay their own."""
+    from boxwright.plans import io
+    from boxwright.plans.queries import QUERIES
+
+    monkeypatch.setattr(io, "_folder", lambda spark: f"{tmp_path}/s6")
+    assert len(QUERIES["s6_image_inventory"](spark, "/root/testdata/sf0.001").collect()) == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").filter("o_orderkey % 7 < 5").count()
+    assert len(inodes(f"{tmp_path}/s6/tree")) == 1500 and len(set(inodes(f"{tmp_path}/s6/tree"))) <= 8
+    monkeypatch.setattr(label_files, "LINKS", 30)
+    rows = spark.range(200).selectExpr("concat('a/', id % 2, '/', id, '.jpg') AS name", "CASE WHEN id >= 190 THEN 'text' WHEN id % 3 = 0 THEN '' END AS value").coalesce(1)
+    want = {f"a/{k % 2}/{k}.jpg": "text" if k >= 190 else "" for k in range(200)}
+    out = tmp_path / "out"
+    label_files.write_files(rows, str(out), linked=True)
+    assert tree(out) == want and len(set(inodes(out))) == 7 + 10 and max(p.stat().st_nlink for p in out.rglob("*.jpg")) == 30
+    label_files.write_files(rows.unionAll(rows).selectExpr("name", "'' AS value"), str(out), linked=True)
+    assert tree(out) == dict.fromkeys(want, "")
+    label_files.write_files(rows.filter("name = 'a/0/4.jpg'").selectExpr("name", "'new' AS value"), str(out))
+    assert tree(out) == dict.fromkeys(want, "") | {"a/0/4.jpg": "new"}
+    label_files.write_files(rows, f"{tmp_path}/own")
+    assert tree(tmp_path / "own") == want and len(set(inodes(tmp_path / "own"))) == 200
+
+
+def test_a_disk_that_allows_no_more_names(tmp_path, monkeypatch):
+    blank, old = tmp_path / "blank", tmp_path / "old.jpg"
+    blank.write_text("")
+    old.write_text("old")
+
+    def refused(a, b):
+        raise OSError(errno.EMLINK if not Path(b).exists() else errno.EEXIST, "refused")
+
+    monkeypatch.setattr(os, "link", refused)
+    for name in ("new.jpg", "old.jpg", "old.jpg"):
+        label_files._link(str(blank), f"{tmp_path}/{name}")
+    assert tree(tmp_path) == {"blank": "", "new.jpg": "", "old.jpg": ""} and len(set(inodes(tmp_path))) == 3
+
+
+def test_folders_are_listed_by_as_many_tasks(spark, tmp_path):
+    """However short the paths of the folders are, they aren't all listed by one task."""
+    for k in range(12):
+        (tmp_path / f"{k}").mkdir()
+        (tmp_path / f"{k}" / "a.jpg").write_text("")
+    found = readers.list_inventory(spark, str(tmp_path))
+    parts = [r.n for r in found.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()]
+    assert sum(parts) == 12 and len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) == 4 and max(parts) <= 4
